@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from regatta.llm.mixing import mixed
 from regatta.llm.packing import packed
 from regatta.llm.simhash import simhash_groups
+from regatta.llm.suffix_dedup import suffix_dedup
 from regatta.llm.token_counts import token_counts
 
 
@@ -21,6 +22,11 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), limit=3.0, seed=42)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup(_table(spark, sf_dir, "documents"), length=100, with_text=False)
+    return done.select("doc_id", "dedup.n_bytes", "dedup.n_removed", "dedup.n_spans", "dedup.kept_sha256")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,7 +40,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_source_mixing, op5_best_fit_packing, op7_simhash, op8_token_counts)
+    f.__name__: f for f in (op2_source_mixing, op4_suffix_dedup, op5_best_fit_packing, op7_simhash, op8_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {}
