@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from regatta.llm.mixing import mixed
 from regatta.llm.packing import packed
+from regatta.llm.quality_model import quality
 from regatta.llm.simhash import simhash_groups
 from regatta.llm.suffix_dedup import suffix_dedup
 from regatta.llm.token_counts import token_counts
+from regatta.llm.toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), limit=3.0, seed=42)
 
@@ -39,8 +45,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_source_mixing, op4_suffix_dedup, op5_best_fit_packing, op7_simhash, op8_token_counts)
+    f.__name__: f for f in (op1_toxicity, op2_source_mixing, op4_suffix_dedup, op5_best_fit_packing, op7_simhash, op8_token_counts, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {}
