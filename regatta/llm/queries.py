@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from regatta.llm import host_rules
 from regatta.llm.mixing import mixed
 from regatta.llm.packing import packed
 from regatta.llm.quality_model import quality
@@ -37,6 +38,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.host_rules(_table(spark, sf_dir, "documents")).drop("host_rate")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"), distance=2).select("doc_id", "fingerprint", "component_id")
 
@@ -50,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_source_mixing, op4_suffix_dedup, op5_best_fit_packing, op7_simhash, op8_token_counts, op10_quality)
+    f.__name__: f for f in (op1_toxicity, op2_source_mixing, op4_suffix_dedup, op5_best_fit_packing, op6_host_rules, op7_simhash, op8_token_counts, op10_quality)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_host_rules": host_rules.SQL}
