@@ -1,15 +1,97 @@
-"""The corpus pipeline: from raw documents to packed token sequences in five stages."""
+"""The corpus pipeline: from raw documents to packed token sequences in five stages.
+
+Every stage takes (spark, docs, sf_dir), works on all that the stage before
+kept, and returns the columns of ``documents`` (the last one: packed pieces).
+``run`` writes each stage's rows and rereads them for the next.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from regatta.llm import mixing, packing, simhash, suffix_dedup, toxicity
+from regatta.llm.storage import written
+from regatta.llm.words import word_count
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject (score below 0.3).
+
+    The classifier learns from the labelled rows among these documents that are not held out.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.toxicity(docs, toxicity.trained(docs, labels), threshold=0.3)
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group: the one with the smallest id.
+
+    Rows that repeat an id are one document, of which the smallest text stays.
+    Rows without an id cannot be told apart from each other and stay.
+    """
+    groups = simhash.simhash_groups(docs, distance=2)
+    kept = written(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "kept")
+    rows = docs.join(kept, docs.doc_id == F.col("_id")).select(*docs.columns)
+    if kept.where("_n > 1").limit(1).count():
+        order = Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in ["text", *docs.columns]))
+        rows = rows.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").select(*docs.columns)
+    return rows.union(docs.where("doc_id is null"))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the passages removed that an earlier one has (strings of 100 bytes)."""
+    done = suffix_dedup.suffix_dedup(docs, length=100)
+    text = F.when(F.col("text").isNotNull(), F.col("dedup.kept"))
+    done = done.withColumn("text", text)
+    return done.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix of sources takes it (none to three).
+
+    Rows equal in id, source and size share their copies out in order of their text.
+    """
+    key = ["doc_id", "source", "size"]
+    mixed = mixing.mixed(docs, weights=(5.0, 2.0, 1.0), limit=3.0, seed=42, keep_source=True)
+    mixed = written(mixed.select(*key, "copies"), "copies")
+    rows = docs.withColumn("size", word_count(F.col("text")))
+    if mixed.groupBy(*key).count().where("count > 1").limit(1).count():
+        rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*key).orderBy("text")))
+        mixed = mixed.withColumn("_turn", F.row_number().over(Window.partitionBy(*key).orderBy("copies")))
+        key = [*key, "_turn"]
+    copies = mixed.where("copies > 0").select(*(F.col(c).alias(f"_{c}") for c in key), "copies")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key))
+    repeat = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return rows.join(copies, same).select(*docs.columns, repeat.alias("_copy")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, best-fit packed into sequences of 2048 tokens."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("suffix_array_dedup", cut_repeated_passages),
+    ("source_mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
-STAGES: list = []
-ORACLE_SQL = None
+#: SQL cannot express a trained classifier, suffix arrays or a packing; tests hold the stages against brute force.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``, writing and rereading each one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -117,6 +117,7 @@ def mixed(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keep_source: bool = False,
 ) -> DataFrame:
     """How many words of each document a mix of the sources takes.
 
@@ -126,7 +127,8 @@ def mixed(
     taken once more are the first in a seeded order.
 
     Returns one row per input row: the id, ``size`` (words), ``source_size``,
-    ``target``, ``taken`` (words, a multiple of ``size``) and ``copies``.  A
+    ``target``, ``taken`` (words, a multiple of ``size``) and ``copies`` (and
+    ``source`` if ``keep_source``).  A
     null or wordless text has size 0 and is never taken; a null source is a
     source of its own; null ids and repeated rows count like others; extra
     columns are ignored; an empty table gives an empty result.  Reruns agree.
@@ -156,4 +158,5 @@ def mixed(
     numbered = ranked(sized, ["source", "size"], ["doc_id"], seed, buckets=256)
     met = numbered.join(chosen, same & (F.col("size") == F.col("_size")))
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("base") + (F.col("rank") < F.col("extra")).cast("bigint"))
-    return met.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    taken = (F.col("size") * copies).alias("taken")
+    return met.select("doc_id", *(["source"] if keep_source else []), "size", "source_size", "target", taken, copies.alias("copies"))

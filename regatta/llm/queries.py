@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from regatta.llm import host_rules
+from regatta.llm.html_extract import extract
 from regatta.llm.mixing import mixed
 from regatta.llm.packing import packed
 from regatta.llm.quality_model import quality
@@ -15,6 +16,7 @@ from regatta.llm.simhash import simhash_groups
 from regatta.llm.suffix_dedup import suffix_dedup
 from regatta.llm.token_counts import token_counts
 from regatta.llm.toxicity import toxicity_scores
+from regatta.llm.vector_dedup import vector_links
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), limit=3.0, seed=42)
 
 
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup(_table(spark, sf_dir, "documents"), length=100, with_text=False)
     return done.select("doc_id", "dedup.n_bytes", "dedup.n_removed", "dedup.n_spans", "dedup.kept_sha256")
@@ -50,12 +56,28 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_source_mixing, op4_suffix_dedup, op5_best_fit_packing, op6_host_rules, op7_simhash, op8_token_counts, op10_quality)
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_source_mixing,
+        op3_vector_dedup,
+        op4_suffix_dedup,
+        op5_best_fit_packing,
+        op6_host_rules,
+        op7_simhash,
+        op8_token_counts,
+        op9_html_extraction,
+        op10_quality,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_host_rules": host_rules.SQL}
