@@ -6,6 +6,7 @@ minutes for late rows.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,31 +45,34 @@ def metric_series(events: DataFrame, interval: str = "1 day") -> DataFrame:
     return series.select(F.col("w.start").alias("window_start"), *[c for c in series.columns if c != "w"])
 
 
+#: Seconds after which a hash that no version confirmed is forgotten.
+REMEMBERED = 30 * 24 * 3600
+
+
 def detected_changes(docs: DataFrame) -> DataFrame:
     """NEW or MODIFIED for each document version of a stream (key, content_hash); unchanged ones are dropped.
 
-    The last hash of a key is kept for 30 days after its latest version.
+    The state of a key is its last hash and when it was seen; a hash older than
+    30 days no longer counts.  (A processing-time timeout would free the state
+    as well, but keeps a query that runs until its source is drained going.)
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known = state.get[0] if state.exists else None
+        now = time.time()
+        known, seen = state.get if state.exists else (None, now)
+        known = known if now - seen <= REMEMBERED else None
         rows = []
         for frame in frames:
             for digest in frame["content_hash"]:
                 if digest != known:
                     rows.append((key[0], "NEW" if known is None else "MODIFIED", digest))
                     known = digest
-        if known is not None:
-            state.update((known,))
-            state.setTimeoutDuration(30 * 24 * 3600 * 1000)
+        state.update((known, now))
         if rows:
             yield pd.DataFrame(rows, columns=["key", "change_type", "content_hash"])
 
     return docs.groupBy("key").applyInPandasWithState(
-        step, "key string, change_type string, content_hash string", "content_hash string", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "key string, change_type string, content_hash string", "content_hash string, seen double", "append", GroupStateTimeout.NoTimeout
     )
 
 
