@@ -18,25 +18,27 @@ FITTED = 1 << 15
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = FITTED) -> np.ndarray:
     """How many documents of each length to take so that their sizes sum as near to ``budget`` as can be.
 
-    Every length first gives the budget's share of its documents.  What is
-    left is filled from the longest length down until about ``window`` words
-    remain, and bounded-knapsack dynamic programming over the documents still
-    free fits those exactly, or to the nearest sum that they can make.
+    Every length first gives the budget's share of its documents, but for a
+    rest that is kept back.  The rest is filled from the longest length down
+    while it is above ``window`` words, and bounded-knapsack dynamic programming
+    over the documents still free fits what is left exactly, or to the nearest
+    sum that they can make.  Of more than half of the words, those left out are
+    fitted instead, so that there are always enough documents to choose from.
     """
     total = int((lengths * counts).sum())
-    take = np.zeros(len(lengths), np.int64)
     if budget <= 0 or total == 0:
-        return take
-    if budget >= total:
-        return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
+        return np.zeros(len(lengths), np.int64)
+    if 2 * budget > total:
+        return counts - fit(lengths, counts, total - budget, window)
+    back = min(window // 2, max(budget // 8, 2 * int(lengths.max())), budget)
+    take = np.array([int(c) * (budget - back) // total for c in counts], np.int64)
     left = budget - int((take * lengths).sum())
-    down = [i for i in np.argsort(-lengths, kind="stable") if lengths[i] > 0]
-    for i in down:
+    for i in np.argsort(-lengths, kind="stable"):
         size = int(lengths[i])
-        more = min(int(counts[i] - take[i]), max(0, (left - window // 2) // size))
-        take[i] += more
-        left -= more * size
+        if size and left > window:
+            more = min(int(counts[i] - take[i]), (left - window // 2) // size)
+            take[i] += more
+            left -= more * size
     return take + _knapsack(lengths, counts - take, left)
 
 
