@@ -11,6 +11,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA_VERSION = "1.0"
 TIERS = ("basic", "standard", "advanced")
@@ -135,14 +136,14 @@ SIGNS = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalized(texts: pd.Series) -> pd.Series:
     """Unicode compatibility form with typographic signs replaced (no built-in function does this)."""
     signs = str.maketrans(SIGNS)
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).translate(signs))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unescape(t))
 
@@ -151,7 +152,7 @@ def unescaped(texts: pd.Series) -> pd.Series:
 FIELD_ORDER = 21888242871839275222246405745257275088548364400416034343698204186575808495617
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def entity_hash(ids: pd.Series) -> pd.Series:
     """SHA-256 of an id as an integer modulo the field order, in decimal (beyond any Spark number type)."""
     one = lambda x: None if x is None else str(int.from_bytes(hashlib.sha256(x.encode()).digest(), "big") % FIELD_ORDER)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from regatta.plans.catalog import ORACLE_SQL, QUERIES
-from tests.conftest import same_rows
+from tests.conftest import ROOT, same_rows
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -22,3 +22,11 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_queries_load_without_a_session():
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=ROOT, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
