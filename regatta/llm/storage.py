@@ -33,6 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/regatta-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of finished steps
     return spark.read.schema(schema).parquet(path)
 
 

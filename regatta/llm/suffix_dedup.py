@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,14 +32,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regatta.llm.storage import written
+from regatta.llm.storage import removed, written
 from regatta.llm.suffix_array import permuted_lcp, suffix_array
 
 GRAM = 32
 #: Divisions of an anchor's strings by the anchor's place in them.
 DIVISIONS = 4
 #: Bytes hashed at a time, and bytes of one suffix array.
-PIECE, SHARD = 1 << 20, 1 << 21
+PIECE, SHARD = 1 << 19, 1 << 19
+#: Pieces whose anchors are gathered before they are sent on, and bytes of snippets in one batch.
+GATHERED, SENT = 16, 1 << 21
 #: Snippets of one key that one shard takes; beyond it their strings are compared one by one, by hash.
 GROUP = 15_000
 #: Different neighbourhoods of one anchor in one batch from which the anchor counts as frequent.
@@ -143,29 +147,31 @@ def _pieces(texts: pa.Array, length: int) -> Iterator[list[tuple[int, int, int,
 
 
 def _find_anchors(length: int):
-    """Per task: anchors that are the first of their kind in the batch, and marks for the later ones."""
+    """Anchors; each is marked as the first of its kind among those gathered with it, or a later one."""
+
+    def first_seen(batch: pa.RecordBatch, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        row, place, gram, around = (np.concatenate(x) for x in zip(*found))
+        key, tie = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("k", "tie"))
+        order = np.lexsort((place, tie, key, around, gram))
+        key, tie, place, gram, around = (x[order] for x in (key, tie, place, gram, around))
+        new_gram = np.r_[True, gram[1:] != gram[:-1]]
+        new = new_gram | np.r_[True, around[1:] != around[:-1]]
+        again = np.r_[False, (key[1:] == key[:-1]) & (tie[1:] == tie[:-1]) & (place[1:] == place[:-1])] & ~new
+        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_gram))[np.cumsum(new_gram) - 1]
+        keep = ~again
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(gram.view(np.int64)[keep]), pa.array(around.view(np.int64)[keep]), pa.array(key[keep]),
+                pa.array(tie[keep]), pa.array(place[keep]), pa.array(new[keep]), pa.array((kinds >= FREQUENT)[keep]),
+            ],
+            names=["gram", "around", "k", "tie", "place", "first", "frequent"],
+        )
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_anchors(group, length) for group in _pieces(batch.column("bytes"), length)]
-            if not found:
-                continue
-            row, place, gram, around = (np.concatenate(x) for x in zip(*found))
-            key, tie = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("k", "tie"))
-            order = np.lexsort((place, tie, key, around, gram))
-            key, tie, place, gram, around = (x[order] for x in (key, tie, place, gram, around))
-            new_gram = np.r_[True, gram[1:] != gram[:-1]]
-            new = new_gram | np.r_[True, around[1:] != around[:-1]]
-            again = np.r_[False, (key[1:] == key[:-1]) & (tie[1:] == tie[:-1]) & (place[1:] == place[:-1])] & ~new
-            kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_gram))[np.cumsum(new_gram) - 1]
-            keep = ~again
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(gram.view(np.int64)[keep]), pa.array(around.view(np.int64)[keep]), pa.array(key[keep]),
-                    pa.array(tie[keep]), pa.array(place[keep]), pa.array(new[keep]), pa.array((kinds >= FREQUENT)[keep]),
-                ],
-                names=["gram", "around", "k", "tie", "place", "first", "frequent"],
-            )
+            groups = _pieces(batch.column("bytes"), length)
+            while found := [_anchors(group, length) for group in islice(groups, GATHERED)]:
+                yield first_seen(batch, found)
 
     return find
 
@@ -179,14 +185,13 @@ def _firsts(df: DataFrame, group: list[str], content: str, order: list[str]) ->
 
 
 def _snippets(length: int):
-    """Cut the bytes around the anchors of a document, a row for each division."""
+    """Hashes of the bytes around the anchors of a document, a row for each division that has strings."""
     width = length - GRAM + 1
     edges = [width * i // DIVISIONS for i in range(DIVISIONS + 1)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
-            bits: list[bytes] = []
             for row, (text, places) in enumerate(zip(batch.column("bytes"), batch.column("places"), strict=True)):
                 data = text.as_py()
                 n, at = len(data), np.asarray(places.values)
@@ -198,22 +203,61 @@ def _snippets(length: int):
                     shared = hasher.at(p - a, p + length - b + 1) ^ _TABLE[part]
                     content = _mixed(hasher.at(first, last + length) ^ ((p - first) * 512 + last - first).astype(np.uint64))
                     out.append((np.full(len(p), row), shared, content, first, last + length))
-                    bits += [data[lo:hi] for lo, hi in zip(first.tolist(), (last + length).tolist())]
-            if not bits:
+            if not out:
                 continue
             row, shared, content, first, end = (np.concatenate(x) for x in zip(*out))
             where = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(shared.view(np.int64)), pa.array(content.view(np.int64)), batch.column("k").take(where),
-                    batch.column("tie").take(where), pa.array(first), pa.array(end), pa.array(bits, pa.binary()),
+                    batch.column("tie").take(where), pa.array(first), pa.array(end),
                 ],
-                names=["shared", "content", "k", "tie", "low", "high", "bits"],
+                names=["shared", "content", "k", "tie", "low", "high"],
             )
 
     return cut
 
 
+def _fetched(length: int):
+    """The bytes of a document's snippets; of those with ``each``, a row for the hash of every string instead."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, key, place, bits, size = [], [], [], [], 0
+
+            def sent() -> pa.RecordBatch:
+                one = pa.array(np.array(rows, np.int64))
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(key, pa.int64()), batch.column("k").take(one), batch.column("tie").take(one), pa.array(place, pa.int64()),
+                     pa.array(bits, pa.binary())],
+                    names=["shared", "k", "tie", "low", "bits"],
+                )
+
+            for row, (text, snippets) in enumerate(zip(batch.column("bytes"), batch.column("snippets"), strict=True)):
+                data = text.as_py()
+                hashes = None
+                for s in snippets:
+                    s = s.as_py()
+                    if s["each"]:
+                        hashes = _Hasher(np.frombuffer(data, np.uint8)) if hashes is None else hashes
+                        low = np.arange(s["low"], s["high"] - length + 1)
+                        key += hashes.at(low, low + length).view(np.int64).tolist()
+                        place += low.tolist()
+                        bits += [None] * len(low)
+                    else:
+                        key.append(s["shared"])
+                        place.append(s["low"])
+                        bits.append(data[s["low"] : s["high"]])
+                    rows += [row] * (len(key) - len(rows))
+                    size += s["high"] - s["low"]
+                    if size >= SENT:
+                        yield sent()
+                        rows, key, place, bits, size = [], [], [], [], 0
+            yield sent()
+
+    return fetch
+
+
 def repeated_strings(bits: list[bytes], key: np.ndarray, tie: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Snippets (indices) and places of strings of ``length`` bytes that an earlier snippet also has.
 
@@ -293,23 +337,6 @@ def _shards(length: int):
     return run
 
 
-def _string_hashes(length: int):
-    """One row for each string of a snippet: its hash and place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, bits in enumerate(batch.column("bits")):
-                hashes = _Hasher(np.frombuffer(bits.as_py(), np.uint8)).every(length)
-                one = pa.array(np.full(len(hashes), row))
-                low = batch.column("low")[row].as_py() + np.arange(len(hashes))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), batch.column("k").take(one), batch.column("tie").take(one), pa.array(low)],
-                    names=["string", "k", "tie", "low"],
-                )
-
-    return run
-
-
 def removed_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Byte spans to remove: ``k`` (id; the largest long for null), ``tie`` (hash of the text), ``low``, ``high``.
 
@@ -322,38 +349,40 @@ def removed_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
         _find_anchors(length), f"gram bigint, around bigint, {id_cols}, place bigint, first boolean, frequent boolean"
     )
     found = written(found, "anchors")
-    around = [F.greatest(F.col("place") - (width - 1), F.lit(0)).alias("low"), (F.col("place") + length).alias("high")]
-    marks = [found.where("not first").select("k", "tie", *around)]
     # Anchors frequent in some batch are known to be mixed; their rows are dealt out by neighbourhood too.
     often = found.where("frequent").select("gram").distinct().withColumn("often", F.lit(True))
     firsts = found.where("first").select("gram", "around", "k", "tie", "place").join(often, "gram", "left")
     firsts = firsts.withColumn("salt", F.when(F.col("often"), F.col("around")).otherwise(F.lit(0)))
-    seen = written(
-        _firsts(firsts, ["gram", "salt"], "around", ["k", "tie", "place"]).where("repeat or mixed or often"), "neighbourhoods"
-    )
-    marks.append(seen.where("repeat").select("k", "tie", *around))
+    firsts = _firsts(firsts, ["gram", "salt"], "around", ["k", "tie", "place"]).where("repeat or mixed or often")
+    seen = firsts.select("k", "tie", "place", "repeat").union(found.where("not first").select("k", "tie", "place", F.lit(True)))
+    seen = written(seen, "neighbourhoods")
+    removed(found)
+    low = F.greatest(F.col("place") - (width - 1), F.lit(0))
+    marks = [seen.where("repeat").select("k", "tie", low.alias("low"), (F.col("place") + length).alias("high"))]
+
     places = seen.where("not repeat").groupBy("k", "tie").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    fetched = keyed.join(places, ["k", "tie"]).select("bytes", "places", "k", "tie")
-    snippets = fetched.mapInArrow(_snippets(length), f"shared bigint, content bigint, {id_cols}, low bigint, high bigint, bits binary")
+    near = keyed.join(places, ["k", "tie"]).select("bytes", "places", "k", "tie")
+    snippets = near.mapInArrow(_snippets(length), f"shared bigint, content bigint, {id_cols}, low bigint, high bigint")
     snippets = written(snippets, "snippets")
     sizes = snippets.groupBy("shared").agg(F.count("*").alias("n")).where("n > 1")
     met = snippets.join(sizes, "shared")
-    some = written(_firsts(met.where(f"n <= {GROUP}"), ["shared"], "content", ["k", "tie", "low"]).where("repeat or mixed"), "shards")
-    marks.append(some.where("repeat").select("k", "tie", "low", "high"))
-    shards = some.where("not repeat").select("shared", "k", "tie", "low", "bits")
-    shards = shards.repartition("shared").sortWithinPartitions("shared", "k", "tie", "low")
+    # Keys with very many snippets are not gathered: each of their strings is compared by its hash.
+    large = met.where(f"n > {GROUP}").select("k", "tie", "low", "high", "shared", F.lit(False).alias("repeat"), F.lit(True).alias("each"))
+    small = _firsts(met.where(f"n <= {GROUP}"), ["shared"], "content", ["k", "tie", "low"]).where("repeat or mixed")
+    open_ = written(small.select("k", "tie", "low", "high", "shared", "repeat", F.lit(False).alias("each")).union(large), "open")
+    removed(snippets)
+    marks.append(open_.where("repeat").select("k", "tie", "low", "high"))
+
+    wanted = open_.where("not repeat").groupBy("k", "tie").agg(F.collect_set(F.struct("shared", "low", "high", "each")).alias("snippets"))
+    bits = keyed.join(wanted, ["k", "tie"]).select("bytes", "snippets", "k", "tie")
+    bits = written(bits.mapInArrow(_fetched(length), f"shared bigint, {id_cols}, low bigint, bits binary"), "bits")
+    shards = bits.where("bits is not null").repartition("shared").sortWithinPartitions("shared", "k", "tie", "low")
     marks.append(shards.mapInPandas(_shards(length), f"{id_cols}, low bigint, high bigint"))
-    # Keys with very many snippets: every string by its hash, smallest place first, combined before the shuffle.
-    strings = met.where(f"n > {GROUP}").select("k", "tie", "low", "bits").mapInArrow(
-        _string_hashes(length), f"string bigint, {id_cols}, low bigint"
-    )
-    earliest = strings.groupBy("string").agg(F.min(F.struct("k", "tie", "low")).alias("e"), F.count("*").alias("n")).where("n > 1")
-    later = strings.join(earliest, "string").where(F.struct("k", "tie", "low") > F.col("e"))
+    strings = bits.where("bits is null").select("shared", "k", "tie", "low")
+    earliest = strings.groupBy("shared").agg(F.min(F.struct("k", "tie", "low")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = strings.join(earliest, "shared").where(F.struct("k", "tie", "low") > F.col("first"))
     marks.append(later.select("k", "tie", "low", (F.col("low") + length).alias("high")))
-    spans = marks[0]
-    for more in marks[1:]:
-        spans = spans.union(more)
-    return spans
+    return written(reduce(DataFrame.union, marks), "spans")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
