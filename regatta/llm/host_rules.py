@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regatta.llm.storage import written
 from regatta.llm.words import SPACE, SPACE_CHARS, word_count
 
 #: Characters that count as symbols, fixed by the operator's contract.
@@ -128,7 +129,7 @@ def host_verdicts(measured: DataFrame, limit: float = 0.5) -> DataFrame:
     documents and whose weight follows from how much hosts' rates vary beyond
     chance (method of moments over hosts of two or more documents, between 1 and
     1000 documents' worth).  A host passes while its posterior mean is at most
-    ``limit``.  The prior is two sums over one row per host.
+    ``limit``.  Only the prior's two numbers reach the driver.
     """
     hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(rule_failed().cast("bigint")).alias("failed"))
     rate = F.sum("failed") / F.sum("n")
@@ -144,9 +145,10 @@ def host_verdicts(measured: DataFrame, limit: float = 0.5) -> DataFrame:
     chance = m * (1 - m) * F.col("inverse") / k
     between = variance - chance
     weight = F.when(k < 2, 1.0).when(between <= m * (1 - m) / 1000, 1000.0).otherwise(F.greatest(F.lit(1.0), m * (1 - m) / between - 1))
-    judged = hosts.crossJoin(F.broadcast(prior.select("mean", weight.alias("weight"))))  # the prior is one row
-    posterior = (F.col("failed") + F.col("weight") * F.col("mean")) / (F.col("n") + F.col("weight"))
-    return judged.select("host", "n", "failed", posterior.alias("host_rate"), (posterior <= limit).alias("host_ok"))
+    row = prior.select("mean", weight.alias("weight")).first()
+    mean, weight = F.lit(row["mean"] or 0.0), F.lit(row["weight"] or 1.0)
+    posterior = (F.col("failed") + weight * mean) / (F.col("n") + weight)
+    return hosts.select("host", "n", "failed", posterior.alias("host_rate"), (posterior <= limit).alias("host_ok"))
 
 
 def host_rules(docs: DataFrame, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -159,7 +161,7 @@ def host_rules(docs: DataFrame, limit: float = 0.5, id_col: str = "doc_id", text
     so a host of a third of all rows costs a row per task, and the join is
     one that adaptive execution can split.
     """
-    measured = measures(docs, id_col, text_col, host_col)
+    measured = written(measures(docs, id_col, text_col, host_col), "measures")  # read three times, computed once
     verdicts = host_verdicts(measured, limit).withColumnRenamed("host", "_host")
     met = measured.join(verdicts, F.col("host").eqNullSafe(F.col("_host")))
     return met.select(
