@@ -38,7 +38,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     groups = simhash.simhash_groups(docs, distance=2)
     kept = written(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "kept")
-    rows = docs.join(kept, docs.doc_id == F.col("_id")).select(*docs.columns)
+    # Ids of kept documents grow with the corpus: a merge join at every size, never a broadcast.
+    rows = docs.join(kept.hint("merge"), docs.doc_id == F.col("_id")).select(*docs.columns)
     if kept.where("_n > 1").limit(1).count():
         order = Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in ["text", *docs.columns]))
         rows = rows.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").select(*docs.columns)
@@ -69,7 +70,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = mixed.where("copies > 0").select(*(F.col(c).alias(f"_{c}") for c in key), "copies")
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key))
     repeat = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return rows.join(copies, same).select(*docs.columns, repeat.alias("_copy")).select(*docs.columns)
+    return rows.join(copies.hint("merge"), same).select(*docs.columns, repeat.alias("_copy")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
