@@ -14,6 +14,27 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 
 
+#: Words over this many characters are read as pieces of ``PIECE`` characters, about as long as ordinary words;
+#: neighbours share ``SHARED`` characters, so that every run of five is whole in one of them.
+LONGEST, PIECE, SHARED = 64, 12, 4
+#: Stands at the ends of a piece that are not ends of its word.
+CUT = "\ue000"
+
+
+def in_pieces(words: list[str]) -> list[str]:
+    """The words, the long ones as overlapping pieces; nothing of a word is left out."""
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= LONGEST:
+            out.append(w)
+            continue
+        last = len(w) - SHARED
+        out += [f"{CUT if at else ''}{w[at : at + PIECE]}{CUT if at + PIECE < len(w) else ''}" for at in range(0, last, PIECE - SHARED)]
+    return out
+
+
 def held_out(id_col: Column) -> Column:
     """Rows that no classifier may learn from: crc32 of the id as text has remainder 2 modulo 4 (never for null)."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -35,7 +56,7 @@ def sample_windows(
     Labels that repeat an id take their largest value; null ids and labels are
     left out.  Only ids of the sample are broadcast (its size is the bound),
     and only the windows reach the driver: ``per_class`` x ``most`` x
-    ``width`` words at most.
+    ``width`` words or pieces of long words at most.
     """
     rated = labels.select("doc_id", label.alias("label")).where("doc_id is not null and label is not null")
     rated = rated.groupBy("doc_id").agg(F.max("label").alias("label")).where(~held_out(F.col("doc_id")))
@@ -49,7 +70,7 @@ def sample_windows(
         for frame in frames:
             rows = []
             for doc_id, text, value in frame.itertuples(index=False):
-                words = split.findall((text or "").lower() if lower else text or "")
+                words = in_pieces(split.findall((text or "").lower() if lower else text or ""))
                 seed = zlib.crc32(str(doc_id).encode())
                 rows += [(doc_id, int(value), " ".join(w)) for w in windows_of(words, width, most, seed)]
             yield pd.DataFrame(rows, columns=["doc_id", "label", "words"])

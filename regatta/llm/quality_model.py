@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regatta.llm.labelled import Adam, Bags, held_out, sample_windows
+from regatta.llm.labelled import CUT, Adam, Bags, held_out, in_pieces, sample_windows
 
 TOKEN = re.compile(r"\S+")
 BUCKETS = 1 << 16
@@ -30,15 +30,23 @@ def _sign(run: re.Match) -> str:
 
 def features(token: str) -> tuple[int, int]:
     """Buckets of a token's lower-case form and of its shape (runs of letters and digits become one sign)."""
-    short = token[:64]
-    shape = RUN.sub(_sign, short)
-    return zlib.crc32(short.lower().encode()) % BUCKETS, zlib.crc32(b"shape " + shape.encode()) % BUCKETS
+    shape = RUN.sub(_sign, token)
+    return zlib.crc32(token.lower().encode()) % BUCKETS, zlib.crc32(b"shape " + shape.encode()) % BUCKETS
 
 
 #: Bucket of a token that equals the one before it.
 AGAIN = zlib.crc32(b"again") % BUCKETS
 
 
+def again(units: list[str]) -> list[int]:
+    """Places where a token that equals the one before it starts; pieces of long tokens are taken together."""
+    if not any(CUT in u for u in units):
+        return [i for i in range(1, len(units)) if units[i] == units[i - 1]]
+    starts = [i for i, u in enumerate(units) if not i or not u.startswith(CUT)]
+    tokens = [units[a:b] for a, b in zip(starts, [*starts[1:], len(units)])]
+    return [starts[i] for i in range(1, len(starts)) if tokens[i] == tokens[i - 1]]
+
+
 @dataclass(frozen=True)
 class Model:
     """Weight of each bucket, and the ordered thresholds between grades."""
@@ -71,8 +79,9 @@ def fit(texts: list[str], grades: np.ndarray, levels: int, epochs: int = 120) ->
     rows, cols, values = [], [], []
     for r, text in enumerate(texts):
         tokens = text.split()
-        for before, token in zip([None, *tokens], tokens):
-            for c in (*features(token), *([AGAIN] if token == before else [])):
+        repeats = set(again(tokens))
+        for i, token in enumerate(tokens):
+            for c in (*features(token), *([AGAIN] if i in repeats else [])):
                 rows.append(r)
                 cols.append(c)
                 values.append(1.0 / len(tokens))
@@ -113,16 +122,17 @@ class Scorer:
         return value
 
     def signal(self, text: str) -> float:
-        """Mean weight of a text's tokens."""
+        """Mean weight of a text's tokens; pieces of long tokens count as tokens."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         tokens = TOKEN.findall(text)
         if not tokens:
             return 0.0
-        total = sum([known[t] if t in known else self._token(t) for t in tokens])
-        again = sum(map(str.__eq__, tokens, tokens[1:]))
-        return (total + again * self.weights[AGAIN]) / len(tokens)
+        repeats = sum(map(str.__eq__, tokens, tokens[1:]))
+        units = in_pieces(tokens)
+        total = sum([known[t] if t in known else self._token(t) for t in units])
+        return (total + repeats * self.weights[AGAIN]) / len(units)
 
 
 @cache
@@ -135,10 +145,10 @@ def graded(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when((quality == 1) & (F.coalesce(toxic, F.lit(0)) == 1), 1).when(quality == 1, 2)
 
 
-def trained(docs: DataFrame, labels: DataFrame, per_grade: int = 1500) -> Model:
-    """Fit on at most ``per_grade`` documents of each grade that are not held out."""
+def trained(docs: DataFrame, labels: DataFrame, per_grade: int = 1500, windows: int = 8) -> Model:
+    """Fit on at most ``per_grade`` documents of each grade that are not held out, ``windows`` windows of each at most."""
     grade = graded(F.col("quality"), F.col("toxic")).cast("int")
-    sample = sample_windows(docs, labels, grade, TOKEN, False, {k: per_grade for k in range(3)}, WINDOW)
+    sample = sample_windows(docs, labels, grade, TOKEN, False, {k: per_grade for k in range(3)}, WINDOW, most=windows)
     return fit(sample["words"].tolist(), sample["label"].to_numpy().astype(np.int64), 3)
 
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regatta.llm.labelled import WORD, Adam, Bags, held_out, sample_windows
+from regatta.llm.labelled import CUT, WORD, Adam, Bags, held_out, in_pieces, sample_windows
 
 #: Hash buckets of subwords; a word is one subword, and so are its character n-grams with word ends.
 BUCKETS, GRAMS = 1 << 17, (3, 4, 5)
@@ -26,10 +26,12 @@ REMEMBERED = 400_000
 
 
 def subwords(word: str) -> list[int]:
-    """Buckets of a lower-case word and its character n-grams; long words are cut at 64 characters."""
-    marked = f"<{word[:64]}>"
+    """Buckets of a lower-case word and its character n-grams; a piece of a long word has n-grams only."""
+    marked = f"<{word}>"
+    if CUT in word:
+        marked = marked.removeprefix(f"<{CUT}").removesuffix(f"{CUT}>")
     n = len(marked)
-    found = [zlib.crc32(marked.encode()) % BUCKETS]
+    found = [] if CUT in word else [zlib.crc32(marked.encode()) % BUCKETS]
     for size in GRAMS:
         found += [zlib.crc32(marked[i : i + size].encode()) % BUCKETS for i in range(n - size + 1)]
     return found
@@ -148,11 +150,11 @@ class Scorer:
         return value
 
     def score(self, text: str) -> float:
-        """Probability of the most toxic window; windows overlap by half."""
+        """Probability of the most toxic window; windows overlap by half, and pieces of long words count as words."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        words = WORD.findall(text.lower())
+        words = in_pieces(WORD.findall(text.lower()))
         sums = np.zeros(len(words) + 1)
         np.cumsum([known[w] if w in known else self._word(w) for w in words], out=sums[1:])
         starts = np.arange(0, max(1, len(words) - WINDOW // 2), WINDOW // 2)
@@ -166,13 +168,14 @@ def _scorer(weights: bytes, bias: float) -> Scorer:
     return Scorer(Model(np.frombuffer(weights, np.float32), bias))
 
 
-def trained(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1200, clean_docs: int = 2800) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1200, clean_docs: int = 2800, windows: int = 3) -> Model:
     """Fit on at most ``toxic_docs`` and ``clean_docs`` labelled documents that are not held out.
 
+    Of each document ``windows`` windows are read at most, chosen by a seed.
     The sample may hold a larger share of toxic documents than the labels do;
     the bias is corrected to the labels' share.
     """
-    sample = sample_windows(docs, labels, F.col("toxic").cast("int"), WORD, True, {1: toxic_docs, 0: clean_docs}, WINDOW, most=3)
+    sample = sample_windows(docs, labels, F.col("toxic").cast("int"), WORD, True, {1: toxic_docs, 0: clean_docs}, WINDOW, most=windows)
     documents = sample["doc_id"].rank(method="dense").fillna(0).to_numpy().astype(np.int64)
     model = fit(sample["words"].tolist(), documents, sample["label"].to_numpy().astype(np.int64))
     rated = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
