@@ -31,19 +31,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id.
+    """One row of each SimHash group: the first by id (null ids last), fingerprint and hash of the text.
 
-    Rows that repeat an id are one document, of which the smallest text stays.
-    Rows without an id cannot be told apart from each other and stay.
+    The same rule holds for every row.  Rows equal in id and text are taken in
+    order of all their columns.
     """
-    groups = simhash.simhash_groups(docs, distance=2)
-    kept = written(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "kept")
+    rows = docs.withColumn("_hash", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    groups = simhash.simhash_groups(rows, distance=2, carried=("_hash",))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", F.col("_hash").alias("hash"))).alias("first")
+    kept = written(groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_kept")), "kept")
     # Ids of kept documents grow with the corpus: a merge join at every size, never a broadcast.
-    rows = docs.join(kept.hint("merge"), docs.doc_id == F.col("_id")).select(*docs.columns)
-    if kept.where("_n > 1").limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in ["text", *docs.columns]))
-        rows = rows.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").select(*docs.columns)
-    return rows.union(docs.where("doc_id is null"))
+    rows = rows.join(kept.hint("merge"), rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")))
+    order = Window.partitionBy("doc_id", "_hash").orderBy(*docs.columns)
+    return rows.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,16 +47,17 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and signed 64-bit ``fp`` of every row; null, empty and wordless texts have fingerprint 0."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the ``carried`` columns and signed 64-bit ``fp`` of every row; null, empty and wordless texts have fingerprint 0."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), *carried, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(fps.view(np.int64))], names=[*own, "fp"])
 
-    return rows.mapInArrow(compute, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    own = ["doc_id", *carried]
+    return rows.mapInArrow(compute, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in own) + ", fp bigint")
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -185,26 +186,27 @@ def linked(fps: DataFrame, distance: int = 2, group: int = GROUP) -> DataFrame:
     return flat.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_links(distance), "a bigint, b bigint")
 
 
-def simhash_groups(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
     """Fingerprint and component of every document.
 
     Returns one row per input row: the id, ``fingerprint`` (16 lowercase hex
     digits), ``component_id`` (smallest id reachable over links of at most
-    ``distance`` differing bits, itself included) and ``fp`` (the bits as a
-    signed long).  Null, empty and wordless texts have fingerprint zero and
+    ``distance`` differing bits, itself included), ``fp`` (the bits as a
+    signed long), ``root`` (a fingerprint that names the component, also where
+    it has no id) and the columns ``carried``.  Null, empty and wordless texts have fingerprint zero and
     link like any other.  Rows with a null id take part in the links but never
     name a component (null if a component has no other); repeated rows each
     appear; extra columns are ignored; an empty table gives an empty result.
     Equal fingerprints are collapsed before any join, so large groups of
     copies cost one row.
     """
-    found = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    found = written(fingerprints(docs, id_col, text_col, carried), "fingerprints")
     classes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(linked(classes.select("fp"), distance))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = written(named, "classes")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(ids, "root").select("fp", "component_id")
+    of_fp = named.join(ids, "root").select("fp", "component_id", "root")
     return found.join(of_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "root", *carried
     )
