@@ -13,27 +13,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regatta.operators.storage import checkpointed
+
 SCHEMA_VERSION = "1.0"
 TIERS = ("basic", "standard", "advanced")
 
 
-def generated(requirements: DataFrame) -> DataFrame:
-    """One nested document per regulation, its requirements in order of id, with statistics."""
+def statistics(requirements: DataFrame) -> DataFrame:
+    """Counts of requirements per regulation, in all and by tier, and the first id."""
+    of = lambda t: F.count(F.when(F.col("tier") == t, 1)).cast("int").alias(t)
+    counts = [F.count("*").cast("int").alias("total"), *map(of, TIERS), F.min("requirement_id").alias("first_requirement")]
+    return requirements.groupBy(F.col("regulation_id").alias("id")).agg(*counts)
+
+
+def generated(requirements: DataFrame, size: int = 1000) -> DataFrame:
+    """Nested documents of a regulation, about ``size`` requirements in order of id in each ``chunk``, with the regulation's statistics."""
     item = F.struct(
         F.col("requirement_id").alias("id"), F.col("natural_language").alias("text"), F.col("tier"), F.col("method").alias("verification_method"),
         F.struct(F.col("jurisdictions"), F.col("sectors")).alias("scope"), F.struct(F.col("penalty").alias("penalty_monetary_max")).alias("enforcement"),
         F.col("effective_date").cast("string").alias("effective_date"),
     )
-    docs = requirements.groupBy(F.col("regulation_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("requirements"))
-    of = lambda t: F.size(F.filter("requirements", lambda r: r["tier"] == t)).alias(t)
-    stats = F.struct(F.size("requirements").alias("total"), *(of(t) for t in TIERS))
-    return docs.select("id", F.lit(SCHEMA_VERSION).alias("schema_version"), "requirements", stats.alias("statistics"))
+    stats = statistics(requirements).select(F.col("id").alias("_id"), F.struct("total", *TIERS).alias("statistics"))
+    rows = requirements.join(stats, requirements["regulation_id"].eqNullSafe(F.col("_id")))
+    chunk = F.pmod(F.xxhash64("requirement_id", "natural_language"), F.ceil(F.col("statistics.total") / size)).cast("int").alias("chunk")
+    docs = rows.groupBy(F.col("regulation_id").alias("id"), chunk).agg(F.array_sort(F.collect_list(item)).alias("requirements"), F.first("statistics").alias("statistics"))
+    return docs.select("id", "chunk", F.lit(SCHEMA_VERSION).alias("schema_version"), "requirements", "statistics")
 
 
 def encoded(docs: DataFrame) -> DataFrame:
     """Documents as JSON text with a hash of it."""
     text = F.to_json(F.struct(*docs.columns))
-    return docs.select("id", text.alias("json"), F.sha2(text, 256).alias("document_hash"))
+    return docs.select("id", "chunk", text.alias("json"), F.sha2(text, 256).alias("document_hash"))
 
 
 def decoded(texts: DataFrame, schema: str) -> DataFrame:
@@ -54,49 +64,71 @@ def validation_errors(requirements: DataFrame) -> DataFrame:
     return requirements.select("requirement_id", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("error"))
 
 
-def graph_edges(docs: DataFrame, references: DataFrame) -> DataFrame:
-    """Edges (type, src, dst) of nested documents: membership, scope, and references whose ends both exist.
+def graph_edges(requirements: DataFrame, references: DataFrame) -> DataFrame:
+    """Edges (type, src, dst) of requirements: membership, scope, and references whose ends both exist.
 
     ``references`` has ``src``, ``dst`` and ``kind``; kinds other than
     depends_on and conflicts_with make no edge.
     """
-    flat = docs.select(F.col("id").alias("regulation"), F.explode("requirements").alias("r")).select("regulation", "r.id", "r.scope")
-    name = F.col("id").cast("string")
-    belongs = flat.select(F.lit("BELONGS_TO").alias("type"), name.alias("src"), F.col("regulation").alias("dst"))
-    scope = lambda kind, field: flat.select(F.lit(kind).alias("type"), name.alias("src"), F.explode(F.array_distinct(f"scope.{field}")).alias("dst"))
-    known = flat.select(F.col("id").alias("_id"))
+    name = F.col("requirement_id").cast("string")
+    belongs = requirements.select(F.lit("BELONGS_TO").alias("type"), name.alias("src"), F.col("regulation_id").alias("dst"))
+    scope = lambda kind, field: requirements.select(F.lit(kind).alias("type"), name.alias("src"), F.explode(F.array_distinct(field)).alias("dst"))
+    known = requirements.select(F.col("requirement_id").alias("_id"))
     linked = references.where(F.col("kind").isin("depends_on", "conflicts_with"))
     linked = linked.join(known, linked.src == F.col("_id"), "left_semi").join(known, linked.dst == F.col("_id"), "left_semi")
     linked = linked.select(F.upper("kind").alias("type"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
     return belongs.union(scope("APPLIES_TO_JURISDICTION", "jurisdictions")).union(scope("APPLIES_TO_SECTOR", "sectors")).union(linked)
 
 
+def _alike(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (earlier, later) of nodes of one regulation with a Jaccard similarity above ``threshold``.
+
+    Distinct sets that are so alike have more than t / (1 - t) words, sizes
+    within a factor of t, and a word in common among the rarest
+    size - t * size + 1 of each, taken in one order of all words.
+    """
+    t, slack = threshold, 1e-9
+    n = F.size("_words")
+    long = rows.where(n >= int(t / (1 - t) - slack)) if t < 1 else rows.limit(0)
+    each = long.select("_node", F.explode("_words").alias("_word"))
+    often = each.groupBy("_word").agg(F.count("*").alias("_often"))
+    least = F.array_sort(F.collect_list(F.struct("_often", "_word"))).alias("_least")
+    rare = long.join(each.join(often, "_word").groupBy("_node").agg(least), "_node")
+    first = F.expr(f"slice(_least, 1, cast(size(_words) - ceil({t}D * size(_words) - {slack}D) + 1 as int))")
+    rare = rare.select("regulation_id", "requirement_id", "_node", "_words", n.alias("_n"), F.explode(first["_word"]).alias("_word"))
+    a = rare.select(*(F.col(c).alias(f"a_{c}") for c in rare.columns))
+    sizes = F.expr(f"sequence(cast(ceil({t}D * _n - {slack}D) as int), cast(floor(_n / {t}D + {slack}D) as int))")
+    b = rare.withColumn("_like", F.explode(sizes))
+    met = a.join(b, (F.col("a__word") == F.col("_word")) & (F.col("a__n") == F.col("_like")) & F.col("a_regulation_id").eqNullSafe(F.col("regulation_id")))
+    met = met.where(F.struct("a_requirement_id", "a__node") < F.struct("requirement_id", "_node"))
+    share = F.size(F.array_intersect("a__words", "_words")) / F.size(F.array_union("a__words", "_words"))
+    return met.where(share > t).select(F.col("a__node").alias("earlier"), F.col("_node").alias("later")).distinct()
+
+
 def greedy_unique(requirements: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Requirements whose words are not too like those of an earlier one kept in the same regulation.
 
     First wins, in order of id; similarity is Jaccard on word sets.  Equal word
-    sets are collapsed first; what remains of one regulation is one group.
+    sets are collapsed first; pairs that are alike come from an equi-join on
+    rare words, and rounds of joins settle them: what has no earlier one left
+    stays, and what is like it goes.
     """
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("natural_language"), r"\s+"), lambda w: w != "")))
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("natural_language", F.lit(""))), r"\s+"), lambda w: w != "")))
     order = Window.partitionBy("regulation_id", "_words").orderBy("requirement_id")
     first = requirements.select("requirement_id", "regulation_id", words.alias("_words")).withColumn("_n", F.row_number().over(order))
     first = first.where((F.col("_n") == 1) | (F.size("_words") == 0)).drop("_n")
-
-    def keep(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set[str]] = []
-        by_word: dict[str, set[int]] = {}
-        out = []
-        for i, w in frame.sort_values("requirement_id")[["requirement_id", "_words"]].itertuples(index=False):
-            own = set(w)
-            near = {k for x in own for k in by_word.get(x, ())}
-            if not any(len(own & kept[k]) / len(own | kept[k]) > threshold for k in near):
-                for x in own:
-                    by_word.setdefault(x, set()).add(len(kept))
-                kept.append(own)
-                out.append(i)
-        return pd.DataFrame({"requirement_id": out, "regulation_id": frame["regulation_id"].iloc[0]})
-
-    return first.groupBy("regulation_id").applyInPandas(keep, "requirement_id bigint, regulation_id string")
+    first = checkpointed(first.withColumn("_node", F.sha2(F.to_json(F.struct("regulation_id", "requirement_id", "_words")), 256)))
+    pairs, gone = checkpointed(_alike(first, threshold)), []
+    while not pairs.isEmpty():
+        stay = pairs.select("earlier").distinct().join(pairs.select(F.col("later").alias("earlier")), "earlier", "left_anti")
+        out = checkpointed(pairs.join(stay, "earlier").select(F.col("later").alias("_node")).distinct())
+        gone.append(out)
+        for end in ("earlier", "later"):
+            pairs = pairs.join(out.withColumnRenamed("_node", end), end, "left_anti")
+        pairs = checkpointed(pairs)
+    for out in gone:
+        first = first.join(out, "_node", "left_anti")
+    return first.select("requirement_id", "regulation_id")
 
 
 #: Words that make a sentence an obligation, prohibition or permission (stand-in for a language model).

@@ -19,8 +19,7 @@ from regatta.sources import domain
     )
 )
 def n17_regulation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = rml.generated(domain.requirements(spark, sf_dir))
-    return docs.select("id", "statistics.*", F.element_at("requirements", 1)["id"].alias("first_requirement"))
+    return rml.statistics(domain.requirements(spark, sf_dir))
 
 
 @query(oracle("select regulation_id as id, requirement_id, tier from requirements"))
@@ -45,7 +44,7 @@ def n20_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = domain.depends_on(spark, sf_dir).withColumn("kind", F.lit("depends_on"))
     links = links.union(domain.conflicts(spark, sf_dir).withColumn("kind", F.lit("conflicts_with")))
     links = links.union(domain.conflicts(spark, sf_dir).withColumn("kind", F.lit("cites")))
-    return rml.graph_edges(rml.generated(domain.requirements(spark, sf_dir)), links)
+    return rml.graph_edges(domain.requirements(spark, sf_dir), links)
 
 
 @query(

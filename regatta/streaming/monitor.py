@@ -7,11 +7,14 @@ minutes for late rows.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from regatta.sources.domain import mapped
@@ -86,41 +89,53 @@ def cooled(times: list[float], minutes: float = 60) -> list[bool]:
     return out
 
 
-def alerts(events: DataFrame, drop: int = 1000, minutes: float = 60) -> DataFrame:
-    """Alerts of a batch of events: violations, and scores that fall by more than ``drop``; a cooldown per entity and rule.
+def _in_turn(rows: DataFrame, keys: list[str], step: Callable[[Any, float], tuple[Any, bool]], flag: str) -> DataFrame:
+    """The rows with a boolean ``flag`` that ``step`` gives from a key's state and the row's time in seconds, in order of time and event.
 
-    One task handles the candidates of one entity and rule, in order of time.
+    Sorted partitions are read batch by batch and one state is carried on, so
+    that a key may have any number of rows.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            flags = []
+            for key, us in zip(batch.column("_key").to_pylist(), batch.column("_us").to_pylist(), strict=True):
+                if key != now:
+                    now, state = key, None
+                state, said = step(state, float("-inf") if us is None else us / 1e6)
+                flags.append(said)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(flags, pa.bool_())], names=[*columns, flag])
+
+    columns = rows.columns
+    keyed = rows.withColumns({"_key": F.to_json(F.struct(*keys)), "_us": F.unix_micros(F.col("ts").cast("timestamp"))})
+    turns = keyed.repartition("_key").sortWithinPartitions("_key", F.asc_nulls_last("ts"), "event_id")
+    return turns.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(flag, T.BooleanType())]))
+
+
+def alerts(events: DataFrame, drop: int = 1000, minutes: float = 60) -> DataFrame:
+    """Alerts of a batch of events: violations, and scores that fall by more than ``drop``; a cooldown per entity and rule."""
     scores = events.where("event_type = 'score.calculated'")
     before = F.lag("score").over(Window.partitionBy("entity_id").orderBy("ts", "event_id"))
     falls = scores.withColumn("_d", F.col("score") - before).where(F.col("_d") < -drop)
     found = events.where("event_type = 'violation.detected'").select("event_id", "entity_id", "ts", F.lit("violation").alias("rule"))
     found = found.union(falls.select("event_id", "entity_id", "ts", F.lit("score_drop").alias("rule")))
 
-    def fire(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "event_id"])
-        seconds = frame["ts"].astype("datetime64[us]").astype("int64") / 1e6
-        return frame[cooled(seconds.tolist(), minutes)]
+    def fire(last: float | None, t: float) -> tuple[float, bool]:
+        fires = last is None or t - last >= minutes * 60
+        return (t if fires else last), fires
 
-    return found.groupBy("entity_id", "rule").applyInPandas(fire, found.schema)
+    return _in_turn(found, ["entity_id", "rule"], fire, "_fires").where("_fires").drop("_fires")
 
 
 def limited(events: DataFrame, per_window: int = 100, seconds: int = 60) -> DataFrame:
     """Whether each request is within the limit of its entity's fixed window, which opens with its first request."""
 
-    def admit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "event_id"])
-        at = (frame["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist()
-        out, opened, used = [], None, 0
-        for t in at:
-            if opened is None or t - opened >= seconds:
-                opened, used = t, 0
-            used += 1
-            out.append(used <= per_window)
-        return frame.assign(allowed=out)
-
-    rows = events.select("event_id", "entity_id", "ts")
-    return rows.groupBy("entity_id").applyInPandas(admit, "event_id bigint, entity_id bigint, ts timestamp, allowed boolean")
+    def admit(state: tuple[float, int] | None, t: float) -> tuple[tuple[float, int], bool]:
+        opened, used = state if state is not None and t - state[0] < seconds else (t, 0)
+        return (opened, used + 1), used + 1 <= per_window
+
+    return _in_turn(events.select("event_id", "entity_id", F.col("ts").cast("timestamp").alias("ts")), ["entity_id"], admit, "allowed")
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str) -> None:
