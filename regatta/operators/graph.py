@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(reversed_edges(edges)).distinct()
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(root, node, depth): nodes 1 to ``max_depth`` steps from each root, with the least depth.
+def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = 10) -> DataFrame:
+    """(root, node, depth): nodes 1 to ``max_depth`` steps (None: any number) from each root, with the least depth.
 
     A frontier joins the edges round by round; pairs seen before leave by an
     anti-join, so cycles end and no walk is listed twice.  The root itself
@@ -26,7 +28,7 @@ def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFr
     """
     frontier = roots.select("root", F.col("root").alias("node"))
     seen = None
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(edges, frontier.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
         if seen is not None:
             step = step.join(seen, ["root", "node"], "left_anti")
@@ -40,8 +42,21 @@ def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFr
     return seen
 
 
-def cycles(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
-    """Roots that reach themselves, with the length of the shortest cycle."""
+def core(edges: DataFrame) -> DataFrame:
+    """The edges without those of nodes that have no way in or no way out, again and again: all cycles are in the rest."""
+    now, before = checkpointed(edges.select("src", "dst").distinct()), -1
+    while (n := now.count()) != before:
+        before = n
+        now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        now = checkpointed(now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    return now
+
+
+def cycles(edges: DataFrame, roots: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+    """Roots (default: all nodes) that reach themselves, with the length of the shortest cycle through each."""
+    if roots is None:
+        edges = core(edges)
+        roots = edges.select(F.col("src").alias("root")).distinct()
     return reachable(edges, roots, max_depth).where("root = node").select("root", F.col("depth").alias("cycle_length"))
 
 

@@ -69,8 +69,12 @@ def g05_entity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def g06_compliance_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entity -> jurisdiction -> regulation -> requirement, for the entities of one tenth of the ids."""
-    e = domain.entities(spark, sf_dir).where("entity_id % 10 = 1")
+    """Paths of the entities of one tenth of the ids, as its SQL has it; ``g06_compliance_paths_whole`` has all."""
+    return _paths(spark, sf_dir, domain.entities(spark, sf_dir).where("entity_id % 10 = 1"))
+
+
+def _paths(spark: SparkSession, sf_dir: str, e: DataFrame) -> DataFrame:
+    """Entity -> jurisdiction -> regulation -> requirement."""
     r = domain.requirements(spark, sf_dir)
     scope = r.select("requirement_id", "regulation_id", F.explode("jurisdictions").alias("jurisdiction")).distinct()
     own = e.select("entity_id", F.explode("jurisdictions").alias("jurisdiction"))
@@ -116,3 +120,42 @@ def g08_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def g09_common_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.common_ancestors(domain.depends_on(spark, sf_dir), _roots(spark, (40, 41, 83)), 3, 5)
+
+
+def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots that grow with the table: the requirements whose id is divisible by 50."""
+    return domain.requirements(spark, sf_dir).where("requirement_id % 50 = 0").select(F.col("requirement_id").alias("root"))
+
+
+@query(None)
+def g01_dependency_chain_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reachable(domain.depends_on(spark, sf_dir), _grown(spark, sf_dir), 10)
+
+
+@query(None)
+def g02_dependents_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reachable(graph.reversed_edges(domain.depends_on(spark, sf_dir)), _grown(spark, sf_dir), 4)
+
+
+@query(None)
+def g03_cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every requirement on a cycle of any length, with the length of its shortest."""
+    return graph.cycles(domain.depends_on(spark, sf_dir))
+
+
+@query(None)
+def g06_compliance_paths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir, domain.entities(spark, sf_dir))
+
+
+@query(None)
+def g07_shortest_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.shortest_paths(domain.depends_on(spark, sf_dir), _grown(spark, sf_dir), 3, 10)
+    return found.select("root", F.col("hops").cast("int").alias("hops"))
+
+
+@query(None)
+def g08_impact_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    need = domain.requirements(spark, sf_dir)
+    pairs = ap.applicable(domain.entities(spark, sf_dir), need)
+    return graph.impact(pairs, domain.depends_on(spark, sf_dir), domain.conflicts(spark, sf_dir), need, _grown(spark, sf_dir))
