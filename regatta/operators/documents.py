@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regatta.functions.text import change_severity
+from regatta.operators.storage import checkpointed
 
 
 def repeated_lines(docs: DataFrame, least_lines: int = 20, more_than: int = 3) -> DataFrame:
@@ -72,19 +74,73 @@ def version_diff(old: DataFrame, new: DataFrame, key: str = "doc_id", text: str
     return met.select(F.coalesce("_a", "_b").alias(key), kind.alias("change_type"), F.when(kind == "modified", severity).otherwise("medium").alias("severity"))
 
 
-def similar(vectors: DataFrame, queries: DataFrame, top_k: int = 10, threshold: float = 0.5) -> DataFrame:
+def _matrix(frame: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and norms by length of vector; vectors that are null, empty or hold a null are left out."""
+    by_size: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+    for i, v in zip(frame["id"], frame["v"]):
+        own = None if v is None else np.asarray(v, np.float64)
+        if own is not None and own.size and not np.isnan(own).any():
+            ids, rows = by_size.setdefault(own.size, ([], []))
+            ids.append(i)
+            rows.append(own)
+    found = {}
+    for size, (ids, rows) in by_size.items():
+        m = np.stack(rows)
+        found[size] = np.array(ids, np.int64), m, np.sqrt(np.cumsum(m * m, axis=1)[:, -1])
+    return found
+
+
+def _nearest(shared, top_k: int, threshold: float):
+    """A function over batches of vectors that emits the ``top_k`` best of its task for each query of a block."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = _matrix(shared.value)
+        best = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        for frame in frames:
+            for at in range(0, len(frame), SLICE):
+                for size, (ids, v, norms) in _matrix(frame.iloc[at : at + SLICE]).items():
+                    if size not in block:
+                        continue
+                    query_ids, q, lengths = block[size]
+                    scale = np.outer(norms, lengths)
+                    with np.errstate(all="ignore"):
+                        rough = np.where(scale > 0, (v @ q.T) / scale, 0.0)
+                        i, j = np.nonzero((rough >= threshold - 1e-9) & (ids[:, None] != query_ids[None, :]))
+                        # Sums in one order, so that equal vectors have equal scores.
+                        dot = np.zeros(len(i))
+                        for d in range(size):
+                            dot += v[i, d] * q[j, d]
+                        score = np.where(scale[i, j] > 0, dot / (norms[i] * lengths[j]), 0.0)
+                    met = score >= threshold
+                    rows = pd.DataFrame({"query_id": query_ids[j[met]], "vec_id": ids[i[met]], "score": score[met]})
+                    best = pd.concat([best, rows]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+                    best = best[best.groupby("query_id").cumcount() < top_k]
+        yield best
+
+    return run
+
+
+#: Queries in a block, and vectors compared with it at a time.
+BLOCK, SLICE = 2000, 256
+
+
+def similar(vectors: DataFrame, queries: DataFrame, top_k: int = 10, threshold: float = 0.5, block: int = BLOCK) -> DataFrame:
     """Nearest vectors of each query by cosine, best first, ties by id.
 
-    ``queries`` is a stated, small set (its size is the caller's bound) and is
-    broadcast; every vector is compared with it in one pass without a shuffle
-    of the vectors, and only rows above the threshold reach the ranking.
+    There may be any number of queries: blocks of about ``block`` are broadcast
+    in turn and compared with every partition of the vectors; each task keeps
+    its ``top_k`` of a query, which are then merged.
     """
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    unit = lambda df, c: df.withColumn("_n", norm(F.col(c)))
-    v = unit(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v")
-    q = unit(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")), "q").withColumnRenamed("_n", "_m")
-    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    score = F.when((F.col("_n") > 0) & (F.col("_m") > 0), dot / (F.col("_n") * F.col("_m"))).otherwise(0.0)
-    scored = v.crossJoin(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", score.alias("score"))
+    v = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    blocks = max(1, -(-queries.count() // block))
+    mine = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    q = checkpointed(queries.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), mine.alias("_block")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.where(F.col("score") >= threshold).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    out = None
+    for k in range(blocks):
+        shared = v.sparkSession.sparkContext.broadcast(q.where(F.col("_block") == k).select("id", "v").toPandas())
+        found = v.mapInPandas(_nearest(shared, top_k, threshold), "query_id bigint, vec_id bigint, score double")
+        found = checkpointed(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k))
+        shared.unpersist()
+        out = found if out is None else out.union(found)
+    return out
