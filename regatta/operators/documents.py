@@ -60,17 +60,19 @@ def chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(cut, schema)
 
 
-def version_diff(old: DataFrame, new: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def version_diff(old: DataFrame, new: DataFrame, key: str = "doc_id", text: str = "text", prefix: int | None = None) -> DataFrame:
     """Rows that were added, removed or modified between two versions, with a severity.
 
     A full outer join on the key; equal texts leave before anything is
-    compared.  Severity looks at the first 200 characters of both texts.
+    compared.  Severity looks at the whole of both texts, or at their first
+    ``prefix`` characters.
     """
     a = old.select(F.col(key).alias("_a"), F.col(text).alias("_old"))
     b = new.select(F.col(key).alias("_b"), F.col(text).alias("_new"))
     met = a.join(b, F.col("_a") == F.col("_b"), "full_outer").where(~F.col("_old").eqNullSafe(F.col("_new")))
     kind = F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "deleted").otherwise("modified")
-    severity = change_severity(F.coalesce(F.substring("_old", 1, 200), F.lit("")), F.coalesce(F.substring("_new", 1, 200), F.lit("")))
+    seen = lambda c: F.coalesce(F.col(c) if prefix is None else F.substring(c, 1, prefix), F.lit(""))
+    severity = change_severity(seen("_old"), seen("_new"))
     return met.select(F.coalesce("_a", "_b").alias(key), kind.alias("change_type"), F.when(kind == "modified", severity).otherwise("medium").alias("severity"))
 
 

@@ -86,6 +86,13 @@ WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(substr({0}, 1, 20
           / greatest(len(x), len(y), 1) as share from worded)"""
 )
 def n18_version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dc.version_diff(docs, _second_version(docs), prefix=200)
+
+
+@query(None)
+def n18_version_diff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes rated by whole texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dc.version_diff(docs, _second_version(docs))
 
