@@ -9,10 +9,10 @@ from typing import NamedTuple
 #: Tags that do not end a block of text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
-)
+) | frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mspace semantics object svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
-RAW = frozenset("script style template svg math iframe object".split())
+RAW = frozenset("script style".split())
 #: A start tag that closes an open element of these names first (up to the nearest stop).
 CLOSES = {
     "p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"),
