@@ -1,31 +1,63 @@
-"""Which requirements apply to which entities, and what follows: states, scores, gaps, reports."""
+"""Which requirements apply to which entities, and what follows: states, scores, gaps, reports.
+
+Entities share few scopes (sets of jurisdictions and sectors), and so do
+requirements.  What matches is found among distinct scopes; entities and
+requirements join these by equality, so nothing is compared pair by pair and
+counts need no pairs at all.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Columns of an entity's and of a requirement's scope.
+OWN, ASKED = ["_ej", "_es"], ["_rj", "_rs"]
+
+
+def _code_set(c: str) -> Column:
+    return F.sort_array(F.array_distinct(c))
+
+
+def _own(entities: DataFrame) -> DataFrame:
+    """Entities with their scope; a missing list is an empty one, which only the wildcard matches."""
+    none = F.array().cast("array<string>")
+    return entities.withColumns({"_ej": F.coalesce(_code_set("jurisdictions"), none), "_es": F.coalesce(_code_set("sectors"), none)})
+
 
+def _asked(requirements: DataFrame) -> DataFrame:
+    """Requirements with their scope; a null list applies to nobody."""
+    return requirements.withColumns({"_rj": _code_set("jurisdictions"), "_rs": _code_set("sectors")}).where("_rj is not null and _rs is not null")
 
-def _scopes(df: DataFrame, keys: list[str], sectors: bool, wildcard: bool) -> DataFrame:
-    """One row per (jurisdiction, sector) of a row's scope; ``wildcard`` adds 'ALL' to both."""
-    with_all = lambda c: F.array_union(c, F.array(F.lit("ALL"))) if wildcard else F.array_distinct(c)
-    out = df.select(*keys, F.explode(with_all(F.col("jurisdictions"))).alias("_j"), *(["sectors"] if sectors else []))
-    return out.select(*keys, "_j", F.explode(with_all(F.col("sectors"))).alias("_s")) if sectors else out
+
+def _matching(own: DataFrame, asked: DataFrame, sectors: bool, wildcard: bool) -> DataFrame:
+    """Pairs of scopes whose jurisdictions (and sectors) overlap, 'ALL' in a requirement matching every entity.
+
+    Both sides are exploded to their codes for an equi-join; a pair that meets
+    at several codes stays where it meets at its least ones.
+    """
+    all_ = F.array(F.lit("ALL"))
+    fields = [("_ej", "_rj", "_j"), ("_es", "_rs", "_s")][: 2 if sectors else 1]
+    e, r = own.select(*OWN).distinct(), asked.select(*ASKED).distinct()
+    for mine, theirs, code in fields:
+        e = e.withColumn(f"{code}_own", F.array_union(mine, all_) if wildcard else F.col(mine))
+        e, r = e.withColumn(code, F.explode(f"{code}_own")), r.withColumn(code, F.explode(theirs))
+    met = e.join(r, [code for *_, code in fields])
+    for _, theirs, code in fields:
+        met = met.where(F.col(code) == F.array_min(F.array_intersect(f"{code}_own", theirs)))
+    return met.select(*OWN, *ASKED)
 
 
 def applicable(entities: DataFrame, requirements: DataFrame, sectors: bool = True, wildcard: bool = True) -> DataFrame:
-    """Pairs whose jurisdictions (and sectors) overlap, 'ALL' in a requirement matching every entity.
+    """Pairs (entity_id, requirement_id) whose scopes match; ids are unique on both sides.
 
-    An overlap of arrays as a join condition would compare every pair.  Both
-    sides are exploded to their scope codes instead, so that it becomes an
-    equi-join which shuffles or broadcasts by size; a pair found by several
-    codes is kept once.  A requirement without scope (null) applies to nobody.
+    A requirement without scope (null) applies to nobody.  The rows of the
+    result are written by the last join itself: no pair is shuffled again to
+    find repeated ones.
     """
-    keys = ["_j", "_s"] if sectors else ["_j"]
-    e = _scopes(entities, ["entity_id"], sectors, wildcard)
-    r = _scopes(requirements, ["requirement_id"], sectors, False)
-    return e.join(r, keys).select("entity_id", "requirement_id").distinct()
+    own, asked = _own(entities), _asked(requirements)
+    of_scope = _matching(own, asked, sectors, wildcard).join(asked.select("requirement_id", *ASKED), ASKED).select(*OWN, "requirement_id")
+    return own.select("entity_id", *OWN).join(of_scope, OWN).select("entity_id", "requirement_id")
 
 
 def applicable_theta(entities: DataFrame, requirements: DataFrame) -> DataFrame:
@@ -45,17 +77,44 @@ def _count(condition: Column, name: str) -> Column:
     return F.count(F.when(condition, 1)).alias(name)
 
 
-def status_counts(rows: DataFrame, *keys: str) -> DataFrame:
-    """Counts by status with the compliance rate and the risk score of each group."""
+#: Statuses that are counted by name.
+STATUSES = ("compliant", "non_compliant", "partial", "pending", "exempt")
+
+
+def compliance(entities: DataFrame, requirements: DataFrame, states: DataFrame, by: str | None = None) -> DataFrame:
+    """Counts by status of what applies to each entity, with compliance rate and risk score.
+
+    ``by`` divides the counts: ``tier`` of the requirement, or ``jurisdiction``
+    of the entity.  What applies is counted per scope, without a row for each
+    pair; states (unique by entity and requirement) join their entity and
+    requirement and count where the two match.  What has no state is unknown.
+    """
+    own, asked = _own(entities), _asked(requirements)
+    extra = ["tier"] if by == "tier" else []
+    keys = ["entity_id", *([by] if by else [])]
+    place = F.explode("_ej").alias("jurisdiction")
+    in_place = F.array_contains("_rj", F.col("jurisdiction")) | F.array_contains("_rj", "ALL")
+
+    totals = _matching(own, asked, True, True).join(asked.groupBy(*ASKED, *extra).agg(F.count("*").alias("_n")), ASKED)
+    if by == "jurisdiction":
+        totals = totals.select(*OWN, *ASKED, "_n", place).where(in_place)
+    totals = totals.groupBy(*OWN, *([by] if by else [])).agg(F.sum("_n").alias("total"))
+    totals = own.select("entity_id", *OWN).join(totals, OWN).select(*keys, "total")
+
+    match = lambda a, b: F.arrays_overlap(a, b) | F.array_contains(b, "ALL")
+    rated = states.select("entity_id", "requirement_id", "status").join(asked.select("requirement_id", *ASKED, *extra), "requirement_id")
+    rated = rated.join(own.select("entity_id", *OWN), "entity_id").where(match(F.col("_ej"), F.col("_rj")) & match(F.col("_es"), F.col("_rs")))
+    if by == "jurisdiction":
+        rated = rated.select("entity_id", "status", "_rj", place).where(in_place)
     s = F.col("status")
-    counted = rows.groupBy(*keys).agg(
-        F.count("*").alias("total"), _count(s == "compliant", "compliant"), _count(s == "non_compliant", "non_compliant"),
-        _count(s == "partial", "partial"), _count(s == "pending", "pending"), _count(s.isNull() | (s == "unknown"), "unknown"),
-    )
+    known = _count(s.isNotNull() & (s != "unknown"), "_known")
+    counted = rated.groupBy(*keys).agg(*(_count(s == name, name) for name in STATUSES), known)
+    out = totals.join(counted, keys, "left").fillna(0, [*STATUSES, "_known"])
     total = F.col("total")
-    rate = F.when(total == 0, 0.0).otherwise(F.col("compliant") / total)
-    risk = F.when(total == 0, 0.0).otherwise((F.col("non_compliant") + 0.5 * F.col("partial")) / total)
-    return counted.withColumn("compliance_rate", F.round(rate, 6)).withColumn("risk_score", F.round(risk, 6))
+    rate, risk = F.col("compliant") / total, (F.col("non_compliant") + 0.5 * F.col("partial")) / total
+    return out.select(
+        *keys, "total", *STATUSES, (total - F.col("_known")).alias("unknown"), F.round(rate, 6).alias("compliance_rate"), F.round(risk, 6).alias("risk_score")
+    )
 
 
 def gaps(pairs: DataFrame, states: DataFrame) -> DataFrame:
@@ -64,6 +123,19 @@ def gaps(pairs: DataFrame, states: DataFrame) -> DataFrame:
     return pairs.join(good, ["entity_id", "requirement_id"], "left_anti")
 
 
+def named_gaps(found: DataFrame, requirements: DataFrame, regulations: DataFrame) -> DataFrame:
+    """Gaps with their requirement's tier and priority, and their regulation's name (null where it has none)."""
+    facts = requirements.select("requirement_id", "tier", "regulation_id")
+    return found.join(facts, "requirement_id").join(regulations.select("regulation_id", "name"), "regulation_id", "left").select(
+        "entity_id", "requirement_id", "tier", gap_priority(F.col("tier")).alias("priority"), "regulation_id", F.col("name").alias("regulation_name")
+    )
+
+
+def gap_priority(tier: Column) -> Column:
+    """What a gap's tier says about its urgency; medium where the tier is unknown."""
+    return F.when(tier == "advanced", "critical").when(tier == "standard", "high").otherwise("medium")
+
+
 def tier_rank(tier: Column) -> Column:
     return F.when(tier == "advanced", 1).when(tier == "standard", 2).otherwise(3)
 
@@ -73,3 +145,10 @@ def ranked_gaps(found: DataFrame, requirements: DataFrame) -> DataFrame:
     named = found.join(requirements.select("requirement_id", "tier", "penalty", "regulation_id"), "requirement_id")
     order = Window.partitionBy("entity_id").orderBy(tier_rank(F.col("tier")), F.col("penalty").desc_nulls_last(), "requirement_id")
     return named.withColumn("priority", F.row_number().over(order).cast("bigint"))
+
+
+def state_summary(states: DataFrame) -> DataFrame:
+    """States of each entity as one row: compliant, non_compliant and partial; all others count as not assessed."""
+    s = F.coalesce("status", F.lit(""))
+    named = ("compliant", "non_compliant", "partial")
+    return states.groupBy("entity_id").agg(*(_count(s == name, name) for name in named), _count(~s.isin(*named), "not_assessed"))

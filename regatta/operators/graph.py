@@ -7,7 +7,8 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regatta.operators.storage import checkpointed
+from regatta.operators.applicability import applicable
+from regatta.operators.storage import checkpointed, discarded
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -46,9 +47,10 @@ def core(edges: DataFrame) -> DataFrame:
     """The edges without those of nodes that have no way in or no way out, again and again: all cycles are in the rest."""
     now, before = checkpointed(edges.select("src", "dst").distinct()), -1
     while (n := now.count()) != before:
-        before = n
+        before, old = n, now
         now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         now = checkpointed(now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        discarded(old)
     return now
 
 
@@ -90,14 +92,25 @@ def conflict_severity(tier_a, tier_b):
     return F.when(either("advanced"), "high").when(either("standard"), "medium").otherwise("low")
 
 
-def entity_conflicts(pairs: DataFrame, conflicts: DataFrame, requirements: DataFrame) -> DataFrame:
-    """Conflicts between two requirements that both apply to an entity, with a severity by tier."""
+def entity_conflicts(entities: DataFrame, conflicts: DataFrame, requirements: DataFrame) -> DataFrame:
+    """Conflicts between two requirements that both apply to an entity, with a severity by tier.
+
+    Only requirements that have a conflict are paired with entities.
+    """
+    ends = undirected(conflicts).select(F.col("src").alias("requirement_id")).distinct()
+    pairs = applicable(entities, requirements.join(ends, "requirement_id", "left_semi"))
     tiers = requirements.select("requirement_id", "tier")
     side = lambda c: pairs.join(tiers, "requirement_id").select("entity_id", F.col("requirement_id").alias(c), F.col("tier").alias(f"tier_{c}"))
     met = conflict_pairs(conflicts).join(side("a"), "a").join(side("b"), ["b", "entity_id"])
     return met.select("entity_id", "a", "b", conflict_severity(F.col("tier_a"), F.col("tier_b")).alias("severity"))
 
 
+def severity_counts(found: DataFrame) -> DataFrame:
+    """Conflicts of each entity, in all and by severity."""
+    of = lambda s: F.count(F.when(F.col("severity") == s, 1)).alias(f"{s}_severity")
+    return found.groupBy("entity_id").agg(F.count("*").alias("total_conflicts"), of("high"), of("medium"), of("low"))
+
+
 def common_ancestors(edges: DataFrame, roots: DataFrame, n_roots: int, max_depth: int = 5) -> DataFrame:
     """Nodes that every root reaches in 0 to ``max_depth`` steps."""
     own = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regatta.functions.numbers import ratio, whole
 from regatta.sources.domain import mapped
 
 
@@ -58,15 +59,17 @@ def risk_level(score: Column, bad_rate: Column) -> Column:
 
 
 def history(scores: DataFrame, key: str, at: str, score: str, tie: str) -> DataFrame:
-    """Previous score, change, change in percent and trend (steps within 0.01 are stable)."""
+    """Previous score, change, change in percent and trend (steps within 0.01 are stable).
+
+    Scores have six digits; differences are taken in millionths.
+    """
     w = Window.partitionBy(key).orderBy(at, tie)
-    before = F.lag(score).over(w)
-    change = F.round(F.col(score) - F.col("previous"), 6)
-    return (
-        scores.withColumn("previous", before).withColumn("change", change)
-        .withColumn("change_pct", F.when(F.col("previous") > 0, F.round(F.col("change") / F.col("previous") * 100, 4)))
-        .withColumn("trend", F.when(F.col("change").isNull(), "stable").when(F.col("change") > 0.01, "improving").when(F.col("change") < -0.01, "declining").otherwise("stable"))
-    )
+    before, now = F.lag(score).over(w), whole(F.col(score), 6)
+    step = F.col("_step")
+    out = scores.withColumn("previous", before).withColumn("_step", now - whole(F.col("previous"), 6))
+    trend = F.when(step > 10_000, "improving").when(step < -10_000, "declining").otherwise("stable")
+    pct = F.when(F.col("previous") > 0, ratio(step * 100, whole(F.col("previous"), 6), 4))
+    return out.withColumns({"change": step / 1e6, "change_pct": pct, "trend": trend}).drop("_step")
 
 
 def recency_weighted(scores: DataFrame, key: str, at: str, score: str, tie: str, latest: int = 10) -> DataFrame:

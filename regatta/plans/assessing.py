@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from regatta.functions.numbers import ratio, ratio_sql, whole
 from regatta.operators import mutations, scoring
 from regatta.plans.domain_sql import oracle
 from regatta.plans.registry import query
@@ -99,10 +100,10 @@ def a06_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        """select assessment_id, entity_id, simple_score, previous, change,
-             case when previous > 0 then round(change / previous * 100, 4) end as change_pct,
-             case when change is null then 'stable' when change > 0.01 then 'improving' when change < -0.01 then 'declining' else 'stable' end as trend
-           from (select *, round(simple_score - previous, 6) as change from (
+        f"""select assessment_id, entity_id, simple_score, previous, step / 1e6::double as change,
+             case when previous > 0 then {ratio_sql("step * 100", "round(previous * 1000000)", 4)} end as change_pct,
+             case when step > 10000 then 'improving' when step < -10000 then 'declining' else 'stable' end as trend
+           from (select *, (round(simple_score * 1000000) - round(previous * 1000000))::bigint as step from (
              select assessment_id, entity_id, simple_score,
                lag(simple_score) over (partition by entity_id order by completed_at, assessment_id) as previous from scored))""",
         RATED,
@@ -143,16 +144,16 @@ def a11_recency_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        """select entity_id, count(*)::bigint as n, round(avg(simple_score), 6) as mean_score,
+        f"""select entity_id, count(*)::bigint as n, {ratio_sql("sum(round(simple_score * 1000000)::bigint)", "count(*) * 1000000", 6)} as mean_score,
              count(*) filter (where simple_score >= 0.7)::bigint as good from scored group by entity_id""",
         RATED,
         SCORED,
     )
 )
 def a12_assessment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).groupBy("entity_id").agg(
-        F.count("*").alias("n"), F.round(F.avg("simple_score"), 6).alias("mean_score"), F.count(F.when(F.col("simple_score") >= 0.7, 1)).alias("good")
-    )
+    mean = ratio(F.sum(whole(F.col("simple_score"), 6)), F.count("*") * 1_000_000, 6)
+    good = F.count(F.when(F.col("simple_score") >= 0.7, 1))
+    return _scored(spark, sf_dir).groupBy("entity_id").agg(F.count("*").alias("n"), mean.alias("mean_score"), good.alias("good"))
 
 
 @query(

@@ -21,6 +21,11 @@ requirements as (
          case when p_partkey % 3 != 0 then p_retailprice * 1000 end as penalty, (p_partkey % 7 + 1)::int as layer,
          (date '2020-01-01' + (p_size * 30)::int) as effective_date
   from part),
+regulations as (
+  select regulation_id, 'Regulation ' || n as name, 'NATION_' || (n % 25) as jurisdiction, ['NATION_' || ((n * 2) % 25)] as jurisdictions,
+         date '2020-01-01' + n as effective_date
+  from (select distinct p_brand as regulation_id, regexp_extract(p_brand, '([0-9]+)$', 1)::int as n from part) where n % 2 = 1
+  union all select 'Draft', 'Regulation in draft', 'NATION_1', null, null),
 assessments as (
   select o_orderkey as assessment_id, o_custkey as entity_id,
          case o_orderstatus when 'F' then 'completed' when 'O' then 'in_progress' when 'P' then 'pending_review' end as status,

@@ -47,18 +47,35 @@ def g04_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.conflict_pairs(domain.conflicts(spark, sf_dir))
 
 
+ENTITY_CONFLICTS = """held as (select e.entity_id, r.requirement_id, r.tier from entities e
+    join (select * from requirements where requirement_id in (select src from conflicts union select dst from conflicts)) r
+      on (list_has_any(r.jurisdictions, e.jurisdictions) or list_contains(r.jurisdictions, 'ALL'))
+      and (list_has_any(r.sectors, e.sectors) or list_contains(r.sectors, 'ALL'))),
+  met as (select x.entity_id, c.a, c.b,
+      case when 'advanced' in (x.tier, y.tier) then 'high' when 'standard' in (x.tier, y.tier) then 'medium' else 'low' end as severity
+    from (select distinct least(src, dst) as a, greatest(src, dst) as b from conflicts) c join held x on x.requirement_id = c.a
+    join held y on y.requirement_id = c.b and y.entity_id = x.entity_id)"""
+
+
+def _entity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.entity_conflicts(domain.entities(spark, sf_dir), domain.conflicts(spark, sf_dir), domain.requirements(spark, sf_dir))
+
+
+@query(oracle("select entity_id, a, b, severity from met", ENTITY_CONFLICTS))
+def g05_entity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entity_conflicts(spark, sf_dir)
+
+
 @query(
     oracle(
-        """select x.entity_id, least(c.src, c.dst) as a, greatest(c.src, c.dst) as b,
-             case when 'advanced' in (x.tier, y.tier) then 'high' when 'standard' in (x.tier, y.tier) then 'medium' else 'low' end as severity
-           from conflicts c join applicable x on x.requirement_id = c.src
-           join applicable y on y.requirement_id = c.dst and y.entity_id = x.entity_id"""
+        """select entity_id, count(*)::bigint as total_conflicts, count(*) filter (where severity = 'high')::bigint as high_severity,
+             count(*) filter (where severity = 'medium')::bigint as medium_severity, count(*) filter (where severity = 'low')::bigint as low_severity
+           from met group by entity_id""",
+        ENTITY_CONFLICTS,
     )
 )
-def g05_entity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    need = domain.requirements(spark, sf_dir)
-    pairs = ap.applicable(domain.entities(spark, sf_dir), need)
-    return graph.entity_conflicts(pairs, domain.conflicts(spark, sf_dir), need)
+def a17_conflict_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.severity_counts(_entity_conflicts(spark, sf_dir))
 
 
 @query(

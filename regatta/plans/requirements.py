@@ -13,7 +13,7 @@ from regatta.sources import domain
 
 COUNTS = """count(*)::bigint as total, count(*) filter (where status = 'compliant')::bigint as compliant,
   count(*) filter (where status = 'non_compliant')::bigint as non_compliant, count(*) filter (where status = 'partial')::bigint as partial,
-  count(*) filter (where status = 'pending')::bigint as pending,
+  count(*) filter (where status = 'pending')::bigint as pending, count(*) filter (where status = 'exempt')::bigint as exempt,
   count(*) filter (where status is null or status = 'unknown')::bigint as unknown,
   round(count(*) filter (where status = 'compliant')::double / count(*), 6) as compliance_rate,
   round((count(*) filter (where status = 'non_compliant') + 0.5::double * count(*) filter (where status = 'partial')) / count(*), 6) as risk_score"""
@@ -36,13 +36,12 @@ def j01_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle(f"select entity_id, {COUNTS} from joined group by entity_id", JOINED))
 def a01_compliance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ap.status_counts(_joined(spark, sf_dir), "entity_id")
+    return ap.compliance(domain.entities(spark, sf_dir), domain.requirements(spark, sf_dir), domain.states(spark, sf_dir))
 
 
 @query(oracle(f"select entity_id, tier, {COUNTS} from joined group by entity_id, tier", JOINED))
 def a02_score_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiers = domain.requirements(spark, sf_dir).select("requirement_id", "tier")
-    return ap.status_counts(_joined(spark, sf_dir).join(tiers, "requirement_id"), "entity_id", "tier")
+    return ap.compliance(domain.entities(spark, sf_dir), domain.requirements(spark, sf_dir), domain.states(spark, sf_dir), by="tier")
 
 
 @query(
@@ -56,11 +55,7 @@ def a02_score_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def a03_score_by_jurisdiction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = domain.entities(spark, sf_dir).select("entity_id", F.explode("jurisdictions").alias("jurisdiction"))
-    scope = domain.requirements(spark, sf_dir).select("requirement_id", F.col("jurisdictions").alias("_js"))
-    met = _joined(spark, sf_dir).join(scope, "requirement_id").join(own, "entity_id")
-    met = met.where(F.array_contains("_js", F.col("jurisdiction")) | F.array_contains("_js", "ALL"))
-    return ap.status_counts(met, "entity_id", "jurisdiction")
+    return ap.compliance(domain.entities(spark, sf_dir), domain.requirements(spark, sf_dir), domain.states(spark, sf_dir), by="jurisdiction")
 
 
 @query(
@@ -73,6 +68,19 @@ def j04_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ap.gaps(_pairs(spark, sf_dir), domain.states(spark, sf_dir))
 
 
+@query(
+    oracle(
+        """select a.entity_id, a.requirement_id, a.tier, a.regulation_id, g.name as regulation_name,
+             case a.tier when 'advanced' then 'critical' when 'standard' then 'high' else 'medium' end as priority
+           from applicable a left join regulations g on a.regulation_id = g.regulation_id
+           where not exists (select 1 from states s where s.entity_id = a.entity_id and s.requirement_id = a.requirement_id and s.status = 'compliant')"""
+    )
+)
+def j05_named_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps with their priority and the name of their regulation, where it is known."""
+    return ap.named_gaps(ap.gaps(_pairs(spark, sf_dir), domain.states(spark, sf_dir)), domain.requirements(spark, sf_dir), domain.regulations(spark, sf_dir))
+
+
 @query(
     oracle(
         """select entity_id, requirement_id, tier, penalty, regulation_id,
@@ -95,14 +103,23 @@ def w03_ranked_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def a29_critical_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = domain.requirements(spark, sf_dir).where("tier = 'advanced' or penalty > 1000000").select("requirement_id", "penalty")
-    open_ = _joined(spark, sf_dir).where("status is null or status in ('non_compliant', 'partial')").join(facts, "requirement_id")
+    """Open gaps of requirements that are advanced or cost more than a million; only these are paired with entities."""
+    critical = domain.requirements(spark, sf_dir).where("tier = 'advanced' or penalty > 1000000")
+    closed = domain.states(spark, sf_dir).where("status is not null and status not in ('non_compliant', 'partial')").select("entity_id", "requirement_id")
+    open_ = ap.applicable(domain.entities(spark, sf_dir), critical).join(closed, ["entity_id", "requirement_id"], "left_anti")
+    open_ = open_.join(critical.select("requirement_id", "penalty"), "requirement_id")
     return open_.groupBy("entity_id").agg(F.count("*").alias("critical_gaps"), F.max("penalty").alias("largest_penalty"))
 
 
-@query(oracle("select entity_id, status, count(*)::bigint as n from states group by entity_id, status"))
+@query(
+    oracle(
+        """select entity_id, count(*) filter (where status = 'compliant')::bigint as compliant,
+             count(*) filter (where status = 'non_compliant')::bigint as non_compliant, count(*) filter (where status = 'partial')::bigint as partial,
+             count(*) filter (where status not in ('compliant', 'non_compliant', 'partial'))::bigint as not_assessed from states group by entity_id"""
+    )
+)
 def a16_state_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return domain.states(spark, sf_dir).groupBy("entity_id", "status").agg(F.count("*").alias("n"))
+    return ap.state_summary(domain.states(spark, sf_dir))
 
 
 @query(
@@ -148,15 +165,14 @@ def a14_count_by_jurisdiction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        """select g.regulation_id, count(r.requirement_id)::bigint as requirements, count(distinct r.tier)::bigint as tiers
-           from (select distinct p_brand as regulation_id from part) g left join requirements r on g.regulation_id = r.regulation_id group by 1"""
+        """select g.regulation_id, g.name, count(r.requirement_id)::bigint as requirements, count(distinct r.tier)::bigint as tiers
+           from regulations g left join requirements r on g.regulation_id = r.regulation_id group by 1, 2"""
     )
 )
 def j12_requirements_per_regulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        domain.requirements(spark, sf_dir).groupBy("regulation_id")
-        .agg(F.count("*").alias("requirements"), F.countDistinct("tier").alias("tiers"))
-    )
+    """Every regulation with the number of its requirements, 0 where it has none."""
+    counts = domain.requirements(spark, sf_dir).groupBy("regulation_id").agg(F.count("*").alias("requirements"), F.countDistinct("tier").alias("tiers"))
+    return domain.regulations(spark, sf_dir).select("regulation_id", "name").join(counts, "regulation_id", "left").fillna(0, ["requirements", "tiers"])
 
 
 @query(oracle("select requirement_id, tier from requirements order by tier, requirement_id limit 20 offset 40"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from regatta.operators.storage import shared_dir
 from regatta.plans.domain_sql import oracle
 from regatta.plans.registry import query
 from regatta.sources import domain
@@ -32,10 +33,7 @@ def t07_metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def t07_metric_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same series from a stream over the files; windows that the watermark has not passed are still open and not in it."""
-    from regatta.operators.storage import _own_dir
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
-    run = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    run = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     raw = domain.table(spark, sf_dir, "events")
     source = spark.readStream.schema(raw.schema).parquet(f"{sf_dir}/events*.parquet")
     series = monitor.metric_series(domain.shaped_events(source), "1 day")
