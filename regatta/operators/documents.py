@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,62 +10,67 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regatta.functions.text import change_severity
+from regatta.functions.text import (
+    change_severity,
+    citations,
+    cleaned,
+    detected_jurisdiction,
+    detected_type,
+    effective_date,
+    sentence_count,
+    stripped,
+    word_count,
+)
+from regatta.operators.rml import normalized
 from regatta.operators.storage import checkpointed
 
 
 def repeated_lines(docs: DataFrame, least_lines: int = 20, more_than: int = 3) -> DataFrame:
     """(doc_id, line, n): lines that look like headers or footers, in documents of ``least_lines`` or more."""
     lines = docs.select("doc_id", F.split("text", "\n").alias("lines")).where(F.size("lines") >= least_lines)
-    stripped = lines.select("doc_id", F.explode("lines").alias("line")).withColumn("line", F.trim("line"))
-    stripped = stripped.where((F.length("line") > 10) & (F.length("line") < 200))
-    return stripped.groupBy("doc_id", "line").agg(F.count("*").alias("n")).where(F.col("n") > more_than)
+    short = lines.select("doc_id", F.explode("lines").alias("line")).withColumn("line", stripped(F.col("line")))
+    short = short.where((F.length("line") > 10) & (F.length("line") < 200))
+    return short.groupBy("doc_id", "line").agg(F.count("*").alias("n")).where(F.col("n") > more_than)
 
 
 def without_headers(docs: DataFrame, least_lines: int = 20, more_than: int = 3) -> DataFrame:
-    """Documents with repeated lines taken out, lines in order; within the row, without a shuffle."""
-    lines = F.split("text", "\n")
-    short = F.filter(F.transform(lines, F.trim), lambda x: (F.length(x) > 10) & (F.length(x) < 200))
-    often = F.filter(F.array_distinct(short), lambda x: F.size(F.filter(short, lambda y: y == x)) > more_than)
-    kept = F.filter(lines, lambda x: ~F.array_contains(often, F.trim(x)))
-    return docs.withColumn("text", F.when(F.size(lines) >= least_lines, F.array_join(kept, "\n")).otherwise(F.col("text")))
-
-
-def chunk_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Fixed-size chunks that end at white space where one is near, and always move forward."""
-    spans, at, n = [], 0, len(text)
-    while at < n:
-        end = min(at + size, n)
-        if end < n:
-            space = text.rfind(" ", at + size // 2, end)
-            end = space if space > at else end
-        spans.append((at, end))
-        if end >= n:
-            break
-        at = max(at + 1, end - overlap)
-    return spans
-
-
-def chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
-    """One row per chunk: doc_id, index, total_chunks, start_char, end_char, content, estimated_tokens."""
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                spans = chunk_spans(text or "", size, overlap)
-                rows += [(doc_id, i, len(spans), a, b, text[a:b], (b - a) // 4) for i, (a, b) in enumerate(spans)]
-            yield pd.DataFrame(rows, columns=["doc_id", "index", "total_chunks", "start_char", "end_char", "content", "estimated_tokens"])
+    """Documents with repeated lines taken out, lines in order; within the row, without a shuffle, in one pass over its lines."""
+
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            lines = [] if text is None else text.split("\n")
+            if len(lines) < least_lines:
+                return text
+            often = Counter(s for s in map(str.strip, lines) if 10 < len(s) < 200)
+            return "\n".join(x for x in lines if often[x.strip()] <= more_than)
+
+        return texts.map(one)
+
+    return docs.withColumn("text", kept("text"))
 
-    schema = "doc_id bigint, index int, total_chunks int, start_char int, end_char int, content string, estimated_tokens int"
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+
+def preprocessed(docs: DataFrame) -> DataFrame:
+    """Normalised, cleaned documents without headers, with citations, counts, effective date, jurisdiction and type.
+
+    The cleaning puts a space behind full stops before citations are sought, so
+    that ``42 U.S.C.`` is one only in texts that were not cleaned; this is the
+    order of the pipeline.
+    """
+    clean = without_headers(docs.select("doc_id", cleaned(normalized(F.col("text"))).alias("text")))
+    text = F.col("text")
+    return clean.select(
+        "doc_id", "text", citations(text).alias("citations"), sentence_count(text).alias("sentence_count"), word_count(text).alias("word_count"),
+        effective_date(text).alias("effective_date"), detected_jurisdiction(text).alias("jurisdiction"), detected_type(text).alias("regulation_type"),
+    )
 
 
 def version_diff(old: DataFrame, new: DataFrame, key: str = "doc_id", text: str = "text", prefix: int | None = None) -> DataFrame:
     """Rows that were added, removed or modified between two versions, with a severity.
 
     A full outer join on the key; equal texts leave before anything is
-    compared.  Severity looks at the whole of both texts, or at their first
+    compared.  What is new is of high severity, what is deleted of medium; a
+    modification is judged by the whole of both texts, or by their first
     ``prefix`` characters.
     """
     a = old.select(F.col(key).alias("_a"), F.col(text).alias("_old"))
@@ -72,8 +78,8 @@ def version_diff(old: DataFrame, new: DataFrame, key: str = "doc_id", text: str
     met = a.join(b, F.col("_a") == F.col("_b"), "full_outer").where(~F.col("_old").eqNullSafe(F.col("_new")))
     kind = F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "deleted").otherwise("modified")
     seen = lambda c: F.coalesce(F.col(c) if prefix is None else F.substring(c, 1, prefix), F.lit(""))
-    severity = change_severity(seen("_old"), seen("_new"))
-    return met.select(F.coalesce("_a", "_b").alias(key), kind.alias("change_type"), F.when(kind == "modified", severity).otherwise("medium").alias("severity"))
+    severity = F.when(kind == "modified", change_severity(seen("_old"), seen("_new"))).when(kind == "new", "high").otherwise("medium")
+    return met.select(F.coalesce("_a", "_b").alias(key), kind.alias("change_type"), severity.alias("severity"))
 
 
 def _matrix(frame: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -110,8 +110,8 @@ class TierCriteria:
 def recommended_tier(entities: DataFrame, c: TierCriteria = TierCriteria()) -> DataFrame:
     """Points for each tier from size, sector, jurisdictions, type and risk factors; most points win, ties go to the lower tier.
 
-    A map column ``risk_factors`` (name to boolean) is used where the table has
-    one; an empty or null map adds nothing.  Adds ``tier``, ``confidence``,
+    A map column ``risk_factors`` (name to boolean) and a size category
+    ``size`` are used where the table has them; an empty or null map adds nothing.  Adds ``tier``, ``confidence``,
     ``risk`` (of ten) and ``risk_level``.  All column expressions, no
     user-defined function.
     """
@@ -119,6 +119,10 @@ def recommended_tier(entities: DataFrame, c: TierCriteria = TierCriteria()) -> D
     by_staff = F.when(staff >= c.large_employees, 3).when(staff >= c.medium_employees, 2).otherwise(1)
     by_money = F.when(money >= c.large_revenue, 3).when(money >= c.medium_revenue, 2).otherwise(1)
     size = F.greatest(by_staff, by_money)
+    if "size" in entities.columns:  # the category counts where neither number is known
+        category = F.lower("size")
+        by_name = F.when(category == "large", 3).when(category == "medium", 2).otherwise(1)
+        size = F.when(staff.isNull() & money.isNull(), by_name).otherwise(size)
     upper = lambda name: F.array_distinct(F.transform(F.col(name), F.upper))
     hits = lambda name, codes: F.size(F.array_intersect(upper(name), F.array(*map(F.lit, codes))))
     has = lambda name: F.coalesce(F.size(name) > 0, F.lit(False))

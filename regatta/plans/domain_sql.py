@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-DOMAIN = """
+import re
+
+from regatta.sources.domain import LEGAL_TEXT
+
+
+def quoted(text: str) -> str:
+    """A string literal of DuckDB; line feeds stand as chr(10)."""
+    return "(" + " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in text.split("\n")) + ")"
+
+
+LEGAL = " || ".join(f"({x})::varchar" if i % 2 else quoted(x) for i, x in enumerate(re.split("[{}]", LEGAL_TEXT)))
+
+DOMAIN = f"""
 jurisdictions as (select n_nationkey, n_name as code, r_name as parent from nation join region on n_regionkey = r_regionkey),
 entities as (
   select c_custkey as entity_id, c_name as name,
@@ -26,6 +38,7 @@ regulations as (
          date '2020-01-01' + n as effective_date
   from (select distinct p_brand as regulation_id, regexp_extract(p_brand, '([0-9]+)$', 1)::int as n from part) where n % 2 = 1
   union all select 'Draft', 'Regulation in draft', 'NATION_1', null, null),
+legal_texts as (select k as doc_id, {LEGAL} as text from (select p_partkey as k from part)),
 assessments as (
   select o_orderkey as assessment_id, o_custkey as entity_id,
          case o_orderstatus when 'F' then 'completed' when 'O' then 'in_progress' when 'P' then 'pending_review' end as status,

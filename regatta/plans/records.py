@@ -57,19 +57,6 @@ def p12_validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rml.validation_errors(domain.requirements(spark, sf_dir))
 
 
-@query(
-    oracle(
-        """select event_id, case when event_type = 'violation.detected' then 'recalculate' end as effect,
-             score between 0 and 10000 and entity_id is not null as accepted from compliance_events"""
-    )
-)
-def p13_state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admissible state changes, and the effect that a violation has."""
-    effect = F.when(F.col("event_type") == "violation.detected", "recalculate")
-    accepted = F.col("score").between(0, 10000) & F.col("entity_id").isNotNull()
-    return domain.events(spark, sf_dir).select("event_id", effect.alias("effect"), accepted.alias("accepted"))
-
-
 @query(
     oracle(
         """select requirement_id, regulation_id from (select *, row_number() over (partition by regulation_id, words order by requirement_id) as n
@@ -86,12 +73,6 @@ def n15_extracted_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rml.extracted(domain.table(spark, sf_dir, "documents"))
 
 
-@query(None)
-def n02_plain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = domain.table(spark, sf_dir, "pages")
-    return pages.select("page_id", rml.normalized(rml.unescaped(rml.plain_text(F.col("html")))).alias("text"))
-
-
 @query(None)
 def n09_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rml.sections(domain.table(spark, sf_dir, "documents"))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regatta.functions import pages as pg
 from regatta.functions import text as tx
+from regatta.operators import chunking, rml
 from regatta.operators import documents as dc
+from regatta.plans.domain_sql import oracle
 from regatta.plans.registry import query
+from regatta.sources import domain
 from regatta.sources.domain import table
 
 
@@ -42,7 +46,12 @@ def a23_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.repeated_lines(table(spark, sf_dir, "documents"))
 
 
-@query(None)
+@query(
+    """with lines as (select doc_id, i, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as bare, count(*) over (partition by doc_id) as n from (
+         select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)),
+       counted as (select *, case when length(bare) > 10 and length(bare) < 200 then count(*) over (partition by doc_id, bare) else 0 end as often from lines)
+       select doc_id, coalesce(string_agg(line, chr(10) order by i) filter (where n < 20 or often <= 3), '') as text from counted group by doc_id"""
+)
 def n04_without_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.without_headers(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -52,15 +61,155 @@ def n06_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.cleaned(F.col("text")).alias("text"))
 
 
+def _replaced(text: str, *steps: tuple[str, str]) -> str:
+    for pattern, by in steps:
+        text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    return text
+
+
+CLEANED_SQL = _replaced(
+    "text", (r"\r\n?", "chr(10)"), (r"[ \t]+", "' '"), (r"\n{3,}", "chr(10) || chr(10)"), (rf"(?m)^\s*{tx.PAGE_NUMBER}\s*$", "''"),
+    (r"\s+([.,;:!?])", r"'\1'"), (r"([.,;:!?])([^\s\d])", r"'\1 \2'"), (r"^\s+|\s+$", "''"),
+)
+
+
+@query(oracle(f"select doc_id, {CLEANED_SQL} as text from legal_texts"))
+def n06_cleaned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domain.legal_texts(spark, sf_dir).select("doc_id", tx.cleaned(F.col("text")).alias("text"))
+
+
 @query(None)
 def n08_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.citations(F.col("text"))).alias("c"))
+    return _citations(table(spark, sf_dir, "documents"))
+
+
+def _citations(docs: DataFrame) -> DataFrame:
+    found = docs.select("doc_id", F.explode(tx.citations(F.col("text"))).alias("c"))
     return found.select("doc_id", "c.type", "c.raw", "c.identifier", "c.section")
 
 
+def _citation_sql(c: tx.Citation) -> str:
+    group = lambda g: f"regexp_extract_all(text, '(?i){c.pattern}', {g})"
+    section = f"unnest({group(2)})" if c.sectioned else "null"
+    return f"select doc_id, '{c.family}' as type, unnest({group(0)}) as raw, unnest({group(1)}) as identifier, {section} as section from legal_texts"
+
+
+@query(oracle(" union all ".join(map(_citation_sql, tx.CITATIONS))))
+def n08_citations_of_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _citations(domain.legal_texts(spark, sf_dir))
+
+
+@query(
+    oracle(
+        """select doc_id, coalesce(nullif(word_number, ''), nullif(dotted, ''), lettered) as number, coalesce(nullif(word_title, ''), nullif(dotted_title, ''), lettered_title) as title,
+             case lower(word) when 'title' then 1 when 'part' then 2 when 'chapter' then 2 when 'subpart' then 3 when 'article' then 3 when 'division' then 3 else 4 end::int as level,
+             start_pos, end_pos, regexp_replace(substr(text, end_pos + 1, coalesce(lead(start_pos) over (partition by doc_id order by start_pos), length(text)) - end_pos),
+               '^\\s+|\\s+$', '', 'g') as content
+           from (select *, regexp_extract(line, '^(?i)(chapter|article|section|part|title|subpart|division) ', 1) as word,
+               regexp_extract(line, '^(?i:chapter|section) ([0-9.]+)', 1) as word_number, regexp_extract(line, '^(?i:chapter|section) [0-9.]+ ?[:-] (.*)$', 1) as word_title,
+               regexp_extract(line, '^([0-9]+[.][0-9]+) ([A-Z].*)$', 1) as dotted, regexp_extract(line, '^([0-9]+[.][0-9]+) ([A-Z].*)$', 2) as dotted_title,
+               regexp_extract(line, '^[(]([a-z])[)] ([A-Z].*)$', 1) as lettered, regexp_extract(line, '^[(]([a-z])[)] ([A-Z].*)$', 2) as lettered_title
+             from (select *, (end_pos - length(line))::int as start_pos from (
+               select doc_id, text, line, (sum(length(line) + 1) over (partition by doc_id order by i) - 1)::int as end_pos from (
+                 select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from legal_texts))))
+           where word_title <> '' or dotted <> '' or lettered <> ''"""
+    )
+)
+def n09_sections_of_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rml.sections(domain.legal_texts(spark, sf_dir))
+
+
+@query(
+    """select doc_id, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_replace(s, '\\s+', '', 'g') <> ''))::int as sentences,
+         len(regexp_extract_all(text, '\\S+'))::int as words, length(text)::int as chars from documents"""
+)
+def n12_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    counts = (tx.sentence_count(text).alias("sentences"), tx.word_count(text).alias("words"), F.length(text).alias("chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", *counts)
+
+
+@query(
+    oracle(
+        f"""select doc_id, case when length(first) < 200 and right(first, 1) not in ('.', ',', ';') then first end as title, length(whole)::int as chars
+            from (select doc_id, whole, string_split(whole, chr(10))[1] as first from (
+              select doc_id, {_replaced("text", (r"[ ]+", "' '"), (chr(92) + "n{3,}", "chr(10) || chr(10)"), (r"^\s+|\s+$", "''"))} as whole from legal_texts))"""
+    )
+)
+def n07_plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = tx.stripped(tx.unified_lines(F.col("text")))
+    return domain.legal_texts(spark, sf_dir).select("doc_id", tx.title_line(whole).alias("title"), F.length(whole).alias("chars"))
+
+
+@query(
+    """select page_id, nullif(trim(regexp_extract(html, '<title>([^<]+)</title>', 1)), '') as title, nullif(regexp_extract(html, 'eli/[^"''>[:space:]]+', 0), '') as eli,
+         try_cast(nullif(regexp_extract(substr(html, 1, 5000), '[0-9]{4}-[0-9]{2}-[0-9]{2}', 0), '') as date) as published,
+         case when regexp_matches(url, '[.]html?$') then 'html' when contains(lower(substr(html, 1, 1000)), '<html') or contains(lower(substr(html, 1, 1000)), '<!doctype html') then 'html'
+           else 'text' end as format from pages"""
+)
+def n03_page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, identifier, date and format of every page."""
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", pg.page_title(html).alias("title"), pg.page_eli(html).alias("eli"), pg.page_date(html).alias("published"), pg.file_format(F.col("url"), html).alias("format")
+    )
+
+
+@query(None)
+def n01_page_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "pages").select("page_id", pg.page_content("html").alias("c"))
+    return found.select("page_id", "c.title", "c.text")
+
+
+@query(None)
+def n02_plain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", pg.plain_text(F.col("html")).alias("text"))
+
+
+@query(None)
+def n02_european_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", pg.plain_text(F.col("html"), pg.EUROPEAN).alias("text"))
+
+
+@query(None)
+def n05_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", rml.normalized(F.col("text")).alias("text"))
+
+
+@query(None)
+def n13_preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised, cleaned and rid of headers; then counts, citations, date, jurisdiction and type of each text."""
+    return dc.preprocessed(domain.legal_texts(spark, sf_dir))
+
+
 @query(None)
 def n14_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dc.chunks(table(spark, sf_dir, "documents"), 500, 50)
+    return chunking.chunks(table(spark, sf_dir, "documents"), "fixed", chunking.Limits(500, 50))
+
+
+@query(None)
+def n14_structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(domain.legal_texts(spark, sf_dir), "structural", chunking.Limits(500, 50, 20))
+
+
+@query(None)
+def n14_semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(table(spark, sf_dir, "documents"), "semantic")
+
+
+@query(None)
+def n14_sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(table(spark, sf_dir, "documents"), "sentence")
+
+
+@query(None)
+def n14_recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(table(spark, sf_dir, "documents"), "recursive")
+
+
+@query(None)
+def n14_merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(domain.legal_texts(spark, sf_dir), "structural", chunking.Limits(500, 50, 20), merge=True)
 
 
 def _second_version(docs: DataFrame) -> DataFrame:
@@ -79,7 +228,7 @@ WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(substr({0}, 1, 20
           where o.text is distinct from n.text),
         worded as (select *, {WORDS.format("coalesce(old_text, '')")} as x, {WORDS.format("coalesce(new_text, '')")} as y from met)
         select coalesce(a, b) as doc_id, case when a is null then 'new' when b is null then 'deleted' else 'modified' end as change_type,
-          case when a is null or b is null then 'medium'
+          case when a is null then 'high' when b is null then 'medium'
             when {" or ".join(f"contains(lower(substr(new_text, 1, 200)), '{w}')" for w in tx.PENALTY_WORDS)} then 'critical'
             when share > 0.5 then 'high' when share > 0.2 then 'medium' else 'low' end as severity
         from (select *, (len(list_filter(x, lambda w: not list_contains(y, w))) + len(list_filter(y, lambda w: not list_contains(x, w))))::double

@@ -6,6 +6,8 @@ Catalyst prunes to the columns a query needs.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,3 +135,19 @@ def shaped_events(raw: DataFrame) -> DataFrame:
         "event_id", "ts", F.col("user_id").alias("entity_id"), mapped(F.col("event_type"), EVENT_TYPES).alias("event_type"),
         (F.col("value") * 20).cast("int").alias("score"), "props",
     )
+
+
+#: A regulation text by requirement key ``k``: literal pieces, and whole numbers as expressions of both SQL dialects in braces.
+LEGAL_TEXT = (
+    "CHAPTER {k % 9 + 1} - INTRODUCTION\nThis rule of the European Union is effective January {k % 28 + 1}, 2024 .Pursuant to {k % 50 + 1} U.S.C. § {1000 + k}"
+    " and {k % 45 + 1} CFR {100 + k % 60}.{k % 9}, entities must keep records.  They may not destroy them!\n\n\n\nPage {k % 30} of 30\n"
+    "SECTION 1.{k % 7}: Definitions\nRegulation (EU) 2016/{k} and Directive 2014/{k % 90 + 1}/EU apply; SI 2019/{k} too. A person may appeal.\n"
+    "2.{k % 5 + 1} Scope of the rules\nSection 4.{k % 8}(a)(1) is amended. Operators shall report personal data {k % 11} times.\n(a) Who reports\n-  {k % 4} -\nEnd"
+)
+
+
+def legal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short regulation text per requirement, with headings, citations, dates and page numbers."""
+    parts = [F.expr(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(re.split("[{}]", LEGAL_TEXT))]
+    keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    return keys.select(F.col("k").alias("doc_id"), F.concat(*parts).alias("text"))
