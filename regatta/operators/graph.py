@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regatta.operators.applicability import applicable
@@ -127,3 +127,31 @@ def impact(pairs: DataFrame, edges: DataFrame, conflicts: DataFrame, requirement
     against = undirected(conflicts).groupBy(F.col("src").alias("requirement_id")).agg(F.count("*").alias("conflicts"))
     out = ids.join(entities, "requirement_id", "left").join(dependents.agg(F.count("*").alias("dependents")), "requirement_id", "left")
     return out.join(against, "requirement_id", "left").fillna(0, ["entities", "dependents", "conflicts"])
+
+
+def with_edges(edges: DataFrame, added: DataFrame) -> DataFrame:
+    """Edges (src, dst, type, props) with ``added`` ones; of edges equal in ends and type the added one stays."""
+    key = ["src", "dst", "type"]
+    return edges.join(added, key, "left_anti").unionByName(added.dropDuplicates(key))
+
+
+def without_edges(edges: DataFrame, gone: DataFrame, directed: bool = True) -> DataFrame:
+    """Edges without those of the same ends and type as ``gone``; without a direction, either way round."""
+    key = ["src", "dst", "type"]
+    lost = gone.select(*key)
+    if not directed:
+        lost = lost.union(lost.select(F.col("dst"), F.col("src"), "type"))
+    return edges.join(lost.distinct(), key, "left_anti")
+
+
+def relationships(rows: DataFrame, src: str, dst: str, kind: str, /, **props: str) -> DataFrame:
+    """Edges of one type from a table: the columns of both ends, and a map of properties by name and column."""
+    given = F.create_map(*(x for k, c in props.items() for x in (F.lit(k), F.col(c).cast("string")))) if props else F.create_map().cast("map<string,string>")
+    return rows.select(F.col(src).cast("string").alias("src"), F.col(dst).cast("string").alias("dst"), F.lit(kind).alias("type"), given.alias("props"))
+
+
+def first_of(rows: DataFrame, key: str, order: list[str], value: str, n: int) -> DataFrame:
+    """The first ``n`` values of each key in an order, as a list; at most ``n`` rows of a key are gathered."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("_n")
+    kept = rows.select(key, value, place).where(F.col("_n") <= n)
+    return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda x: x[value]).alias("first"))

@@ -41,3 +41,62 @@ def transitioned(assessments: DataFrame, actions: DataFrame) -> DataFrame:
     steps = assessments.sparkSession.createDataFrame(list(TRANSITIONS), "status string, action string, next_status string")
     met = assessments.join(actions, "assessment_id").join(F.broadcast(steps), ["status", "action"], "left")
     return met.withColumn("valid", F.col("next_status").isNotNull())
+
+
+def inserted(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows added to a table; columns that they do not have are null."""
+    return base.unionByName(rows, allowMissingColumns=True)
+
+
+def merged(base: DataFrame, changes: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The table after an upsert, and one row of counters: created, updated and unchanged rows.
+
+    The changes are matched once, by a full outer join on the key; ``changes``
+    has all columns of the table and unique keys.
+    """
+    values = [c for c in base.columns if c not in key]
+    new = changes.select(*key, F.struct(*values).alias("_new"), F.lit(True).alias("_is_new"))
+    old = base.select(*key, F.struct(*values).alias("_old"), F.lit(True).alias("_is_old"))
+    met = old.join(new, key, "full_outer")
+    table = met.select(*key, F.when(F.col("_is_new"), F.col("_new")).otherwise(F.col("_old")).alias("_v")).select(*key, *(F.col(f"_v.{c}").alias(c) for c in values))
+    same = F.col("_new").eqNullSafe(F.col("_old"))
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    both = F.col("_is_old") & F.col("_is_new")
+    counters = met.agg(
+        count(F.col("_is_old").isNull(), "created"), count(both & ~same, "updated"), count(both & same, "unchanged"), count(F.col("_is_new").isNull(), "untouched")
+    )
+    return table.select(*base.columns), counters
+
+
+def transition_effects(assessments: DataFrame, actions: DataFrame, at: Column) -> DataFrame:
+    """Assessments after valid actions, with the times and persons that each kind of action sets.
+
+    ``actions``: assessment_id, action, user.  Starting sets ``started_at``,
+    approving ``completed_at`` and ``approver``, rejecting ``reviewer``; invalid
+    actions change nothing.
+    """
+    steps = assessments.sparkSession.createDataFrame(list(TRANSITIONS), "_from string, _action string, _to string")
+    met = assessments.join(actions.select("assessment_id", F.col("action").alias("_asked"), F.col("user").alias("_user")), "assessment_id", "left")
+    met = met.join(F.broadcast(steps), (met.status == steps._from) & (F.col("_asked") == steps._action), "left")
+    done = lambda action: F.col("_action") == action
+    sets = {
+        "status": F.coalesce("_to", "status"), "started_at": F.when(done("start"), at).otherwise(F.col("started_at")),
+        "completed_at": F.when(done("approve"), at).otherwise(F.col("completed_at")), "approver": F.when(done("approve"), F.col("_user")).otherwise(F.col("approver")),
+        "reviewer": F.when(done("reject"), F.col("_user")).otherwise(F.col("reviewer")),
+        "updated_at": F.when(F.col("_action").isNotNull(), at).otherwise(F.col("updated_at")),
+    }
+    return met.withColumns(sets).select(*assessments.columns)
+
+
+def with_overrides(entities: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Entities with the tiers that people set by hand; these win over computed ones until they are cleared (null tier).
+
+    ``overrides``: entity_id, tier, reason, at; the latest of an entity counts.
+    """
+    last = overrides.groupBy("entity_id").agg(F.max_by(F.struct("tier", "reason"), "at").alias("_o"))
+    met = entities.join(last, "entity_id", "left")
+    by_hand = F.col("_o.tier").isNotNull()
+    return met.select(
+        *(c for c in entities.columns if c != "tier"), F.coalesce("_o.tier", "tier").alias("tier"), by_hand.alias("tier_override"),
+        F.when(by_hand, F.col("_o.reason")).alias("reason"),
+    )

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regatta.functions.text import change_severity
+from regatta.operators.rules import JURISDICTION_NAMES, SECTOR_NAMES, named
 from regatta.operators.storage import checkpointed
 
 SCHEMA_VERSION = "1.0"
@@ -245,3 +247,60 @@ def sections(docs: DataFrame) -> DataFrame:
 
 def celex(year: Column, kind: str, number: Column) -> Column:
     return F.format_string(f"3%d{kind}%04d", year, number)
+
+
+def graph_nodes(requirements: DataFrame, regulations: DataFrame) -> DataFrame:
+    """Nodes (type, id, name) of requirements and of all that they belong to or apply to, each once."""
+    own = requirements.select(F.lit("Requirement").alias("type"), F.col("requirement_id").cast("string").alias("id"), F.col("natural_language").alias("name"))
+    of = requirements.select(F.col("regulation_id").alias("id")).distinct().join(regulations.select(F.col("regulation_id").alias("id"), "name"), "id", "left")
+    of = of.select(F.lit("Regulation").alias("type"), "id", F.coalesce("name", "id").alias("name"))
+
+    def scope(kind: str, field: str, names: dict[str, str]) -> DataFrame:
+        codes = requirements.select(F.explode(field).alias("id")).distinct()
+        return codes.select(F.lit(kind).alias("type"), "id", named(F.col("id"), names).alias("name"))
+
+    return own.union(of).union(scope("Jurisdiction", "jurisdictions", JURISDICTION_NAMES)).union(scope("Sector", "sectors", SECTOR_NAMES))
+
+
+def regulation_changes(old: DataFrame, new: DataFrame, old_regulations: DataFrame, new_regulations: DataFrame) -> DataFrame:
+    """Changes between two versions of regulations: new ones, requirements that came, went or were reworded, and their own facts.
+
+    ``old`` and ``new``: requirement_id, regulation_id, article_ref, text,
+    type; the regulations: regulation_id, name, effective_date.  A new
+    regulation is one change, whatever it holds.  A regulation counts as changed
+    only if its name or a requirement's article, text or type differs; then a
+    new date of effect is reported too.  Contents are cut to 500 characters.
+    """
+    a = old.select(F.col("requirement_id").alias("_a"), F.col("regulation_id").alias("_ra"), F.struct("article_ref", "text", "type").alias("_old"))
+    b = new.select(F.col("requirement_id").alias("_b"), F.col("regulation_id").alias("_rb"), F.struct("article_ref", "text", "type").alias("_new"))
+    known = old_regulations.select("regulation_id").distinct()
+    met = a.join(b, F.col("_a") == F.col("_b"), "full_outer").where(~F.col("_old").eqNullSafe(F.col("_new")))
+    met = met.withColumn("regulation_id", F.coalesce("_rb", "_ra")).join(known, "regulation_id", "left_semi")
+    kind = F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "deleted").otherwise("modified")
+    severity = F.when(kind == "new", "high").when(kind == "deleted", "medium").otherwise(
+        change_severity(F.coalesce("_old.text", F.lit("")), F.coalesce("_new.text", F.lit("")))
+    )
+    verb = F.when(kind == "new", "New").when(kind == "deleted", "Removed").otherwise("Modified")
+    article = F.coalesce(F.when(kind == "deleted", F.col("_old.article_ref")).otherwise(F.col("_new.article_ref")), F.lit("Unknown"))
+    cut = lambda c, name: F.substring(c, 1, 500).alias(name)
+    # A change of the article or type alone makes the regulation a changed one but no row.
+    needs = met.where(~F.col("_old.text").eqNullSafe(F.col("_new.text"))).select(
+        "regulation_id", F.coalesce("_a", "_b").alias("requirement_id"), kind.alias("change_type"), severity.alias("severity"),
+        F.concat(verb, F.lit(" requirement: "), article).alias("summary"), cut("_old.text", "old_content"), cut("_new.text", "new_content"),
+    )
+    nobody = F.lit(None).cast(needs.schema["requirement_id"].dataType).alias("requirement_id")
+    fresh = new_regulations.join(known, "regulation_id", "left_anti").select(
+        "regulation_id", nobody, F.lit("new").alias("change_type"), F.lit("high").alias("severity"), F.concat(F.lit("New regulation: "), "name").alias("summary"),
+        F.lit(None).cast("string").alias("old_content"), F.substring("name", 1, 1000).alias("new_content"),
+    )
+    o, n = (r.select("regulation_id", F.struct("name", "effective_date").alias(c)) for r, c in ((old_regulations, "_o"), (new_regulations, "_n")))
+    touched = met.select("regulation_id").distinct().withColumn("_touched", F.lit(True))
+    facts = o.join(n, "regulation_id").join(touched, "regulation_id", "left")
+    facts = facts.where(F.coalesce("_touched", F.lit(False)) | ~F.col("_o.name").eqNullSafe(F.col("_n.name")))
+    pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"_o.{c}").cast("string").alias("was"), F.col(f"_n.{c}").cast("string").alias("now")) for c in ("name", "effective_date")))
+    facts = facts.select("regulation_id", F.explode(F.filter(pairs, lambda f: ~f["was"].eqNullSafe(f["now"]))).alias("f"))
+    facts = facts.select(
+        "regulation_id", nobody, F.lit("modified").alias("change_type"), F.lit("low").alias("severity"), F.concat(F.lit("Metadata change: "), "f.field").alias("summary"),
+        F.col("f.was").alias("old_content"), F.col("f.now").alias("new_content"),
+    )
+    return needs.union(fresh).union(facts)

@@ -160,3 +160,20 @@ def recommended_tier(entities: DataFrame, c: TierCriteria = TierCriteria()) -> D
 def yearly_cost(tier: Column, requirements: Column) -> Column:
     base = mapped(tier, {"basic": 5000, "standard": 25000, "advanced": 100000})
     return base + requirements * mapped(tier, {"basic": 50, "standard": 150, "advanced": 400})
+
+
+def percentiles(rows: DataFrame, key: str, value: str, points: tuple[int, ...]) -> DataFrame:
+    """Nearest-rank percentiles of each key (the value at place floor(n p / 100), from 0), with count and extremes.
+
+    Rows are reduced to counts of distinct values before they are ranked, so
+    the ranking holds a key's different values and not its rows.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(key).orderBy(value)
+    ranked = counts.withColumns({"_end": F.sum("_c").over(upto), "_n": F.sum("_c").over(Window.partitionBy(key))})
+    asked = ranked.withColumn("p", F.explode(F.array(*map(F.lit, points))))
+    place = F.floor(F.col("_n") * F.col("p") / 100)
+    inside = (F.col("_end") > place) & (F.col("_end") - F.col("_c") <= place)
+    return asked.groupBy(key, "p").agg(
+        F.max(F.when(inside, F.col(value))).alias("percentile"), F.first("_n").alias("n"), F.min(value).alias("least"), F.max(value).alias("most")
+    )

@@ -36,7 +36,7 @@ requirements as (
 regulations as (
   select regulation_id, 'Regulation ' || n as name, 'NATION_' || (n % 25) as jurisdiction, ['NATION_' || ((n * 2) % 25)] as jurisdictions,
          date '2020-01-01' + n as effective_date
-  from (select distinct p_brand as regulation_id, regexp_extract(p_brand, '([0-9]+)$', 1)::int as n from part) where n % 2 = 1
+  from (select distinct p_brand as regulation_id, try_cast(regexp_extract(p_brand, '([0-9]+)$', 1) as int) as n from part) where n % 2 = 1
   union all select 'Draft', 'Regulation in draft', 'NATION_1', null, null),
 legal_texts as (select k as doc_id, {LEGAL} as text from (select p_partkey as k from part)),
 assessments as (

@@ -11,35 +11,34 @@ from regatta.plans.domain_sql import oracle
 from regatta.plans.registry import query
 from regatta.sources import domain
 
-ROOTS = (1, 77, 500, 1024)
-
-
 def _reach(edges: str, roots: str, depth: int) -> str:
     return f"""walk(root, node, depth) as (select src, dst, 1 from {edges} where src in ({roots})
       union select w.root, e.dst, w.depth + 1 from walk w join {edges} e on w.node = e.src where w.depth < {depth})"""
 
 
-def _roots(spark: SparkSession, ids: tuple[int, ...] = ROOTS) -> DataFrame:
-    return spark.createDataFrame([(i,) for i in ids], "root bigint")
+def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots that grow with the table: the requirements whose id is divisible by 50."""
+    return domain.requirements(spark, sf_dir).where("requirement_id % 50 = 0").select(F.col("requirement_id").alias("root"))
 
 
-LIST = ", ".join(map(str, ROOTS))
+GROWN = "select requirement_id from requirements where requirement_id % 50 = 0"
 BACK = "back as (select dst as src, src as dst from depends_on)"
 
 
-@query(oracle("select root, node, min(depth)::int as depth from walk group by root, node", _reach("depends_on", LIST, 10)))
+@query(oracle("select root, node, min(depth)::int as depth from walk group by root, node", _reach("depends_on", GROWN, 10)))
 def g01_dependency_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reachable(domain.depends_on(spark, sf_dir), _roots(spark), 10)
+    return graph.reachable(domain.depends_on(spark, sf_dir), _grown(spark, sf_dir), 10)
 
 
-@query(oracle("select root, node, min(depth)::int as depth from walk group by root, node", BACK, _reach("back", "1, 77, 500", 4)))
+@query(oracle("select root, node, min(depth)::int as depth from walk group by root, node", BACK, _reach("back", GROWN, 4)))
 def g02_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reachable(graph.reversed_edges(domain.depends_on(spark, sf_dir)), _roots(spark, (1, 77, 500)), 4)
+    return graph.reachable(graph.reversed_edges(domain.depends_on(spark, sf_dir)), _grown(spark, sf_dir), 4)
 
 
-@query(oracle("select root, min(depth)::int as cycle_length from walk where root = node group by root", _reach("depends_on", LIST, 20)))
+@query(oracle("select root, min(depth)::int as cycle_length from walk where root = node group by root", _reach("depends_on", "select src from depends_on", 40)))
 def g03_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(domain.depends_on(spark, sf_dir), _roots(spark), 20)
+    """Every requirement on a cycle of any length, with the length of its shortest (the SQL follows 40 steps, the longest cycle of the tables has 9)."""
+    return graph.cycles(domain.depends_on(spark, sf_dir))
 
 
 @query(oracle("select distinct least(src, dst) as a, greatest(src, dst) as b from conflicts"))
@@ -80,14 +79,16 @@ def a17_conflict_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        """select a.entity_id, a.requirement_id, a.regulation_id, u.jurisdiction from applicable a
+        """select a.entity_id, a.requirement_id, a.regulation_id, g.name as regulation_name, u.jurisdiction from applicable a
            join (select entity_id, unnest(jurisdictions) as jurisdiction from entities) u on a.entity_id = u.entity_id
-           join requirements r on a.requirement_id = r.requirement_id where a.entity_id % 10 = 1 and list_contains(r.jurisdictions, u.jurisdiction)"""
+           join requirements r on a.requirement_id = r.requirement_id left join regulations g on a.regulation_id = g.regulation_id
+           where list_contains(r.jurisdictions, u.jurisdiction)"""
     )
 )
 def g06_compliance_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of the entities of one tenth of the ids, as its SQL has it; ``g06_compliance_paths_whole`` has all."""
-    return _paths(spark, sf_dir, domain.entities(spark, sf_dir).where("entity_id % 10 = 1"))
+    """Paths of all entities over a jurisdiction to requirements, with the name of the regulation where it is known."""
+    names = domain.regulations(spark, sf_dir).select("regulation_id", F.col("name").alias("regulation_name"))
+    return _paths(spark, sf_dir, domain.entities(spark, sf_dir)).join(names, "regulation_id", "left")
 
 
 def _paths(spark: SparkSession, sf_dir: str, e: DataFrame) -> DataFrame:
@@ -103,11 +104,11 @@ def _paths(spark: SparkSession, sf_dir: str, e: DataFrame) -> DataFrame:
     oracle(
         "select root, min(depth)::int as hops from walk where node = 3 and root <> 3 group by root",
         "both_ways as (select src, dst from depends_on union select dst, src from depends_on)",
-        _reach("both_ways", "500, 77, 1024, 9", 10),
+        _reach("both_ways", GROWN, 10),
     )
 )
 def g07_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.shortest_paths(domain.depends_on(spark, sf_dir), _roots(spark, (500, 77, 1024, 9)), 3, 10)
+    found = graph.shortest_paths(domain.depends_on(spark, sf_dir), _grown(spark, sf_dir), 3, 10)
     return found.select("root", F.col("hops").cast("int").alias("hops"))
 
 
@@ -116,15 +117,15 @@ def g07_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
         """select r.id::bigint as requirement_id, (select count(*) from applicable a where a.requirement_id = r.id)::bigint as entities,
              (select count(distinct node) from walk w where w.root = r.id and w.node <> r.id)::bigint as dependents,
              (select count(*) from (select src, dst from conflicts union select dst, src from conflicts) c where c.src = r.id)::bigint as conflicts
-           from (select unnest([13, 30, 700]) as id) r""",
+           from (select requirement_id as id from requirements where requirement_id % 50 = 0) r""",
         BACK,
-        _reach("back", "13, 30, 700", 10),
+        _reach("back", GROWN, 10),
     )
 )
 def g08_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     need = domain.requirements(spark, sf_dir)
     pairs = ap.applicable(domain.entities(spark, sf_dir), need)
-    return graph.impact(pairs, domain.depends_on(spark, sf_dir), domain.conflicts(spark, sf_dir), need, _roots(spark, (13, 30, 700)))
+    return graph.impact(pairs, domain.depends_on(spark, sf_dir), domain.conflicts(spark, sf_dir), need, _grown(spark, sf_dir))
 
 
 @query(
@@ -136,12 +137,7 @@ def g08_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def g09_common_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.common_ancestors(domain.depends_on(spark, sf_dir), _roots(spark, (40, 41, 83)), 3, 5)
-
-
-def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roots that grow with the table: the requirements whose id is divisible by 50."""
-    return domain.requirements(spark, sf_dir).where("requirement_id % 50 = 0").select(F.col("requirement_id").alias("root"))
+    return graph.common_ancestors(domain.depends_on(spark, sf_dir), spark.createDataFrame([(i,) for i in (40, 41, 83)], "root bigint"), 3, 5)
 
 
 @query(None)
@@ -176,3 +172,24 @@ def g08_impact_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     need = domain.requirements(spark, sf_dir)
     pairs = ap.applicable(domain.entities(spark, sf_dir), need)
     return graph.impact(pairs, domain.depends_on(spark, sf_dir), domain.conflicts(spark, sf_dir), need, _grown(spark, sf_dir))
+
+
+FIRSTS = """lists as (select r.requirement_id,
+    (select string_agg(node, ',' order by depth, node) from (select node, min(depth) as depth from walk w where w.root = r.requirement_id and w.node <> r.requirement_id
+       group by node order by depth, node limit 10)) as dependents,
+    (select string_agg(other, ',' order by other) from (select case when src = r.requirement_id then dst else src end as other from conflicts
+       where src = r.requirement_id or dst = r.requirement_id order by other limit 5)) as conflicts
+  from requirements r where r.requirement_id % 50 = 0)"""
+
+
+@query(oracle("select requirement_id, coalesce(dependents, '') as dependents, coalesce(conflicts, '') as conflicts from lists", BACK, _reach("back", GROWN, 10), FIRSTS))
+def g08_impact_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest dependents and the first five conflicts of each requirement."""
+    roots = _grown(spark, sf_dir)
+    near = graph.reachable(graph.reversed_edges(domain.depends_on(spark, sf_dir)), roots, 10).where("root <> node")
+    near = graph.first_of(near, "root", ["depth", "node"], "node", 10).withColumnRenamed("first", "_near")
+    against = graph.undirected(domain.conflicts(spark, sf_dir)).select(F.col("src").alias("root"), "dst").join(roots, "root", "left_semi")
+    against = graph.first_of(against, "root", ["dst"], "dst", 5).withColumnRenamed("first", "_against")
+    listed = lambda c, name: F.coalesce(F.array_join(c, ","), F.lit("")).alias(name)
+    met = roots.join(near, "root", "left").join(against, "root", "left")
+    return met.select(F.col("root").alias("requirement_id"), listed("_near", "dependents"), listed("_against", "conflicts"))

@@ -73,6 +73,19 @@ def n15_extracted_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rml.extracted(domain.table(spark, sf_dir, "documents"))
 
 
+@query(
+    oracle(
+        """select doc_id, 'REQ-' || doc_id || '-' || lpad(row_number() over (partition by doc_id order by place)::varchar, 3, '0') as requirement_id, kind, sentence from (
+             select doc_id, place, sentence, case when regexp_matches(lower(sentence), '\\b(shall|must|may) not\\b') then 'prohibition'
+               when regexp_matches(lower(sentence), '\\b(shall|must|is required to)\\b') then 'obligation' when regexp_matches(lower(sentence), '\\bmay\\b') then 'permission' end as kind
+             from (select doc_id, unnest(parts) as sentence, generate_subscripts(parts, 1) as place from (
+               select doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as parts from legal_texts))) where kind is not null"""
+    )
+)
+def n15_extracted_from_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rml.extracted(domain.legal_texts(spark, sf_dir))
+
+
 @query(None)
 def n09_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rml.sections(domain.table(spark, sf_dir, "documents"))

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from regatta.functions.numbers import ratio, ratio_sql
 from regatta.operators.storage import shared_dir
 from regatta.plans.domain_sql import oracle
 from regatta.plans.registry import query
 from regatta.sources import domain
-from regatta.streaming import monitor
+from regatta.streaming import changes, monitor
 
 TOPIC_SQL = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in monitor.TOPICS.items()) + f" else '{monitor.DEFAULT_TOPIC}' end"
 SERIES_SQL = oracle(
@@ -20,9 +21,137 @@ SERIES_SQL = oracle(
 )
 
 
-@query(oracle(f"select event_id, entity_id::varchar as key, {TOPIC_SQL} as topic from compliance_events"))
+@query(
+    oracle(
+        f"""select event_id, entity_id::varchar as key, {TOPIC_SQL} as topic, severity, '{{"event_id":' || event_id || ',"event_type":"' || event_type || '","entity_id":' || entity_id
+              || ',"score":' || score || ',"severity":"' || severity || '"}}' as value
+            from (select *, case event_type when 'violation.detected' then 'critical' when 'tier.changed' then 'high' else 'info' end as severity from compliance_events)"""
+    )
+)
 def t01_routed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.routed(domain.events(spark, sf_dir)).select("event_id", "key", "topic")
+    return monitor.routed(domain.events(spark, sf_dir))
+
+
+MESSAGES = """messages as (select event_id, case when event_id % 20 = 0 then '{"event_id":' when event_id % 20 = 1 then '{"event_id":' || event_id || '}'
+    else '{"event_id":' || event_id || ',"event_type":"' || event_type || '","entity_id":' || entity_id || '}' end as value from compliance_events)"""
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of which one in twenty is cut short and one lacks fields."""
+    whole, k = F.to_json(F.struct("event_id", "event_type", "entity_id")), F.col("event_id")
+    value = F.when(k % 20 == 0, '{"event_id":').when(k % 20 == 1, F.to_json(F.struct("event_id"))).otherwise(whole)
+    return domain.events(spark, sf_dir).select("event_id", value.alias("value"))
+
+
+@query(
+    oracle(
+        "select event_id, value, case event_id % 20 when 0 then 'not JSON' else 'missing event_type, entity_id' end as reason from messages where event_id % 20 < 2",
+        MESSAGES,
+    )
+)
+def t02_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.quarantined(_messages(spark, sf_dir), "event_id bigint, event_type string, entity_id bigint", ("event_id", "event_type", "entity_id"))[1]
+
+
+@query(oracle("select event_id, event_type, entity_id from compliance_events where event_id % 20 >= 2"))
+def t02_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.quarantined(_messages(spark, sf_dir), "event_id bigint, event_type string, entity_id bigint", ("event_id", "event_type", "entity_id"))[0]
+
+
+@query(
+    oracle(
+        """select event_id, entity_id, event_type, ts, score from compliance_events where entity_id = 7 and event_type in ('violation.detected', 'score.calculated')
+             and ts >= timestamp '2024-01-10' order by ts desc, event_id desc limit 50"""
+    )
+)
+def t08_recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = monitor.recent_events(domain.events(spark, sf_dir), 7, ["violation.detected", "score.calculated"], "2024-01-10 00:00:00")
+    return found.select("event_id", "entity_id", "event_type", "ts", "score")
+
+
+@query(
+    oracle(
+        """select event_id as alert_id, entity_id, case when event_id % 5 = 0 then 'suppressed' when event_id % 3 = 0 then 'resolved' when event_id % 2 = 0 then 'acknowledged' else 'open' end as status,
+             case when event_id % 2 = 0 then 'first' end as acknowledged_by, case when event_id % 3 = 0 then 'second' end as resolved_by,
+             case when event_id % 3 = 0 then 'done' end as resolution,
+             case when event_id % 5 = 0 then 3 when event_id % 3 = 0 then 2 when event_id % 2 = 0 then 1 end::int as updated_at
+           from compliance_events where event_type = 'violation.detected'"""
+    )
+)
+def t10_alert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alert_states(spark, sf_dir)
+
+
+def _alert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of violations after some were acknowledged, resolved or suppressed, in this order."""
+    alerts = domain.events(spark, sf_dir).where("event_type = 'violation.detected'").select(F.col("event_id").alias("alert_id"), "entity_id")
+    step = lambda n, action, user, note, at: alerts.where(F.col("alert_id") % n == 0).select(
+        "alert_id", F.lit(action).alias("action"), F.lit(user).alias("user"), F.lit(note).alias("note"), F.lit(at).alias("at")
+    )
+    updates = step(2, "acknowledge", "first", None, 1).union(step(3, "resolve", "second", "done", 2)).union(step(5, "suppress", "third", None, 3))
+    return monitor.alert_states(alerts, updates)
+
+
+@query(
+    oracle(
+        """select kind, value, count(a)::bigint as n from (select 'status' as kind, unnest(['open', 'acknowledged', 'resolved', 'suppressed']) as value
+             union all select 'severity', unnest(['low', 'medium', 'high', 'critical'])) k left join (
+               select event_id as a, 'status' as kind, case when event_id % 5 = 0 then 'suppressed' when event_id % 3 = 0 then 'resolved' when event_id % 2 = 0 then 'acknowledged' else 'open' end as value
+               from compliance_events where event_type = 'violation.detected'
+               union all select event_id, 'severity', 'critical' from compliance_events where event_type = 'violation.detected') using (kind, value) group by kind, value"""
+    )
+)
+def a27_alert_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts by status and by severity, 0 where there are none."""
+    rows = _alert_states(spark, sf_dir).withColumn("severity", F.lit(monitor.RULES["violation"]))
+    return monitor.alert_totals(rows)
+
+
+@query(
+    oracle(
+        f"""select {TOPIC_SQL} as topic, count(*)::bigint as messages, count(distinct entity_id)::bigint as keys, max(event_id) as last_event from compliance_events group by 1"""
+    )
+)
+def t11_topic_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = monitor.routed(domain.events(spark, sf_dir))
+    return rows.groupBy("topic").agg(F.count("*").alias("messages"), F.countDistinct("key").alias("keys"), F.max("event_id").alias("last_event"))
+
+
+@query("select 'us_federal_rules' as id, 'federal_register' as source, 'US' as jurisdiction union all select 'never', 'eurlex', 'EU'")
+def t15_due_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the default jobs and some more: those to be run at a given time."""
+    rows = [(*j[:3], j[4], True) for j in changes.DEFAULT_JOBS] + [("never", "eurlex", "EU", 24, True), ("off", "eurlex", "EU", 24, False)]
+    jobs = spark.createDataFrame(rows, "id string, source string, jurisdiction string, hours int, enabled boolean")
+    runs = spark.createDataFrame(
+        [("us_federal_rules", "2024-01-01 00:00:00"), ("us_federal_rules", "2024-01-02 11:59:00"), ("eu_regulations", "2024-01-02 12:01:00")], "id string, at string"
+    ).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    return changes.due_jobs(jobs, runs, F.lit("2024-01-03 12:00:00").cast("timestamp_ntz")).select("id", "source", "jurisdiction")
+
+
+@query(
+    oracle(
+        """select period, entity_id, count(*)::bigint as n, sum(score)::bigint as total, min(score) as least, max(score) as most, round(sum(score)::double / count(*), 6) as mean
+           from compliance_events, (select unnest(['1h', '6h', '24h', '7d', '30d']) as period, unnest([1, 6, 24, 168, 720]) as hours)
+           where ts >= timestamp '2024-01-29' - to_hours(hours::int) and ts < timestamp '2024-01-29' group by period, entity_id"""
+    )
+)
+def a24_looking_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each entity over the hours and days before a time, all periods in one pass."""
+    return monitor.looking_back(domain.events(spark, sf_dir), F.lit("2024-01-29 00:00:00").cast("timestamp_ntz"))
+
+
+@query(
+    oracle(
+        """select count(distinct entity_id)::bigint as active_entities, (select count(*) from entities)::bigint as total_entities, round(avg(score), 6) as mean_score,
+             count(*) filter (where score >= 9500)::bigint as tier_1, count(*) filter (where score between 8500 and 9499)::bigint as tier_2,
+             count(*) filter (where score between 7000 and 8499)::bigint as tier_3, count(*) filter (where score between 5000 and 6999)::bigint as tier_4,
+             count(*) filter (where score < 5000)::bigint as tier_5, count(*) filter (where event_type = 'assessment.completed' and ts >= timestamp '2024-01-28')::bigint as assessments_24h,
+             count(*) filter (where event_type = 'violation.detected' and ts >= timestamp '2024-01-28')::bigint as violations_24h from compliance_events where ts < timestamp '2024-01-29'"""
+    )
+)
+def a25_system_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    as_of = F.lit("2024-01-29 00:00:00").cast("timestamp_ntz")
+    return monitor.system_metrics(domain.events(spark, sf_dir).where(F.col("ts") < as_of), domain.entities(spark, sf_dir), as_of)
 
 
 @query(SERIES_SQL)
@@ -137,13 +266,16 @@ def w10_first_use(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        """select entity_id, sum(case when ts >= timestamp '2024-01-15' then 1 else 0 end)::bigint as current,
-             sum(case when ts < timestamp '2024-01-15' then 1 else 0 end)::bigint as previous from compliance_events group by entity_id"""
+        f"""select entity_id, current, previous, case when previous > 0 then {ratio_sql("(current - previous) * 100", "previous", 2)} end as change_percent from (
+             select entity_id, sum(case when ts >= timestamp '2024-01-15' then 1 else 0 end)::bigint as current,
+               sum(case when ts < timestamp '2024-01-15' then 1 else 0 end)::bigint as previous from compliance_events group by entity_id)"""
     )
 )
 def w11_period_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.col("ts") >= F.lit("2024-01-15").cast("timestamp")
-    return domain.events(spark, sf_dir).groupBy("entity_id").agg(F.count(F.when(late, 1)).alias("current"), F.count(F.when(~late, 1)).alias("previous"))
+    counts = domain.events(spark, sf_dir).groupBy("entity_id").agg(F.count(F.when(late, 1)).alias("current"), F.count(F.when(~late, 1)).alias("previous"))
+    change = ratio((F.col("current") - F.col("previous")) * 100, F.col("previous"), 2)
+    return counts.withColumn("change_percent", F.when(F.col("previous") > 0, change))
 
 
 @query(

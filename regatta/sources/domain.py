@@ -60,7 +60,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regulations by brand, those with an odd number at the end named and in force since a day that it gives, and a draft without requirements."""
     brand = table(spark, sf_dir, "part").select(F.col("p_brand").alias("regulation_id")).distinct()
-    number = F.regexp_extract("regulation_id", "([0-9]+)$", 1).cast("int")
+    number = F.regexp_extract("regulation_id", "([0-9]+)$", 1).try_cast("int")
     named = brand.where(number % 2 == 1).select(
         "regulation_id", F.concat(F.lit("Regulation "), number.cast("string")).alias("name"), F.concat(F.lit("NATION_"), (number % 25).cast("string")).alias("jurisdiction"),
         F.array(F.concat(F.lit("NATION_"), ((number * 2) % 25).cast("string"))).alias("jurisdictions"), F.date_add(F.lit("2020-01-01").cast("date"), number).alias("effective_date"),

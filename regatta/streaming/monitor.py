@@ -6,17 +6,16 @@ minutes for late rows.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
+from regatta.operators.scoring import zk_tier
 from regatta.sources.domain import mapped
 
 LATE = "10 minutes"
@@ -30,11 +29,39 @@ TOPICS = {
 DEFAULT_TOPIC = "compliance.events"
 
 
+#: Severity of the events that a rule watches; others only inform.
+SEVERITIES = {"violation.detected": "critical", "tier.changed": "high"}
+
+
 def routed(events: DataFrame) -> DataFrame:
-    """Key, topic and JSON value of each event, ready for a Kafka or file sink; batch or stream."""
+    """Key, topic, severity and JSON value of each event, ready for a Kafka or file sink; batch or stream."""
     topic = F.coalesce(mapped(F.col("event_type"), TOPICS), F.lit(DEFAULT_TOPIC))
-    value = F.to_json(F.struct("event_id", "event_type", "entity_id", "score"))
-    return events.select("event_id", F.col("entity_id").cast("string").alias("key"), topic.alias("topic"), value.alias("value"))
+    severity = F.coalesce(mapped(F.col("event_type"), SEVERITIES), F.lit("info")).alias("severity")
+    value = F.to_json(F.struct("event_id", "event_type", "entity_id", "score", severity))
+    return events.select("event_id", F.col("entity_id").cast("string").alias("key"), topic.alias("topic"), severity, value.alias("value"))
+
+
+def quarantined(messages: DataFrame, schema: str, needed: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Messages (value) that parse and have every needed field, and those that do not, with the reason.
+
+    One bad message never stops a batch; both sides work on streams as well.
+    """
+    parsed = messages.withColumn("_m", F.from_json("value", schema))
+    missing = F.concat_ws(", ", *(F.when(F.col(f"_m.{c}").isNull(), F.lit(c)) for c in needed))
+    broken = F.try_parse_json("value").isNull()
+    reason = F.when(broken, "not JSON").when(missing != "", F.concat(F.lit("missing "), missing))
+    judged = parsed.withColumn("reason", reason)
+    return judged.where("reason is null").select("_m.*"), judged.where("reason is not null").select(*messages.columns, "reason")
+
+
+def recent_events(
+    events: DataFrame, entity_id: int | None = None, event_types: list[str] | None = None, since: str | None = None, limit: int = 50
+) -> DataFrame:
+    """The latest events by the given filters, newest first."""
+    rows = events if entity_id is None else events.where(F.col("entity_id") == entity_id)
+    rows = rows.where(F.col("event_type").isin(event_types)) if event_types else rows
+    rows = rows.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz")) if since else rows
+    return rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
 
 
 def metric_series(events: DataFrame, interval: str = "1 day") -> DataFrame:
@@ -48,37 +75,6 @@ def metric_series(events: DataFrame, interval: str = "1 day") -> DataFrame:
     return series.select(F.col("w.start").alias("window_start"), *[c for c in series.columns if c != "w"])
 
 
-#: Seconds after which a hash that no version confirmed is forgotten.
-REMEMBERED = 30 * 24 * 3600
-
-
-def detected_changes(docs: DataFrame) -> DataFrame:
-    """NEW or MODIFIED for each document version of a stream (key, content_hash); unchanged ones are dropped.
-
-    The state of a key is its last hash and when it was seen; a hash older than
-    30 days no longer counts.  (A processing-time timeout would free the state
-    as well, but keeps a query that runs until its source is drained going.)
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = time.time()
-        known, seen = state.get if state.exists else (None, now)
-        known = known if now - seen <= REMEMBERED else None
-        rows = []
-        for frame in frames:
-            for digest in frame["content_hash"]:
-                if digest != known:
-                    rows.append((key[0], "NEW" if known is None else "MODIFIED", digest))
-                    known = digest
-        state.update((known, now))
-        if rows:
-            yield pd.DataFrame(rows, columns=["key", "change_type", "content_hash"])
-
-    return docs.groupBy("key").applyInPandasWithState(
-        step, "key string, change_type string, content_hash string", "content_hash string, seen double", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def cooled(times: list[float], minutes: float = 60) -> list[bool]:
     """Which of some ascending times (seconds) raise an alert: each mutes those of the next ``minutes``."""
     out, last = [], None
@@ -113,19 +109,47 @@ def _in_turn(rows: DataFrame, keys: list[str], step: Callable[[Any, float], tupl
     return turns.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(flag, T.BooleanType())]))
 
 
-def alerts(events: DataFrame, drop: int = 1000, minutes: float = 60) -> DataFrame:
-    """Alerts of a batch of events: violations, and scores that fall by more than ``drop``; a cooldown per entity and rule."""
+#: Severity of the rules.
+RULES = {"violation": "critical", "score_drop": "high", "tier_downgrade": "high"}
+
+
+def rule_hits(events: DataFrame, drop: int = 1000) -> DataFrame:
+    """Events that meet a rule: violations, scores that fall by more than ``drop``, and scores of a lower tier than the one before."""
     scores = events.where("event_type = 'score.calculated'")
     before = F.lag("score").over(Window.partitionBy("entity_id").orderBy("ts", "event_id"))
-    falls = scores.withColumn("_d", F.col("score") - before).where(F.col("_d") < -drop)
-    found = events.where("event_type = 'violation.detected'").select("event_id", "entity_id", "ts", F.lit("violation").alias("rule"))
-    found = found.union(falls.select("event_id", "entity_id", "ts", F.lit("score_drop").alias("rule")))
+    scored = scores.withColumn("_before", before).where("_before is not null")
+    hit = lambda rows, rule: rows.select("event_id", "entity_id", "ts", F.lit(rule).alias("rule"))
+    found = hit(events.where("event_type = 'violation.detected'"), "violation")
+    found = found.union(hit(scored.where(F.col("score") - F.col("_before") < -drop), "score_drop"))
+    return found.union(hit(scored.where(zk_tier(F.col("score")) > zk_tier(F.col("_before"))), "tier_downgrade"))
+
+
+def alerts(events: DataFrame, drop: int = 1000, minutes: float = 60) -> DataFrame:
+    """Alerts of a batch of events, with a cooldown per entity and rule and the rule's severity."""
 
     def fire(last: float | None, t: float) -> tuple[float, bool]:
         fires = last is None or t - last >= minutes * 60
         return (t if fires else last), fires
 
-    return _in_turn(found, ["entity_id", "rule"], fire, "_fires").where("_fires").drop("_fires")
+    fired = _in_turn(rule_hits(events, drop), ["entity_id", "rule"], fire, "_fires").where("_fires").drop("_fires")
+    return fired.withColumn("severity", mapped(F.col("rule"), RULES))
+
+
+def alert_states(alerts: DataFrame, updates: DataFrame) -> DataFrame:
+    """Alerts with the state that people gave them.
+
+    ``updates``: alert_id, action (acknowledge, resolve, suppress), user, note,
+    at.  The latest action decides the status, open without any; who
+    acknowledged and who resolved is kept.
+    """
+    of = lambda action, c: F.max_by(F.when(F.col("action") == action, F.col(c)), F.when(F.col("action") == action, F.col("at")))
+    last = updates.groupBy("alert_id").agg(
+        F.max_by("action", "at").alias("_last"), of("acknowledge", "user").alias("acknowledged_by"), of("resolve", "user").alias("resolved_by"),
+        of("resolve", "note").alias("resolution"), F.max("at").alias("updated_at"),
+    )
+    states = {"acknowledge": "acknowledged", "resolve": "resolved", "suppress": "suppressed"}
+    met = alerts.join(last, "alert_id", "left")
+    return met.withColumn("status", F.coalesce(mapped(F.col("_last"), states), F.lit("open"))).drop("_last")
 
 
 def limited(events: DataFrame, per_window: int = 100, seconds: int = 60) -> DataFrame:
@@ -138,12 +162,84 @@ def limited(events: DataFrame, per_window: int = 100, seconds: int = 60) -> Data
     return _in_turn(events.select("event_id", "entity_id", F.col("ts").cast("timestamp").alias("ts")), ["entity_id"], admit, "allowed")
 
 
-def drained(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Run a stream over all that its source has now, into Parquet files."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+STATUSES, LEVELS = ("open", "acknowledged", "resolved", "suppressed"), ("low", "medium", "high", "critical")
+
+
+def alert_totals(alerts: DataFrame) -> DataFrame:
+    """Alerts by status and by severity as rows (kind, value, n), with 0 for what none has; one pass over them."""
+    each = F.array(F.struct(F.lit("status").alias("kind"), F.col("status").alias("value")), F.struct(F.lit("severity").alias("kind"), F.col("severity").alias("value")))
+    counts = alerts.select(F.explode(each).alias("_x")).select("_x.*").groupBy("kind", "value").agg(F.count("*").alias("n"))
+    names = [("status", v) for v in STATUSES] + [("severity", v) for v in LEVELS]
+    known = alerts.sparkSession.createDataFrame(names, "kind string, value string")
+    return known.join(counts, ["kind", "value"], "left").fillna(0, ["n"])
+
+
+#: Periods that are looked back on, in hours.
+PERIODS = {"1h": 1, "6h": 6, "24h": 24, "7d": 168, "30d": 720}
+
 
+def looking_back(events: DataFrame, as_of: Column, key: str = "entity_id") -> DataFrame:
+    """Count, sum, mean and extremes of the scores of each key in each period before a time.
 
-def percentile_rank(n: Column, p: int) -> Column:
-    """Index of the nearest-rank percentile among ``n`` sorted values, from 0."""
-    return F.least(n - 1, F.floor(n * p / 100))
+    An event is aggregated once, in the shortest period that holds it; the
+    longer ones then add up the few partial sums of a key.
+    """
+    hours = F.lit(None).cast("int")
+    for h in sorted(PERIODS.values(), reverse=True):
+        hours = F.when(F.col("ts") >= as_of - F.make_dt_interval(hours=F.lit(h)), h).otherwise(hours)
+    score = F.col("score").cast("bigint")
+    part = events.where(F.col("ts") < as_of).withColumn("_hours", hours).where("_hours is not null").groupBy(key, "_hours").agg(
+        F.count(score).alias("_n"), F.sum(score).alias("_s"), F.min("score").alias("_low"), F.max("score").alias("_high")
+    )
+    periods = F.array(*(F.struct(F.lit(p).alias("period"), F.lit(h).alias("hours")) for p, h in PERIODS.items()))
+    each = part.withColumn("_p", F.explode(F.filter(periods, lambda p: p["hours"] >= F.col("_hours"))))
+    return each.groupBy(F.col("_p.period").alias("period"), key).agg(
+        F.sum("_n").alias("n"), F.sum("_s").alias("total"), F.min("_low").alias("least"), F.max("_high").alias("most"), F.round(F.sum("_s") / F.sum("_n"), 6).alias("mean")
+    )
+
+
+def system_metrics(events: DataFrame, entities: DataFrame, as_of: Column) -> DataFrame:
+    """One row on the whole system: entities in all and active ones, mean score, scores by numeric tier, and the last 24 hours."""
+    tier, recent = zk_tier(F.col("score")), F.col("ts") >= as_of - F.make_dt_interval(hours=F.lit(24))
+    of = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    row = events.agg(
+        F.countDistinct("entity_id").alias("active_entities"), F.round(F.avg("score"), 6).alias("mean_score"), *(of(tier == t, f"tier_{t}") for t in range(1, 6)),
+        of((F.col("event_type") == "assessment.completed") & recent, "assessments_24h"), of((F.col("event_type") == "violation.detected") & recent, "violations_24h"),
+    )
+    return row.crossJoin(entities.agg(F.count("*").alias("total_entities")))  # one row each
+
+
+def drained(stream: DataFrame, path: str, checkpoint: str, empty_batches: bool = True) -> None:
+    """Run a stream over all that its source has now, into Parquet files.
+
+    Batches without rows close windows; a stream whose state expires by the
+    clock would ask for them for ever and must run without.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, str(empty_batches).lower())
+    try:
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(key, before)
+
+
+def progress(query: StreamingQuery) -> dict[str, object]:
+    """Name, rows of the last batch, rate and lag (newest offset less the one read, where the source tells both) of a running stream."""
+    last = query.lastProgress
+    sources = [] if last is None else last["sources"]
+    offsets = lambda s, k: sum(v for t in (s.get(k) or {}).values() for v in t.values()) if isinstance(s.get(k), dict) else 0
+    return {
+        "name": query.name, "active": query.isActive, "rows": sum(s["numInputRows"] for s in sources),
+        "rows_per_second": sum(s.get("processedRowsPerSecond") or 0.0 for s in sources), "lag": sum(offsets(s, "latestOffset") - offsets(s, "endOffset") for s in sources),
+        "failed": query.exception() is not None,
+    }
+
+
+def unsubscribed(spark: SparkSession, name: str) -> bool:
+    """Stop the running stream of a name; false if there is none."""
+    found = [q for q in spark.streams.active if q.name == name]
+    for q in found:
+        q.stop()
+    return bool(found)

@@ -11,7 +11,7 @@ from regatta.operators import applicability as ap
 from regatta.operators import documents as dc
 from regatta.operators import graph, mutations, scoring
 from regatta.sources import domain
-from regatta.streaming import monitor
+from regatta.streaming import changes, monitor
 
 
 def test_scores_of_the_standard_sample(spark):
@@ -72,15 +72,6 @@ def test_cleaning(spark):
     assert "Page" not in got and got.startswith("A b c, d") and "\n\n\n" not in got
 
 
-def test_chunks_cover_the_text_and_move_on(spark):
-    docs = spark.createDataFrame([(1, "Word " * 500), (2, ""), (3, None), (4, "x" * 1200)], "doc_id bigint, text string")
-    rows = dc.chunks(docs, 500, 50).collect()
-    for doc_id, n in ((1, 2500), (4, 1200)):
-        own = sorted((r for r in rows if r.doc_id == doc_id), key=lambda r: r["index"])
-        assert own[0].start_char == 0 and own[-1].end_char == n and all(len(r.content) <= 500 for r in own)
-        assert all(b.start_char <= a.end_char for a, b in zip(own, own[1:]))
-
-
 def test_headers_are_removed(spark):
     text = "\n".join(["Official Journal of X" if i % 5 == 0 else f"line {i}" for i in range(30)])
     docs = spark.createDataFrame([(1, text), (2, "Official Journal of X\n" * 5)], "doc_id bigint, text string")
@@ -93,7 +84,7 @@ def test_diff_and_severity(spark):
     old = spark.createDataFrame([(1, "a b c d"), (2, "same"), (3, "gone")], schema)
     new = spark.createDataFrame([(1, "a b c d with penalty"), (2, "same"), (4, "fresh")], schema)
     got = {r.doc_id: (r.change_type, r.severity) for r in dc.version_diff(old, new).collect()}
-    assert got == {1: ("modified", "critical"), 3: ("deleted", "medium"), 4: ("new", "medium")}
+    assert got == {1: ("modified", "critical"), 3: ("deleted", "medium"), 4: ("new", "high")}
 
 
 def test_mutations(spark):
@@ -113,6 +104,6 @@ def test_change_stream_reports_new_then_modified(spark, tmp_path):
     for i, rows in enumerate(([("a", "1"), ("b", "1")], [("a", "1"), ("b", "2")])):
         spark.createDataFrame(rows, "key string, content_hash string").coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema("key string, content_hash string").parquet(str(source))
-        monitor.drained(monitor.detected_changes(stream), str(out), str(tmp_path / "state"))
+        monitor.drained(changes.detected_changes(stream), str(out), str(tmp_path / "state"), empty_batches=False)
         got = sorted((r.key, r.change_type) for r in spark.read.parquet(str(out)).collect())
         assert got == [("a", "NEW"), ("b", "NEW")] if i == 0 else [("a", "NEW"), ("b", "MODIFIED"), ("b", "NEW")]
