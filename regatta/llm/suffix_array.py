@@ -1,17 +1,19 @@
 """Suffix arrays by induced sorting and permuted common prefixes, in array operations.
 
-The induced sort visits buckets in character order; the members of a bucket
-are handled together in rounds, one round per repetition of the same
-character, which puts suffixes in exactly the order of a scan one by one.
-Work is linear in the text, with one numpy step per bucket and round.
+The induced sort visits buckets in character order.  Neighbouring buckets that
+induce nothing into each other are handled in one step, whatever the size of
+the alphabet; a bucket that induces into itself is handled in rounds, one per
+repetition of its character.  Suffixes come in exactly the order of a scan one
+by one.  The leftmost smaller substrings are named by rank, and the reduced
+text is sorted by the same function again until all names differ.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets beyond this size are sorted by doubling instead of bucket by bucket.
-BUCKETS = 4096
+#: Buckets tried in one step at most.
+WIDEST = 4096
 
 
 def _smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -25,60 +27,109 @@ def _smaller_than_next(text: np.ndarray) -> np.ndarray:
 
 def _spread(found: np.ndarray, chars: np.ndarray, order: np.ndarray, at: np.ndarray, step: int) -> None:
     """Append ``found`` to the buckets of ``chars``, in order, moving the buckets' ends by ``step``."""
-    turn = np.argsort(chars, kind="stable")
-    sorted_chars = chars[turn]
-    starts = np.flatnonzero(np.r_[True, sorted_chars[1:] != sorted_chars[:-1]])
-    sizes = np.diff(np.r_[starts, len(turn)])
-    offset = np.arange(len(turn)) - np.repeat(starts, sizes)
-    order[at[sorted_chars] + step * offset] = found[turn]
-    at[sorted_chars[starts]] += step * sizes
+    turn = chars.argsort(kind="stable")
+    chars = chars[turn]
+    place = np.arange(len(chars)) - chars.searchsorted(chars)  # among those of its bucket
+    place = at[chars] + place if step > 0 else at[chars] - place
+    order[place] = found[turn]
+    at[chars] = place + step  # of equal buckets the last one stays
+
+
+def _clear(chars: np.ndarray, targets: np.ndarray, end: int) -> int:
+    """End of the longest run of buckets whose sources induce only beyond the run.
+
+    ``chars`` (ascending) are the buckets of the sources, ``targets`` those
+    they induce into; a run that passes a source must end before all targets
+    up to it.
+    """
+    if not len(chars):
+        return end
+    least = np.minimum.accumulate(targets)
+    inside = least <= chars
+    k = int(inside.argmax())
+    if not inside[k]:
+        return min(end, int(least[-1]))
+    return int(chars[k]) if k == 0 else min(int(chars[k]), int(least[k - 1]))
+
+
+def _placed(sources: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which sources have a suffix before them of the type in ``keep``, and these suffixes."""
+    before = sources - 1
+    has = before >= 0
+    has[has] = keep[before[has]]
+    return has, before[has]
 
 
 def _induced(text: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """Order of all suffixes induced from an order of the leftmost smaller ones."""
     n, alphabet = len(text), len(heads)
     order = np.full(n, -1, np.int64)
+    large = ~small
     # Larger suffixes, buckets upwards: each suffix places the one before it at the head of that one's bucket.
     at = heads.copy()
-    by_char = np.argsort(text[lms], kind="stable")
-    seeds = lms[by_char]
+    seeds = lms[np.argsort(text[lms], kind="stable")]
     seed_ends = np.searchsorted(text[seeds], np.arange(alphabet), side="right")
-    if not small[n - 1]:  # the end of the text, before everything else
+    if large[n - 1]:  # the end of the text, before everything else
         _spread(np.array([n - 1]), text[n - 1 :], order, at, 1)
-    for c in range(alphabet):
-        done = heads[c]
-        while done < at[c]:
-            upto = int(at[c])
-            before = order[done:upto] - 1
-            before = before[before >= 0]
-            before = before[~small[before]]
+    c, width = 0, 1
+    while c < alphabet:
+        end = min(c + width, alphabet)
+        held = order[heads[c] : tails[end - 1] + 1]
+        held = held[held >= 0]
+        own = seeds[seed_ends[c - 1] if c else 0 : seed_ends[end - 1]]
+        sources = np.concatenate([held, own]) if len(own) else held
+        if end - c > 1 and len(held) and len(own):  # of each bucket the larger suffixes, then the seeds
+            sources = sources[np.argsort(text[sources], kind="stable")]
+        has, before = _placed(sources, large)
+        chars, targets = text[sources[has]], text[before]
+        upto = _clear(chars, targets, end)
+        if upto > c:
+            before = before[: chars.searchsorted(upto)]
             if len(before):
                 _spread(before, text[before], order, at, 1)
-            done = upto
-        own = seeds[seed_ends[c - 1] if c else 0 : seed_ends[c]]
-        if len(own):
-            before = own - 1
-            before = before[~small[before]]
+            width = min(2 * width, WIDEST) if upto == end else max(1, upto - c)
+            c = upto
+            continue
+        done = heads[c]  # the bucket's own suffixes come in rounds
+        while done < at[c]:
+            now = int(at[c])
+            _, before = _placed(order[done:now], large)
             if len(before):
                 _spread(before, text[before], order, at, 1)
-    larger_end = at
+            done = now
+        _, before = _placed(seeds[seed_ends[c - 1] if c else 0 : seed_ends[c]], large)
+        if len(before):
+            _spread(before, text[before], order, at, 1)
+        c += 1
     # Smaller suffixes, buckets downwards, from the tails.
     at = tails.copy()
-    for c in range(alphabet - 1, -1, -1):
+    c, width = alphabet - 1, 1
+    while c >= 0:
+        low = max(c - width + 1, 0)
+        sources = order[heads[low] : tails[c] + 1][::-1]
+        sources = sources[sources >= 0]
+        has, before = _placed(sources, small)
+        chars, targets = text[sources[has]].astype(np.int64), text[before].astype(np.int64)
+        upto = -_clear(-chars, -targets, -low + 1)  # the same upside down: buckets c, c - 1, ..., upto + 1
+        if upto < c:
+            before = before[: np.searchsorted(-chars, -upto)]
+            if len(before):
+                _spread(before, text[before], order, at, -1)
+            width = min(2 * width, WIDEST) if upto == low - 1 else max(1, c - upto)
+            c = upto
+            continue
         done = tails[c]
         while done > at[c]:
-            upto = int(at[c])
-            before = order[upto + 1 : done + 1][::-1] - 1
-            before = before[before >= 0]
-            before = before[small[before]]
+            now = int(at[c])
+            _, before = _placed(order[now + 1 : done + 1][::-1], small)
             if len(before):
                 _spread(before, text[before], order, at, -1)
-            done = upto
-        before = order[heads[c] : larger_end[c]][::-1] - 1
-        before = before[before >= 0]
-        before = before[small[before]]
+            done = now
+        rest = order[heads[c] : at[c] + 1][::-1]
+        _, before = _placed(rest[rest >= 0], small)
         if len(before):
             _spread(before, text[before], order, at, -1)
+        c -= 1
     return order
 
 
@@ -105,24 +156,6 @@ def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.n
     return names, int(rank[-1]) + 1
 
 
-def _doubled(text: np.ndarray) -> np.ndarray:
-    """Suffix array of an integer text by doubling the sorted prefix."""
-    n, width = len(text), 1
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    while True:
-        second = np.zeros(n, np.int64)
-        if width < n:
-            second[:-width] = rank[width:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        new = np.r_[0, np.cumsum(np.diff(key[order]) != 0)]
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        width *= 2
-
-
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Start positions of all suffixes of an array of small non-negative integers, in order.
 
@@ -134,14 +167,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     alphabet = int(text.max()) + 1
-    if alphabet > BUCKETS:
-        return _doubled(text)
     small = _smaller_than_next(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     counts = np.bincount(text, minlength=alphabet)
     tails = np.cumsum(counts) - 1
     heads = tails - counts + 1
-    narrow = text.astype(np.uint16)
+    narrow = text.astype(np.uint16 if alphabet < 1 << 16 else np.uint32)
     if len(lms) > 1:
         rough = _induced(narrow, small, heads, tails, lms)
         is_lms = np.zeros(n, bool)

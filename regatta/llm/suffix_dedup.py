@@ -9,10 +9,12 @@ strings that it can represent lie within a neighbourhood.
    neighbourhoods hold equal strings, so only the first of each kind goes on
    and the later ones are removed whole; each task does this for its own rows
    before anything is shuffled.
-2. Anchors with different neighbourhoods (the edges of repeated passages)
-   fetch their bytes.  The strings of an anchor are divided by where the
-   anchor lies in them; those of one division share most of their bytes, and
-   the hash of the shared bytes sends all that can be equal to one shard.
+2. Anchors with different neighbourhoods (the edges of repeated passages) are
+   divided by where the anchor lies in their strings; the strings of one
+   division share most of their bytes, and the hash of the shared bytes sends
+   all that can be equal to one shard.  A key with too many snippets for one
+   shard is divided again, which lets its strings share more bytes, until
+   each shard is small or a division holds one string only.
 3. Each shard builds a suffix array by induced sorting and finds equal strings
    by permuted common prefixes of at least ``length``.
 4. The removed spans go back to the documents.
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regatta.llm.columns import fresh
 from regatta.llm.storage import removed, written
 from regatta.llm.suffix_array import permuted_lcp, suffix_array
 
@@ -42,13 +45,15 @@ DIVISIONS = 4
 PIECE, SHARD = 1 << 19, 1 << 19
 #: Pieces whose anchors are gathered before they are sent on, and bytes of snippets in one batch.
 GATHERED, SENT = 16, 1 << 21
-#: Snippets of one key that one shard takes; beyond it their strings are compared one by one, by hash.
+#: Snippets of one key that one shard takes; a key with more of them is divided again.
 GROUP = 15_000
-#: Different neighbourhoods of one anchor in one batch from which the anchor counts as frequent.
-FREQUENT = 64
+#: An anchor is hot with more rows than this and than one in ``HOT`` of all, so that there are at most ``HOT`` hot ones.
+MANY, HOT = 100_000, 10_000
 
 _RANDOM = np.random.default_rng(20240607)
 _TABLE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A second, independent value for each byte, for a second hash of the same strings.
+_SECOND = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _EMPTY = np.uint64(0)
@@ -67,11 +72,11 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 class _Hasher:
     """Hashes of any substring of a byte array, from sums of powers modulo 2**64."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, table: np.ndarray = _TABLE):
         n = len(data)
         if n + 1 > len(_Hasher.up):
             _Hasher.up, _Hasher.down = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
-        self.sums = np.r_[_EMPTY, np.cumsum(_TABLE[data] * _Hasher.up[:n])]
+        self.sums = np.r_[_EMPTY, np.cumsum(table[data] * _Hasher.up[:n])]
 
     up, down = _powers(_BASE, 1 << 10), _powers(_INVERSE, 1 << 10)
 
@@ -154,17 +159,15 @@ def _find_anchors(length: int):
         key, tie = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("k", "tie"))
         order = np.lexsort((place, tie, key, around, gram))
         key, tie, place, gram, around = (x[order] for x in (key, tie, place, gram, around))
-        new_gram = np.r_[True, gram[1:] != gram[:-1]]
-        new = new_gram | np.r_[True, around[1:] != around[:-1]]
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])]
         again = np.r_[False, (key[1:] == key[:-1]) & (tie[1:] == tie[:-1]) & (place[1:] == place[:-1])] & ~new
-        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_gram))[np.cumsum(new_gram) - 1]
         keep = ~again
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(gram.view(np.int64)[keep]), pa.array(around.view(np.int64)[keep]), pa.array(key[keep]),
-                pa.array(tie[keep]), pa.array(place[keep]), pa.array(new[keep]), pa.array((kinds >= FREQUENT)[keep]),
+                pa.array(tie[keep]), pa.array(place[keep]), pa.array(new[keep]),
             ],
-            names=["gram", "around", "k", "tie", "place", "first", "frequent"],
+            names=["gram", "around", "k", "tie", "place", "first"],
         )
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,78 +187,92 @@ def _firsts(df: DataFrame, group: list[str], content: str, order: list[str]) ->
     )
 
 
-def _snippets(length: int):
-    """Hashes of the bytes around the anchors of a document, a row for each division that has strings."""
+def _repeats(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Rows behind the first of their group, for groups of any size: a minimum, combined before its shuffle, and a join."""
+    place = F.struct(*order)
+    first = df.groupBy(*group).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return df.join(first, group).where(place > F.col("_first")).drop("_first")
+
+
+def _snippets(length: int, again: bool):
+    """Hashes of the bytes around the anchors of a document, a row for each division that has strings.
+
+    A division is a range of places (``a`` to ``b`` - 1) of the anchor in its
+    strings.  At first there are ``DIVISIONS`` of each anchor; ``again``, those
+    that a document asks for are cut into as many, and contents are hashed
+    independently of the shared bytes.
+    """
     width = length - GRAM + 1
-    edges = [width * i // DIVISIONS for i in range(DIVISIONS + 1)]
+    edges = np.array([width * i // DIVISIONS for i in range(DIVISIONS + 1)])
+
+    def divisions(row: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values = row.values
+        if not again:
+            at = np.asarray(values)
+            return np.repeat(at, DIVISIONS), np.tile(edges[:-1], len(at)), np.tile(edges[1:], len(at))
+        at, a, b = (np.asarray(values.field(c)) for c in ("place", "a", "b"))
+        step = np.arange(DIVISIONS)
+        low = a[:, None] + (b - a)[:, None] * step // DIVISIONS
+        high = a[:, None] + (b - a)[:, None] * (step + 1) // DIVISIONS
+        held = (low < high).ravel()
+        return np.repeat(at, DIVISIONS)[held], low.ravel()[held], high.ravel()[held]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
-            for row, (text, places) in enumerate(zip(batch.column("bytes"), batch.column("places"), strict=True)):
-                data = text.as_py()
-                n, at = len(data), np.asarray(places.values)
-                hasher = _Hasher(np.frombuffer(data, np.uint8))
-                for part, (a, b) in enumerate(zip(edges, edges[1:])):
-                    first, last = np.maximum(at - b + 1, 0), np.minimum(at - a, n - length)  # string starts
-                    has = first <= last
-                    p, first, last = at[has], first[has], last[has]
-                    shared = hasher.at(p - a, p + length - b + 1) ^ _TABLE[part]
-                    content = _mixed(hasher.at(first, last + length) ^ ((p - first) * 512 + last - first).astype(np.uint64))
-                    out.append((np.full(len(p), row), shared, content, first, last + length))
+            for row, (text, asked) in enumerate(zip(batch.column("bytes"), batch.column("asked"), strict=True)):
+                data = np.frombuffer(text.as_py(), np.uint8)
+                n = len(data)
+                at, a, b = divisions(asked)
+                hasher = _Hasher(data)
+                whole = _Hasher(data, _SECOND) if again else hasher
+                first, last = np.maximum(at - b + 1, 0), np.minimum(at - a, n - length)  # string starts
+                has = first <= last
+                p, a, b, first, last = at[has], a[has], b[has], first[has], last[has]
+                shared = _mixed(hasher.at(p - a, p + length - b + 1) ^ ((a * 512 + b).astype(np.uint64) * _BASE))
+                content = _mixed(whole.at(first, last + length) ^ ((p - first) * 512 + last - first).astype(np.uint64))
+                out.append((np.full(len(p), row), shared, content, first, last + length, p - first, a, b))
             if not out:
                 continue
-            row, shared, content, first, end = (np.concatenate(x) for x in zip(*out))
+            row, shared, content, first, end, inside, a, b = (np.concatenate(x) for x in zip(*out))
             where = pa.array(row)
+            small = lambda x: pa.array(x.astype(np.int16))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(shared.view(np.int64)), pa.array(content.view(np.int64)), batch.column("k").take(where),
-                    batch.column("tie").take(where), pa.array(first), pa.array(end),
+                    batch.column("tie").take(where), pa.array(first), pa.array(end), small(inside), small(a), small(b),
                 ],
-                names=["shared", "content", "k", "tie", "low", "high"],
+                names=["shared", "content", "k", "tie", "low", "high", "inside", "a", "b"],
             )
 
     return cut
 
 
-def _fetched(length: int):
-    """The bytes of a document's snippets; of those with ``each``, a row for the hash of every string instead."""
+def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of a document's snippets."""
+    for batch in batches:
+        rows, key, place, bits, size = [], [], [], [], 0
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, key, place, bits, size = [], [], [], [], 0
-
-            def sent() -> pa.RecordBatch:
-                one = pa.array(np.array(rows, np.int64))
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), batch.column("k").take(one), batch.column("tie").take(one), pa.array(place, pa.int64()),
-                     pa.array(bits, pa.binary())],
-                    names=["shared", "k", "tie", "low", "bits"],
-                )
-
-            for row, (text, snippets) in enumerate(zip(batch.column("bytes"), batch.column("snippets"), strict=True)):
-                data = text.as_py()
-                hashes = None
-                for s in snippets:
-                    s = s.as_py()
-                    if s["each"]:
-                        hashes = _Hasher(np.frombuffer(data, np.uint8)) if hashes is None else hashes
-                        low = np.arange(s["low"], s["high"] - length + 1)
-                        key += hashes.at(low, low + length).view(np.int64).tolist()
-                        place += low.tolist()
-                        bits += [None] * len(low)
-                    else:
-                        key.append(s["shared"])
-                        place.append(s["low"])
-                        bits.append(data[s["low"] : s["high"]])
-                    rows += [row] * (len(key) - len(rows))
-                    size += s["high"] - s["low"]
-                    if size >= SENT:
-                        yield sent()
-                        rows, key, place, bits, size = [], [], [], [], 0
-            yield sent()
-
-    return fetch
+        def sent() -> pa.RecordBatch:
+            one = pa.array(np.array(rows, np.int64))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key, pa.int64()), batch.column("k").take(one), batch.column("tie").take(one), pa.array(place, pa.int64()),
+                 pa.array(bits, pa.binary())],
+                names=["shared", "k", "tie", "low", "bits"],
+            )
+
+        for row, (text, snippets) in enumerate(zip(batch.column("bytes"), batch.column("snippets"), strict=True)):
+            data, values = text.as_py(), snippets.values
+            for shared, low, high in zip(*(values.field(c).to_pylist() for c in ("shared", "low", "high")), strict=True):
+                key.append(shared)
+                place.append(low)
+                bits.append(data[low:high])
+                rows.append(row)
+                size += high - low
+                if size >= SENT:
+                    yield sent()
+                    rows, key, place, bits, size = [], [], [], [], 0
+        yield sent()
 
 
 def repeated_strings(bits: list[bytes], key: np.ndarray, tie: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,6 +354,66 @@ def _shards(length: int):
     return run
 
 
+ID_COLS = "k bigint, tie bigint"
+
+
+def _neighbourhoods(keyed: DataFrame, length: int) -> DataFrame:
+    """Places of anchors: later ones of equal neighbourhoods (``repeat``), and first ones of anchors that have several kinds."""
+    found = keyed.mapInArrow(_find_anchors(length), f"gram bigint, around bigint, {ID_COLS}, place bigint, first boolean")
+    found = written(found, "anchors")
+    order = ["k", "tie", "place"]
+    firsts = found.where("first").select("gram", "around", *order)
+    least = max(MANY, firsts.count() // HOT)
+    hot = firsts.groupBy("gram").agg(F.count("*").alias("_n")).where(F.col("_n") > least).select("gram", F.lit(True).alias("hot"))
+    hot = written(hot, "hot")
+    marked = firsts.join(F.broadcast(hot), "gram", "left")  # at most HOT rows
+    cold = _firsts(marked.where("hot is null"), ["gram"], "around", order).where("repeat or mixed").select(*order, "repeat")
+    # Rows of a hot anchor meet by neighbourhood; such an anchor has several kinds.
+    crowd = marked.where("hot")
+    later = _repeats(crowd, ["gram", "around"], order).select("gram", "around", *order)
+    crowd = later.select(*order, F.lit(True).alias("repeat")).union(crowd.join(later, ["gram", "around", *order], "left_anti").select(*order, F.lit(False)))
+    seen = cold.union(found.where("not first").select(*order, F.lit(True)))
+    seen = written(seen.union(crowd) if not hot.isEmpty() else seen, "neighbourhoods")
+    removed(found)
+    removed(hot)
+    return seen
+
+
+def _divided(keyed: DataFrame, places: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Snippets that meet others: whole repeats of earlier ones as spans, and those whose bytes must be compared, with their key.
+
+    Keys with more than ``GROUP`` snippets are divided again; divisions of one
+    place hold one string each, so that all but its first are repeats.
+    """
+    spans, opened = [], []
+    asked, again = places, False
+    order = ["k", "tie", "low"]
+    while True:
+        cut = keyed.join(asked, ["k", "tie"]).select("bytes", "asked", "k", "tie")
+        schema = f"shared bigint, content bigint, {ID_COLS}, low bigint, high bigint, inside smallint, a smallint, b smallint"
+        snippets = written(cut.mapInArrow(_snippets(length, again), schema), "snippets")
+        sizes = written(snippets.groupBy("shared").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        met = snippets.join(sizes, "shared")
+        small = _firsts(met.where(f"n <= {GROUP}"), ["shared"], "content", order).where("repeat or mixed")
+        open_ = written(small.select(*order, "high", "shared", "repeat"), "open")
+        spans.append(open_.where("repeat").select(*order, "high"))
+        opened.append(open_.where("not repeat").select(*order, "high", "shared"))
+        if not sizes.where(f"n > {GROUP}").isEmpty():
+            large = met.where(f"n > {GROUP}")
+            same = _repeats(large.where("b - a = 1"), ["shared", "content"], order)
+            spans.append(written(same.select(*order, "high"), "same"))
+            more = large.where("b - a > 1").groupBy("k", "tie").agg(
+                F.collect_set(F.struct((F.col("low") + F.col("inside")).alias("place"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))).alias("asked")
+            )
+            asked, again = written(more, "asked"), True
+        else:
+            asked = None
+        removed(snippets)
+        removed(sizes)
+        if asked is None or asked.isEmpty():
+            return spans, opened
+
+
 def removed_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Byte spans to remove: ``k`` (id; the largest long for null), ``tie`` (hash of the text), ``low``, ``high``.
 
@@ -344,51 +421,32 @@ def removed_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
     """
     keyed = _keyed(docs, id_col, text_col)
     width = length - GRAM + 1
-    id_cols = "k bigint, tie int"
-    found = keyed.mapInArrow(
-        _find_anchors(length), f"gram bigint, around bigint, {id_cols}, place bigint, first boolean, frequent boolean"
-    )
-    found = written(found, "anchors")
-    # Anchors frequent in some batch are known to be mixed; their rows are dealt out by neighbourhood too.
-    often = found.where("frequent").select("gram").distinct().withColumn("often", F.lit(True))
-    firsts = found.where("first").select("gram", "around", "k", "tie", "place").join(often, "gram", "left")
-    firsts = firsts.withColumn("salt", F.when(F.col("often"), F.col("around")).otherwise(F.lit(0)))
-    firsts = _firsts(firsts, ["gram", "salt"], "around", ["k", "tie", "place"]).where("repeat or mixed or often")
-    seen = firsts.select("k", "tie", "place", "repeat").union(found.where("not first").select("k", "tie", "place", F.lit(True)))
-    seen = written(seen, "neighbourhoods")
-    removed(found)
+    seen = _neighbourhoods(keyed, length)
     low = F.greatest(F.col("place") - (width - 1), F.lit(0))
     marks = [seen.where("repeat").select("k", "tie", low.alias("low"), (F.col("place") + length).alias("high"))]
-
-    places = seen.where("not repeat").groupBy("k", "tie").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    near = keyed.join(places, ["k", "tie"]).select("bytes", "places", "k", "tie")
-    snippets = near.mapInArrow(_snippets(length), f"shared bigint, content bigint, {id_cols}, low bigint, high bigint")
-    snippets = written(snippets, "snippets")
-    sizes = snippets.groupBy("shared").agg(F.count("*").alias("n")).where("n > 1")
-    met = snippets.join(sizes, "shared")
-    # Keys with very many snippets are not gathered: each of their strings is compared by its hash.
-    large = met.where(f"n > {GROUP}").select("k", "tie", "low", "high", "shared", F.lit(False).alias("repeat"), F.lit(True).alias("each"))
-    small = _firsts(met.where(f"n <= {GROUP}"), ["shared"], "content", ["k", "tie", "low"]).where("repeat or mixed")
-    open_ = written(small.select("k", "tie", "low", "high", "shared", "repeat", F.lit(False).alias("each")).union(large), "open")
-    removed(snippets)
-    marks.append(open_.where("repeat").select("k", "tie", "low", "high"))
-
-    wanted = open_.where("not repeat").groupBy("k", "tie").agg(F.collect_set(F.struct("shared", "low", "high", "each")).alias("snippets"))
+    places = seen.where("not repeat").groupBy("k", "tie").agg(F.array_sort(F.collect_set("place")).alias("asked"))
+    whole, opened = _divided(keyed, places, length)
+    marks += whole
+    wanted = reduce(DataFrame.union, opened).groupBy("k", "tie").agg(F.collect_set(F.struct("shared", "low", "high")).alias("snippets"))
     bits = keyed.join(wanted, ["k", "tie"]).select("bytes", "snippets", "k", "tie")
-    bits = written(bits.mapInArrow(_fetched(length), f"shared bigint, {id_cols}, low bigint, bits binary"), "bits")
-    shards = bits.where("bits is not null").repartition("shared").sortWithinPartitions("shared", "k", "tie", "low")
-    marks.append(shards.mapInPandas(_shards(length), f"{id_cols}, low bigint, high bigint"))
-    strings = bits.where("bits is null").select("shared", "k", "tie", "low")
-    earliest = strings.groupBy("shared").agg(F.min(F.struct("k", "tie", "low")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = strings.join(earliest, "shared").where(F.struct("k", "tie", "low") > F.col("first"))
-    marks.append(later.select("k", "tie", "low", (F.col("low") + length).alias("high")))
-    return written(reduce(DataFrame.union, marks), "spans")
+    bits = bits.mapInArrow(_fetched, f"shared bigint, {ID_COLS}, low bigint, bits binary")
+    shards = bits.repartition("shared").sortWithinPartitions("shared", "k", "tie", "low")
+    marks.append(shards.mapInPandas(_shards(length), f"{ID_COLS}, low bigint, high bigint"))
+    spans = written(reduce(DataFrame.union, marks), "spans")
+    for used in [seen, *whole, *opened]:
+        removed(used)
+    return spans
+
+
+def _tie(text: Column) -> Column:
+    """Tells documents of one id apart (those with a null id too)."""
+    return F.xxhash64(text)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))
-    return docs.select(key.alias("k"), F.hash(text).alias("tie"), text.cast("binary").alias("bytes"))
+    return docs.select(key.alias("k"), _tie(text).alias("tie"), text.cast("binary").alias("bytes"))
 
 
 def _merged(low: np.ndarray, high: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -435,14 +493,15 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     A null text is empty; texts shorter than ``length`` are kept whole; null
     ids come last; rows that repeat an id and its text are one document and
     get the same result, rows that repeat an id with another text are ordered
-    by a hash of it; extra columns pass through; an empty table gives an empty
-    result.  Texts of any length are read in overlapping pieces.
+    by a hash of it; extra columns pass through (one that is named ``dedup`` is
+    replaced); an empty table gives an empty result.  Texts of any length are
+    read in overlapping pieces.
     """
     spans = removed_spans(docs, length, id_col, text_col)
-    lists = spans.groupBy("k", "tie").agg(F.collect_list("low").alias("_low"), F.collect_list("high").alias("_high"))
-    lists = lists.withColumnsRenamed({"k": "_k", "tie": "_tie"})
+    k, tie, low, high = (fresh(c, docs.columns) for c in ("_k", "_tie", "_low", "_high"))
+    lists = spans.groupBy(F.col("k").alias(k), F.col("tie").alias(tie)).agg(F.collect_list("low").alias(low), F.collect_list("high").alias(high))
     text = F.coalesce(F.col(text_col), F.lit(""))
     key: Column = F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))
-    met = docs.join(lists, (key == F.col("_k")) & (F.hash(text) == F.col("_tie")), "left")
-    cut = _cut(with_text)(F.col(text_col).cast("binary"), F.col("_low"), F.col("_high"))
-    return met.select(*(docs[c] for c in docs.columns), cut.alias("dedup"))
+    met = docs.join(lists, (key == F.col(k)) & (_tie(text) == F.col(tie)), "left")
+    cut = _cut(with_text)(F.col(text_col).cast("binary"), F.col(low), F.col(high))
+    return met.select(*(docs[c] for c in docs.columns if c.lower() != "dedup"), cut.alias("dedup"))

@@ -1,10 +1,16 @@
 """Embedding near-duplicates by an exact metric range join.
 
 Unit vectors with a cosine of at least c lie within r = sqrt(2 - 2c) of each
-other.  Each vector's home is the cell of its nearest pivot.  If y has home p
-and x has home q, then d(x, p) - d(x, q) <= 2 r wherever d(x, y) <= r (triangle
-inequality over y), so x is copied to those cells only, and the pairs of a
-cell are compared there and nowhere else.
+other.  Each vector's home is the cell of its nearest pivot.  A partner y of x
+can be at home in the cell of pivot p only if, with q the pivot of x,
+
+* d(x, p) - d(x, q) <= 2 r (triangle inequality over y),
+* d(x, p) <= r + the largest distance of p to a vector of its cell, and
+* (d(x, p)^2 - d(x, q)^2) / (2 d(p, q)) <= r (x's distance to the border of p and q).
+
+x visits the cells that pass all three and have a higher number than its own,
+so that each pair meets once, and the pairs of a cell are compared there and
+nowhere else.
 """
 
 from __future__ import annotations
@@ -19,14 +25,16 @@ from pyspark.sql import functions as F
 
 from regatta.llm.components import components
 from regatta.llm.simhash import forest
-from regatta.llm.storage import written
+from regatta.llm.storage import removed, written
 
-#: Most pivots, and vectors that the fitting of pivots reads (the only bounded sample; all vectors are joined).
-PIVOTS, SAMPLE = 1024, 8192
-#: Home vectors and visiting vectors that one task compares at a time.
-HOME, VISITORS = 2048, 32768
+#: Fewest and most pivots, and vectors that the fitting of pivots reads (the only bounded sample; all vectors are joined).
+LEAST, PIVOTS, SAMPLE = 4, 1024, 8192
+#: Home vectors and guests that one task compares at a time.
+HOME, GUESTS = 16384, 65536
 #: Slack for rounding in distances that choose cells (never in the final test).
 ROUNDING = 1e-6
+#: Seconds that a compared pair and a copied vector cost, which weigh when the number of pivots is chosen.
+PAIR_COST, COPY_COST = 5e-9, 1e-5
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -57,8 +65,56 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * x @ pivots.T, 0))
 
 
-def _dealt(pivots: np.ndarray, radius: float):
-    """Copy each vector to its home cell and to the cells where it may have partners."""
+def visits(d: np.ndarray, between: np.ndarray, radii: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home of each vector, and which cells it visits, from its distances to the pivots and those of the pivots to each other."""
+    home = d.argmin(1)
+    own = d[np.arange(len(d)), home][:, None]
+    border = d * d - own * own <= 2 * radius * between[home] + ROUNDING
+    near = (d - own <= 2 * radius + ROUNDING) & (d <= radii + radius + ROUNDING) & border
+    return home, near & (np.arange(d.shape[1]) > home[:, None])
+
+
+def fitted_pivots(units: np.ndarray, n: int, radius: float) -> np.ndarray:
+    """The number of pivots, of those chosen on the sample, for which comparing and copying ``n`` such vectors costs least.
+
+    More pivots save comparisons where vectors lie in groups; where all lie
+    about equally far from each other they only make copies.
+    """
+    pivots = choose_pivots(units, PIVOTS)
+    units = units[:2048]  # enough to compare numbers by
+    d, between = _distances(units, pivots), _distances(pivots, pivots)
+    best, least = 1, np.inf
+    for k in sorted({min(2**i, len(pivots)) for i in range(11)}):
+        if k < min(LEAST, len(pivots)):
+            continue
+        home, seen = visits(d[:, :k], between[:k, :k], np.full(k, np.inf), radius)
+        homes, guests = np.bincount(home, minlength=k), seen.sum(0)
+        pairs = float((homes * (homes / 2 + guests)).sum()) / len(units) ** 2
+        cost = pairs * n * PAIR_COST + (1 + seen.sum() / len(units)) * COPY_COST
+        if cost < least:
+            best, least = k, cost
+    return pivots[:best]
+
+
+def _farthest(pivots: np.ndarray):
+    """Each batch's greatest distance of a home vector to its pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _matrix(batch.column("bytes"))
+            if len(m):
+                d = _distances(_unit(m), pivots)
+                far = np.full(len(pivots), -1.0)
+                np.maximum.at(far, d.argmin(1), d.min(1))
+                cells = np.flatnonzero(far >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(far[cells])], names=["cell", "far"])
+
+    return run
+
+
+def _dealt(pivots: np.ndarray, radii: np.ndarray, radius: float):
+    """Each vector at home in its cell, and a copy in each cell that it visits."""
+    between = _distances(pivots, pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,41 +122,58 @@ def _dealt(pivots: np.ndarray, radius: float):
             if not len(m):
                 continue
             d = _distances(_unit(m), pivots)
-            home = d.argmin(1)
-            near = d - d[np.arange(len(d)), home][:, None] <= 2 * radius + ROUNDING
-            row, cell = np.nonzero(near)
+            home, seen = visits(d, between, radii, radius)
+            seen[np.arange(len(d)), home] = True
+            row, cell = np.nonzero(seen)
             one = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), batch.column("node").take(one),
+                [pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), pa.array(d[row, cell]), batch.column("node").take(one),
                  batch.column("copies").take(one), batch.column("bytes").take(one)],
-                names=["cell", "home", "node", "copies", "bytes"],
+                names=["cell", "home", "far", "node", "copies", "bytes"],
             )
 
     return run
 
 
 def _compared(threshold: float):
-    """Links of one block: home vectors of a cell against vectors that visit it."""
+    """Links of one block: its vectors at home among themselves and against guests.
+
+    Both are sorted by distance to the pivot; partners differ by at most the
+    radius in it, so each slice of guests meets a slice of the block only.
+    """
+    radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + ROUNDING
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        home = frame["home"].to_numpy(bool)
+        frame = frame.sort_values("far", kind="stable")
         matrix = _matrix(pa.array(frame["bytes"], pa.binary()))
-        node, copies = frame["node"].to_numpy(), frame["copies"].to_numpy()
+        node, copies, far, guest = (frame[c].to_numpy() for c in ("node", "copies", "far", "guest"))
         norms = np.linalg.norm(matrix, axis=1)
-        at_home = np.flatnonzero(home & (frame["part"].to_numpy() == 0))
-        guests = np.flatnonzero(frame["part"].to_numpy() == 1)
+        units = _unit(matrix).astype(np.float32)
+        slack = 1e-5 + 1e-6 * matrix.shape[1]  # rounding of the rough products
+        block = np.flatnonzero(~guest)
         counts = np.zeros(len(frame), np.int64)
+        around = far[block]
+
+        def met(some: np.ndarray, among: np.ndarray, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+            i, j = np.nonzero(units[some] @ units[among].T >= threshold - slack)
+            i, j = some[i], among[j]
+            if inside:
+                i, j = i[i < j], j[i < j]
+            exact = np.einsum("ij,ij->i", matrix[i], matrix[j]) / (norms[i] * norms[j]) >= threshold
+            i, j = i[exact], j[exact]
+            np.add.at(counts, i, copies[j])
+            np.add.at(counts, j, copies[i])
+            return i, j
 
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            units = _unit(matrix)
-            for lo in range(0, len(guests), 2048):
-                some = guests[lo : lo + 2048]
-                i, j = np.nonzero(units[some] @ units[at_home].T >= threshold - 1e-9)
-                i, j = some[i], at_home[j]
-                exact = np.einsum("ij,ij->i", matrix[i], matrix[j]) / (norms[i] * norms[j]) >= threshold
-                i, j = i[exact & (node[i] != node[j])], j[exact & (node[i] != node[j])]
-                np.add.at(counts, i, copies[j])
-                yield i, j
+            first = len(frame) and frame["col"].iloc[0] == 0
+            for rows, inside in ((np.flatnonzero(guest), False), (block if first else block[:0], True)):
+                for at in range(0, len(rows), 1024):
+                    some = rows[at : at + 1024]
+                    low, high = np.searchsorted(around, (far[some[0]] - radius, far[some[-1]] + radius))
+                    low = max(low, at) if inside else low  # pairs of the block once
+                    if low < high:
+                        yield met(some, block[low:high], inside)
 
         root = forest(len(frame), pairs())
         linked = np.flatnonzero(counts)
@@ -119,27 +192,28 @@ def _compared(threshold: float):
 def _joined(vectors: DataFrame, threshold: float, pivots: np.ndarray) -> DataFrame:
     """Per distinct vector (node): its links as rows (node, node, n), and edges of a spanning forest (a, b, 0)."""
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    dealt = vectors.mapInArrow(_dealt(pivots, radius), "cell int, home boolean, node bigint, copies bigint, bytes binary")
+    far = vectors.mapInArrow(_farthest(pivots), "cell int, far double").groupBy("cell").agg(F.max("far").alias("far"))
+    radii = np.full(len(pivots), -np.inf)
+    for row in far.collect():  # a row per pivot
+        radii[row.cell] = row.far
+    dealt = vectors.mapInArrow(_dealt(pivots, radii, radius), "cell int, home boolean, far double, node bigint, copies bigint, bytes binary")
     dealt = written(dealt, "cells")
-    sizes = dealt.groupBy("cell").agg(F.count("*").alias("guests"), F.sum(F.col("home").cast("bigint")).alias("homes"))
-    # A cell of any size is a grid of blocks: its home vectors in rows, its visitors in columns.
-    grid = sizes.select("cell", F.ceil(F.col("homes") / HOME).alias("rows"), F.ceil(F.col("guests") / VISITORS).alias("cols"))
-    met = dealt.join(grid.where("rows > 0"), "cell")
+    sizes = dealt.groupBy("cell").agg(F.count("*").alias("all"), F.sum(F.col("home").cast("bigint")).alias("homes"))
+    # A cell of any size is a grid: blocks of its own vectors in rows, guests in columns.
+    grid = sizes.select("cell", F.ceil(F.col("homes") / HOME).alias("rows"), F.ceil(F.col("all") / GUESTS).alias("cols")).where("rows > 0")
+    met = dealt.join(F.broadcast(grid), "cell")  # a row per pivot
     place = F.xxhash64("node")
-    as_home = met.where("home").select(
-        "cell", F.pmod(place, "rows").alias("row"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cols") - 1)).alias("col"),
-        "home", "node", "copies", "bytes", F.lit(0).alias("part"),
-    )
-    as_guest = met.select(
-        "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)).alias("row"), F.pmod(place, "cols").alias("col"),
-        "home", "node", "copies", "bytes", F.lit(1).alias("part"),
-    )
-    return as_home.union(as_guest).groupBy("cell", "row", "col").applyInPandas(_compared(threshold), "a bigint, b bigint, n bigint")
-
-
-def vector_links(
-    table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", per_pivot: int = 2500
-) -> DataFrame:
+    row, col = F.pmod(place, "rows"), F.pmod(F.xxhash64("node", F.lit(1)), "cols")
+    upto = lambda n: F.filter(F.sequence(F.lit(0).cast("bigint"), n), lambda x: x < n)
+    whole = ["far", "node", "copies", "bytes"]
+    at_home = met.where("home").select("cell", row.alias("row"), F.explode(upto(F.col("cols"))).alias("col"), F.lit(False).alias("guest"), *whole)
+    # Guests: visitors in all rows, the cell's own vectors in the rows before theirs.
+    rows = F.when(F.col("home"), row).otherwise(F.col("rows"))
+    guests = met.select("cell", F.explode(upto(rows)).alias("row"), col.alias("col"), F.lit(True).alias("guest"), *whole)
+    return at_home.union(guests).groupBy("cell", "row", "col").applyInPandas(_compared(threshold), "a bigint, b bigint, n bigint")
+
+
+def vector_links(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links and component of every vector under cosine similarity in double precision.
 
     Returns one row per input row: the id, ``n_links`` (other rows linked
@@ -147,50 +221,56 @@ def vector_links(
     ``kept`` (the row is its component's smallest id).  Vectors that are null,
     empty or zero or hold null or non-finite components link with nothing, nor
     do rows without an id (their component is null and they are not kept).
-    Vectors of different lengths never link.  Rows that repeat an id are one
-    vertex of the components.  Extra columns are ignored; an empty table gives
-    an empty result.
-
-    Equal vectors are collapsed first, so groups of copies cost one row each.
-    Each cell is divided into blocks of bounded size, each block reports a
-    count per vector and a spanning forest of its links, never all pairs.
+    Vectors of different lengths never link.  Rows that repeat an id are told
+    apart by their vectors; rows equal in both count as links of each other.
+    Extra columns are ignored; an empty table gives an empty result.
+
+    Equal vectors are collapsed first (by two independent 64-bit hashes), so
+    groups of copies cost one row each.  Each cell is divided into blocks of
+    bounded size, each block reports a count per vector and a spanning forest
+    of its links, never all pairs.
     """
     v = F.col(vector_col).cast("array<double>")
     good = F.coalesce(
         (F.size(v) > 0)
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        & F.exists(v, lambda x: x != 0),
+        & F.exists(v, lambda x: x != 0)
+        & F.col(id_col).isNotNull(),
         F.lit(False),
     )
-    rows = table.select(F.col(id_col).alias("vec_id"), F.when(good & F.col(id_col).isNotNull(), v).alias("v"))
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    packed = classes.mapInArrow(_packed, "node bigint, copies bigint, width int, bytes binary")
-    packed = written(packed, "vectors")
-    links = None
+    key = ["h1", "h2"]
+    rows = table.select(F.col(id_col).alias("vec_id"), v.alias("v"), good.alias("good"))
+    linkable = rows.where("good").select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"))
+    classes = linkable.groupBy(*key).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = classes.withColumn("node", F.monotonically_increasing_id())  # fixed once it is written
+    packed = written(classes.mapInArrow(_packed, "h1 bigint, h2 bigint, least bigint, node bigint, copies bigint, width int, bytes binary"), "vectors")
+    links, spark = [], table.sparkSession
     for width in sorted(r["width"] for r in packed.select("width").distinct().collect()):  # usually one
-        own = packed.where(F.col("width") == width)
-        sample = own.orderBy(F.xxhash64(F.lit(3), "node")).limit(SAMPLE).select("bytes").toArrow()
+        own = packed.where(F.col("width") == width).select("node", "copies", "bytes")
+        sample = own.orderBy(F.xxhash64(F.lit(3), "bytes")).limit(SAMPLE).select("bytes").toArrow()
         units = _unit(_matrix(sample.column("bytes").combine_chunks()))
-        pivots = choose_pivots(units, max(1, min(PIVOTS, own.count() // per_pivot)))
-        found = _joined(own, threshold, pivots)
-        links = found if links is None else links.union(found)
-    spark = table.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint, n bigint") if links is None else links
-    links = written(links, "links")
-    roots = components(links.where("a <> b").select("a", "b"))
-    counts = links.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    of_class = written(classes.join(counts, "node", "left").join(roots, "node", "left"), "classes")
-    of_class = of_class.select(F.col("v").alias("_v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root"))
-    met = rows.join(of_class, F.col("v") == F.col("_v"), "left")
-    component = F.coalesce("root", "vec_id")
-    return met.select(
-        "vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
-    )
+        links.append(_joined(own, threshold, fitted_pivots(units, own.count(), float(np.sqrt(max(0.0, 2 - 2 * threshold))))))
+    found = spark.createDataFrame([], "a bigint, b bigint, n bigint")
+    for one in links:
+        found = found.union(one)
+    found = written(found, "links")
+    roots = components(found.where("a <> b").select("a", "b"))
+    counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    named = packed.select(*key, "least", "node", "copies").join(counts, "node", "left").join(roots, "node", "left")
+    named = written(named.select(*key, "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root")), "classes")
+    removed(packed)
+    removed(found)
+    ids = named.groupBy("root").agg(F.min("least").alias("component"))
+    of_class = named.join(ids, "root").select(*key, "n", "component")
+    met = linkable.select("vec_id", *key).join(of_class, key).select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
+    alone = rows.where("not good").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = met.union(alone)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors as bytes of doubles, so that later steps move and read them without a list per row."""
+    own = ["h1", "h2", "least", "node", "copies"]
     for batch in batches:
         lists = batch.column("v")
         offsets = np.asarray(lists.offsets)
@@ -198,5 +278,5 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
         width = pa.array(np.diff(offsets).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), batch.column("copies"), width, pa.array(data, pa.binary())], names=["node", "copies", "width", "bytes"]
+            [*(batch.column(c) for c in own), width, pa.array(data, pa.binary())], names=[*own, "width", "bytes"]
         )

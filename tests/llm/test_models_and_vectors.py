@@ -93,7 +93,8 @@ def test_host_rules_of_odd_rows(spark):
 
 def test_vector_links_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "HOME", 20)
-    monkeypatch.setattr(vector_dedup, "VISITORS", 50)
+    monkeypatch.setattr(vector_dedup, "COPY_COST", 1e-8)
+    monkeypatch.setattr(vector_dedup, "GUESTS", 50)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(25, 16))
     m = np.concatenate([c + 0.13 * rng.normal(size=(int(k), 16)) for c, k in zip(centres, rng.integers(1, 12, 25))] + [rng.normal(size=(60, 16))])
@@ -101,7 +102,7 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
     rows = [(i, v.tolist(), "clash") for i, v in enumerate(m)]
     odd = [(900, None), (901, []), (902, [0.0] * 16), (903, [1.0, None]), (904, [math.nan] * 16), (905, [math.inf] * 16), (None, [1.0] * 16)]
     frame = spark.createDataFrame([*rows, *((i, v, "x") for i, v in odd)], "vec_id bigint, embedding array<float>, node string")
-    got = {r.vec_id: r for r in vector_dedup.vector_links(frame, 0.95, per_pivot=20).collect()}
+    got = {r.vec_id: r for r in vector_dedup.vector_links(frame, 0.95).collect()}
     d = m.astype(float)
     near = (d @ d.T) / np.outer(np.linalg.norm(d, axis=1), np.linalg.norm(d, axis=1)) >= 0.95
     label = np.arange(len(m))
@@ -115,6 +116,26 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
     assert vector_dedup.vector_links(frame.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_told_apart_by_their_vectors(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [1.0, 0.01, 0.0]), (8, [0.0, 0.0, 1.0]), (8, [0.0, 0.0, 1.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.vector_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    assert got == [(5, 0, 5, True), (5, 1, 5, True), (7, 1, 5, False), (8, 1, 8, True), (8, 1, 8, True)]
+
+
+def test_groups_need_few_copies_and_equally_far_vectors_few_pivots():
+    rng = np.random.default_rng(1)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    grouped = unit(np.repeat(unit(rng.normal(size=(64, 64))), 60, axis=0) + 0.03 * rng.normal(size=(64 * 60, 64)))
+    radius = math.sqrt(0.1)
+    for n in (10**6, 10**8):
+        pivots = vector_dedup.fitted_pivots(grouped, n, radius)
+        d, between = vector_dedup._distances(grouped, pivots), vector_dedup._distances(pivots, pivots)
+        radii = np.zeros(len(pivots))
+        np.maximum.at(radii, d.argmin(1), d.min(1))
+        assert len(pivots) >= 32 and vector_dedup.visits(d, between, radii, radius)[1].sum() < len(grouped)
+    assert len(vector_dedup.fitted_pivots(unit(rng.normal(size=(2000, 64))), 50_000, radius)) == vector_dedup.LEAST
+
+
 PAGE = """<!doctype html><html><head><title>T</title><script>var a = "<p>x</p>";</script><style>p{}</style></head><body>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">More</a></ul></nav><!-- <p>hidden</p> -->
 <div class="cookie">We use cookies. Please agree to them.</div>

@@ -224,7 +224,7 @@ def brute_dedup(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"GROUP": 2, "PIECE": 700, "FREQUENT": 2}])
+@pytest.mark.parametrize("limits", [{}, {"GROUP": 2, "PIECE": 700, "MANY": 2}, {"GROUP": 1, "SHARD": 400}])
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(suffix_dedup, name, value)
@@ -233,6 +233,7 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, limits):
     shared, other = text(180), text(105)
     rows = [(i, text(rng.randrange(0, 300)) + (shared if i % 3 == 0 else "") + text(rng.randrange(0, 200)) + (other if i % 4 == 0 else ""), None) for i in range(40)]
     rows += [(50, "ab" * 900, None), (51, "a" * 2500, None), (52, shared[:99], None), (53, rows[5][1], None), (54, None, None), (55, "", None)]
+    rows += [(70 + i, f"{shared[:60]}{i}{shared[60:]}"[: 120 + i % 7], None) for i in range(12)]
     rows += [rows[9], (None, rows[6][1] + "end", None), (60, text(1500) + shared + text(1500), None)]
     got = suffix_dedup.suffix_dedup(table(spark, rows)).select("doc_id", "text", "dedup.*").collect()
     expected = brute_dedup(rows)
