@@ -29,7 +29,14 @@ def _spread(found: np.ndarray, chars: np.ndarray, order: np.ndarray, at: np.ndar
     """Append ``found`` to the buckets of ``chars``, in order, moving the buckets' ends by ``step``."""
     turn = chars.argsort(kind="stable")
     chars = chars[turn]
-    place = np.arange(len(chars)) - chars.searchsorted(chars)  # among those of its bucket
+    if len(chars) < 256:
+        head = chars.searchsorted(chars)
+    else:
+        new = np.flatnonzero(chars[1:] != chars[:-1]) + 1
+        head = np.zeros(len(chars), np.int64)
+        head[new] = new
+        head = np.maximum.accumulate(head)
+    place = np.arange(len(chars)) - head  # among those of its bucket
     place = at[chars] + place if step > 0 else at[chars] - place
     order[place] = found[turn]
     at[chars] = place + step  # of equal buckets the last one stays

@@ -39,8 +39,8 @@ from regatta.llm.storage import removed, written
 from regatta.llm.suffix_array import permuted_lcp, suffix_array
 
 GRAM = 32
-#: Divisions of an anchor's strings by the anchor's place in them.
-DIVISIONS = 4
+#: Divisions of an anchor's strings by the anchor's place in them, and parts that a division is cut into when its key is large.
+DIVISIONS, FINER = 2, 4
 #: Bytes hashed at a time, and bytes of one suffix array.
 PIECE, SHARD = 1 << 19, 1 << 19
 #: Pieces whose anchors are gathered before they are sent on, and bytes of snippets in one batch.
@@ -199,7 +199,7 @@ def _snippets(length: int, again: bool):
 
     A division is a range of places (``a`` to ``b`` - 1) of the anchor in its
     strings.  At first there are ``DIVISIONS`` of each anchor; ``again``, those
-    that a document asks for are cut into as many, and contents are hashed
+    that a document asks for are cut into ``FINER`` parts, and contents are hashed
     independently of the shared bytes.
     """
     width = length - GRAM + 1
@@ -211,11 +211,11 @@ def _snippets(length: int, again: bool):
             at = np.asarray(values)
             return np.repeat(at, DIVISIONS), np.tile(edges[:-1], len(at)), np.tile(edges[1:], len(at))
         at, a, b = (np.asarray(values.field(c)) for c in ("place", "a", "b"))
-        step = np.arange(DIVISIONS)
-        low = a[:, None] + (b - a)[:, None] * step // DIVISIONS
-        high = a[:, None] + (b - a)[:, None] * (step + 1) // DIVISIONS
+        step = np.arange(FINER)
+        low = a[:, None] + (b - a)[:, None] * step // FINER
+        high = a[:, None] + (b - a)[:, None] * (step + 1) // FINER
         held = (low < high).ravel()
-        return np.repeat(at, DIVISIONS)[held], low.ravel()[held], high.ravel()[held]
+        return np.repeat(at, FINER)[held], low.ravel()[held], high.ravel()[held]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
