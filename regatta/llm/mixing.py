@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regatta.llm.ranking import ranked
-from regatta.llm.storage import written
+from regatta.llm.storage import removed, written
 from regatta.llm.words import word_count
 
 #: Words of the budget that the dynamic programme fits; larger remainders are first filled greedily.
@@ -157,8 +157,9 @@ def mixed(
         fitted, f"source {source_type}, size bigint, source_size bigint, target double, base bigint, extra bigint"
     )
     chosen = written(chosen, "chosen").withColumnsRenamed({"source": "_source", "size": "_size"})
+    removed(lengths)
     numbered = ranked(sized, ["source", "size"], ["doc_id"], seed, buckets=256)
-    met = numbered.join(chosen, same & (F.col("size") == F.col("_size")))
+    met = numbered.join(chosen.hint("merge"), same & (F.col("size") == F.col("_size")))  # grows with sources and lengths: never a broadcast
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("base") + (F.col("rank") < F.col("extra")).cast("bigint"))
     taken = (F.col("size") * copies).alias("taken")
     return met.select("doc_id", *(["source"] if keep_source else []), "size", "source_size", "target", taken, copies.alias("copies"))

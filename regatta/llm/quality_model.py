@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regatta.llm.columns import fresh
 from regatta.llm.labelled import CUT, Adam, Bags, held_out, in_pieces, sample_windows
 
 TOKEN = re.compile(r"\S+")
@@ -64,6 +65,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def slopes(signal: np.ndarray, cut: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of the grades, and its gradients in the signals and in the thresholds."""
+    n, levels = len(signal), len(cut) + 1
+    at = np.arange(n)
+    tail = np.c_[np.ones(n), _sigmoid(signal[:, None] - cut[None, :]), np.zeros(n)]
+    p = np.maximum(tail[at, grades] - tail[at, grades + 1], 1e-9)
+    slope = tail * (1 - tail)  # of each tail in the signal; 0 at both ends
+    d_signal = -(slope[at, grades] - slope[at, grades + 1]) / p / n
+    d_cut = np.zeros((n, levels + 1))
+    d_cut[at, grades] += slope[at, grades] / p / n
+    d_cut[at, grades + 1] -= slope[at, grades + 1] / p / n
+    return float(-np.log(p).mean()), d_signal, d_cut[:, 1:levels].sum(0)
+
+
 def fit(texts: list[str], grades: np.ndarray, levels: int, epochs: int = 120) -> Model:
     """Maximise the likelihood of grades 0 .. ``levels`` - 1 under shared weights and ordered thresholds.
 
@@ -94,15 +109,7 @@ def fit(texts: list[str], grades: np.ndarray, levels: int, epochs: int = 120) ->
     for _ in range(epochs):
         signal = gain * bags.dot(weights)[:, 0]
         cut = np.cumsum(np.r_[first, np.exp(gaps)])
-        tail = np.c_[np.ones(len(texts)), _sigmoid(signal[:, None] - cut[None, :]), np.zeros(len(texts))]
-        at = np.arange(len(texts))
-        p = np.maximum(tail[at, grades] - tail[at, grades + 1], 1e-9)
-        slope = tail * (1 - tail)  # of each tail in the signal; 0 at both ends
-        d_signal = -(slope[at, grades] - slope[at, grades + 1]) / p / len(texts)
-        d_cut = np.zeros((len(texts), levels + 1))
-        d_cut[at, grades] += slope[at, grades] / p / len(texts)
-        d_cut[at, grades + 1] -= slope[at, grades + 1] / p / len(texts)
-        d_cut = d_cut[:, 1:levels].sum(0)
+        _, d_signal, d_cut = slopes(signal, cut, grades)
         later = np.cumsum(d_cut[::-1])[::-1]
         pull = gain * bags.dot_t(d_signal[:, None].astype(np.float32)) + np.float32(1e-6) * weights
         steps.step([pull, later[:1].astype(np.float32), (later[1:] * np.exp(gaps)).astype(np.float32)])
@@ -158,7 +165,8 @@ def quality_scores(docs: DataFrame, model: Model, least_grade: int = 1, least_ta
     ``tail`` is the probability of ``least_grade`` or better; a document is
     kept from ``least_tail`` on.  Null, empty and blank texts have the signal 0,
     so that the thresholds alone grade them; texts of any length are scored
-    whole; null and repeated ids and extra columns pass through; an empty table
+    whole; null and repeated ids and extra columns pass through (but those that
+    have the names of the new columns, which are replaced); an empty table
     gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float32).tobytes())
@@ -171,8 +179,10 @@ def quality_scores(docs: DataFrame, model: Model, least_grade: int = 1, least_ta
             expected, tail = fixed.grades(np.array([scorer.signal(t or "") for t in texts], float))
             yield pd.DataFrame({"expected_grade": expected, "tail": tail[:, least_grade - 1]})
 
-    scored = docs.withColumn("_q", score(F.col("text")))
-    return scored.select(*docs.columns, "_q.expected_grade", "_q.tail", (F.col("_q.tail") >= least_tail).alias("kept"))
+    q, new = fresh("_q", docs.columns), ("expected_grade", "tail", "kept")
+    scored = docs.withColumn(q, score(F.col("text")))
+    tail = F.col(f"{q}.tail")
+    return scored.select(*(c for c in docs.columns if c.lower() not in new), f"{q}.expected_grade", tail.alias("tail"), (tail >= least_tail).alias("kept"))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -19,12 +19,8 @@ def ranked(df: DataFrame, group: list[str], order: list[str], seed: int = 42, bu
     sizes = mixed.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    starts = starts.select(*(F.col(c).alias(f"_r_{c}") for c in [*group, "_b"]), "_start")
-    within = Window.partitionBy(*group, "_b").orderBy("_h", *order)
-    numbered = mixed.withColumn("_rn", F.row_number().over(within))
-    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in [*group, "_b"]]
-    condition = same[0]
-    for s in same[1:]:
-        condition &= s
-    met = numbered.join(starts, condition)
-    return met.withColumn(name, F.col("_start") + F.col("_rn") - 1).drop("_h", "_b", "_rn", "_start", *(f"_r_{c}" for c in [*group, "_b"]))
+    # Each bucket's start comes first among its rows, so that no table of starts is joined or broadcast.
+    both = mixed.unionByName(starts, allowMissingColumns=True)
+    within = Window.partitionBy(*group, "_b").orderBy(F.desc_nulls_last("_start"), "_h", *order)
+    numbered = both.withColumns({"_rn": F.row_number().over(within), "_at": F.first("_start").over(within)}).where("_start is null")
+    return numbered.withColumn(name, F.col("_at") + F.col("_rn") - 2).drop("_h", "_b", "_rn", "_at", "_start")

@@ -13,7 +13,7 @@ in shared bits stay within the distance.  Whole groups go at one comparison.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regatta.llm.components import components
-from regatta.llm.storage import written
+from regatta.llm.storage import removed, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Shingle hashes whose bits are unpacked at a time (64 bytes each).
 PIECE = 1 << 16
 #: Children of an index node, and node pairs examined at a time.
 FANOUT, FRONTIER = 8, 1 << 15
-#: Fingerprints that one task indexes together before they are divided by a second block.
+#: Fingerprints that one task indexes together; larger groups are divided by further blocks.
 GROUP = 50_000
 
 
@@ -123,8 +123,8 @@ def _links(distance: int):
 
     def of_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def joined(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            keys = frame[["part", "block", "sub", "inner"]].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+            keys = frame["key"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             ends = np.r_[starts[1:], len(keys)]
             fps = frame["fp"].to_numpy().view(np.uint64)
             turned = frame["turned"].to_numpy().view(np.uint64)
@@ -138,8 +138,8 @@ def _links(distance: int):
         rest = None
         for frame in frames:
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            keys = frame[["part", "block", "sub", "inner"]].to_numpy()
-            last = int(np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])[-1]) if len(frame) else 0
+            keys = frame["key"].to_numpy()
+            last = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1]) if len(frame) else 0
             rest = frame.iloc[last:]  # the last group may go on in the next batch
             yield from joined(frame.iloc[:last])
         if rest is not None and len(rest):
@@ -164,26 +164,42 @@ def linked(fps: DataFrame, distance: int = 2, group: int = GROUP) -> DataFrame:
     ``fps`` holds distinct values in a long column ``fp``.  Each group of
     fingerprints with one block in common yields a spanning forest of its
     links, so edges stay linear in the input.  A group of more than ``group``
-    members is divided once more by a second block of the remaining bits, by
-    the same argument; nothing is dropped.
+    members is divided by a block of the remaining bits, by the same argument,
+    and again until every group is small or no bits remain; nothing is dropped.
+    Groups are told apart by a hash of their blocks; two that share it only
+    cause comparisons in vain.
     """
-    parts = distance + 1
-    rows = []
+    parts, rows = distance + 1, []
     for part, (low, width) in enumerate(_spans(64, parts)):
         up = 64 - low - width  # the block's bits go to the top, the rest keep their cyclic order
         turned = f"(shiftleft(fp, {up}) | shiftrightunsigned(fp, {64 - up}))" if up else "fp"
-        rest = 64 - width
-        subs = ", ".join(_field(turned, lo, w) for lo, w in _spans(rest, parts))
-        rows.append(f"struct({part} as part, {_field('fp', low, width)} as block, {turned} as turned, array({subs}) as subs)")
+        rows.append(f"struct(xxhash64({part}, {_field('fp', low, width)}) as key, {turned} as turned, {turned} & {(1 << (64 - width)) - 1}L as remaining)")
     spread = fps.select("fp", F.expr(f"inline(array({', '.join(rows)}))"))
-    sizes = spread.groupBy("part", "block").count().where("count > 1")
-    met = spread.join(sizes, ["part", "block"])
-    flat = met.select(
-        "fp", "part", "block", "turned",
-        F.expr(f"posexplode(if(count > {group}, subs, array(-1L)))").alias("sub", "inner"),
-    ).withColumn("sub", F.expr("if(inner = -1L, -1, sub)"))
-    keys = ["part", "block", "sub", "inner"]
-    return flat.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_links(distance), "a bigint, b bigint")
+    bits, small, passed = 64 - 64 // parts, [], []
+    while True:
+        sizes = written(spread.groupBy("key").count().where("count > 1"), "groups")
+        passed.append(sizes)
+        met = spread.join(sizes, "key")
+        if bits < parts or sizes.where(f"count > {group}").isEmpty():
+            small.append(met.select("fp", "key", "turned"))
+            break
+        small.append(met.where(f"count <= {group}").select("fp", "key", "turned"))
+        rows = []
+        for part, (low, width) in enumerate(_spans(bits, parts)):
+            without = f"(shiftleft(shiftrightunsigned(remaining, {low + width}), {low}) | (remaining & {(1 << low) - 1}L))"
+            rows.append(f"struct(xxhash64(key, {part}, {_field('remaining', low, width)}) as sub, {without} as rest)")
+        divided = met.where(f"count > {group}").select("fp", "turned", F.expr(f"inline(array({', '.join(rows)}))"))
+        spread = written(divided.select("fp", "turned", F.col("sub").alias("key"), F.col("rest").alias("remaining")), "divided")
+        passed.append(spread)
+        bits -= bits // parts
+    flat = reduce(DataFrame.union, small)
+    # A fixed number of partitions: the work is comparing, which the bytes that adaptive execution goes by do not show.
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = flat.repartition(n, "key").sortWithinPartitions("key").mapInPandas(_links(distance), "a bigint, b bigint")
+    edges = written(edges, "pairs")
+    for table in passed:
+        removed(table)
+    return edges
 
 
 def simhash_groups(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:

@@ -22,8 +22,10 @@ def _own_dir(application: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir`` or, if unset, a new local one."""
+    """Folder for intermediate tables: ``spark.checkpoint.dir``; if unset, a new local one where one machine is driver and executor."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (named or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 

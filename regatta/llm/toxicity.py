@@ -186,12 +186,13 @@ def trained(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1200, clean_do
     return model
 
 
-def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """All columns of the documents with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
     Scores depend on the text alone: equal texts score alike.  Null, empty and
     wordless texts score the bias; texts of any length are scored whole; null
-    and repeated ids and extra columns pass through; an empty table gives an
+    and repeated ids and extra columns pass through (but those that have the
+    names of the two new columns, which are replaced); an empty table gives an
     empty result.  The model sent to the tasks has a fixed size (half a MB).
     """
     weights, bias = model.weights.astype(np.float32).tobytes(), model.bias
@@ -203,8 +204,8 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
         for texts in batches:
             yield pd.Series([scorer.score(t or "") for t in texts], dtype="float64")
 
-    scored = docs.withColumn("score", score(F.col("text")))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = docs.withColumn(score_col, score(F.col("text")))
+    return scored.withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -7,6 +7,8 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
 from regatta.llm import host_rules, html_extract, labelled, quality_model, toxicity, vector_dedup
@@ -60,6 +62,29 @@ def test_quality_grades(spark):
     assert all(0 <= r.expected_grade <= 2 and 0 <= r.tail <= 1 for r in got.values()) and got[900].tail == got[901].tail
 
 
+def test_slopes_of_the_likelihood_are_those_of_small_steps():
+    rng = np.random.default_rng(3)
+    signal, cut, grades = rng.normal(size=30), np.array([-0.7, 0.1, 1.3]), rng.integers(0, 4, 30)
+    at, d_signal, d_cut = quality_model.slopes(signal, cut, grades)
+    likelihood = lambda s, c: -np.mean([np.log(np.diff(1 - np.r_[1, 1 / (1 + np.exp(c - x)), 0])[g]) for x, g in zip(s, grades)])
+    assert abs(at - likelihood(signal, cut)) < 1e-9
+    for values, slope, f in ((signal, d_signal, lambda v: likelihood(v, cut)), (cut, d_cut, lambda v: likelihood(signal, v))):
+        for i in range(len(values)):
+            step = np.zeros(len(values))
+            step[i] = 1e-5
+            assert abs((f(values + step) - f(values - step)) / 2e-5 - slope[i]) < 1e-6
+
+
+def test_scores_replace_columns_of_their_names_and_keep_others(spark):
+    docs = spark.createDataFrame([(1, "a b", 0.1, True, "q"), (None, None, None, None, None)], "doc_id bigint, text string, Tail double, kept boolean, _q string")
+    model = quality_model.Model(np.zeros(quality_model.BUCKETS, np.float32), np.array([0.0, 1.0]))
+    got = quality_model.quality_scores(docs, model)
+    assert got.columns == ["doc_id", "text", "_q", "expected_grade", "tail", "kept"] and got.count() == 2
+    assert quality_model.quality_scores(docs.limit(0), model).count() == 0
+    toxic = toxicity.toxicity(docs.withColumn("score", F.lit("x")), toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), 0.0))
+    assert dict(toxic.dtypes)["score"] == "double" and {r.score for r in toxic.collect()} == {0.5}
+
+
 def test_thresholds_are_ordered():
     model = quality_model.fit(["a b", "b c", "c d", "d e"] * 5, np.array([0, 1, 2, 3] * 5), 4)
     assert (np.diff(model.thresholds) > 0).all()
@@ -194,9 +219,28 @@ def test_pipeline_stages_in_turn(spark, small):
     assert {r.doc_id for r in packed} == ids and max(r.offset + r.length for r in packed) <= 2048
 
 
-def test_pipeline_stages_take_odd_rows(spark, small):
-    schema = spark.read.parquet(f"{small}/documents.parquet").schema
-    rows = [(None, None, None, None, None), (1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (1, "other words", "en", "s", 11), (2, "", None, None, 0)]
-    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+def test_pipeline_stages_take_odd_rows_and_keep_extra_columns(spark, small):
+    base = spark.read.parquet(f"{small}/documents.parquet").schema
+    extra = ["size", "score", "predicted", "dedup", "_hash", "_turn", "_copies", "_id", "copies"]
+    schema = T.StructType([*base.fields, *(T.StructField(c, T.StringType()) for c in extra)])
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [
+        (None, None, None, None, None), (1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (1, "other words", "en", "s", 11), (2, "", None, None, 0),
+        (3, long, "en", "s", len(long)), (4, "tie one two", "en", "t", 11), (5, "tie two one", "en", "t", 11),
+    ]
+    mine = tuple(f"extra {c}" for c in extra)
+    for docs in (spark.createDataFrame([(*r, *mine) for r in rows], schema), spark.createDataFrame([], schema)):
+        empty = docs.isEmpty()
         for name, stage in corpus_pipeline.STAGES:
-            assert stage(spark, docs, small).count() >= 0, name
+            out = stage(spark, docs, small)
+            got = out.collect()
+            assert bool(got) != empty, name
+            if name != "best_fit_packing":
+                assert out.columns == docs.columns and all(tuple(r)[len(base) :] == mine for r in got), name
+            ids = sorted((r.doc_id for r in got), key=lambda i: (i is None, i))
+            if name == "suffix_array_dedup" and not empty:
+                assert len(got) == len(rows) and {r.text for r in got if r.doc_id == 1} == {"a b c", "other words"} and got[0].n_chars == (None if got[0].text is None else len(got[0].text))
+            if name == "simhash_near_dedup" and not empty:
+                assert ids.count(1) == 2 and ids.count(2) + ids.count(None) == 1 and 3 in ids
+            if name == "source_mixing" and not empty:
+                assert 2 not in ids and None not in ids and 3 in ids

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from tokenizers import Tokenizer
 
 from regatta.llm import mixing, packing, ranking, simhash, suffix_dedup, token_counts
@@ -151,6 +153,18 @@ def test_mixing_meets_targets_and_limits(spark, rows):
     assert mixing.mixed(table(spark, [])).count() == 0
 
 
+def test_fingerprints_bit_by_bit():
+    rng = random.Random(8)
+    texts = ["", " \t", "One", "one TWO", "É é É", "a\x85b\u00a0c d e"] + [" ".join(rng.choices(["aa", "B", "c\u0130", "É", "dd"], k=rng.randrange(1, 60))) for _ in range(60)]
+    for text in texts:
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        words = [w for w in re.split("[\x20\x09-\x0d]+", lower) if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+        expected = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text.encode()) == expected
+
+
 def test_close_pairs_are_all_found():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
