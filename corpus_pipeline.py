@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regatta.llm import mixing, packing, simhash, suffix_dedup, toxicity
+from regatta.llm.columns import fresh
 from regatta.llm.storage import written
 from regatta.llm.words import word_count
 
@@ -23,58 +24,80 @@ from regatta.llm.words import word_count
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject (score below 0.3).
 
-    The classifier learns from the labelled rows among these documents that are not held out.
+    The classifier learns from the labelled rows among these documents that are
+    not held out; without labels every score is the bias, and all stay.  Null
+    and empty texts score the bias; repeated rows and null ids are judged by
+    their texts alone; extra columns pass through; an empty table stays empty.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.toxicity(docs, toxicity.trained(docs, labels), threshold=0.3)
-    return scored.where("predicted = 0").select(*docs.columns)
+    score, predicted = (fresh(c, docs.columns) for c in ("score", "predicted"))
+    scored = toxicity.toxicity(docs, toxicity.trained(docs, labels), threshold=0.3, score_col=score, predicted_col=predicted)
+    return scored.where(F.col(predicted) == 0).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each SimHash group: the first by id (null ids last), fingerprint and hash of the text.
 
-    The same rule holds for every row.  Rows equal in id and text are taken in
-    order of all their columns.
+    The same rule holds for every row: null and empty texts are one group, and
+    rows that repeat an id are told apart by their texts.  Rows equal in id and
+    text are taken in order of all their columns.  Extra columns pass through;
+    an empty table stays empty.
     """
-    rows = docs.withColumn("_hash", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    groups = simhash.simhash_groups(rows, distance=2, carried=("_hash",))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", F.col("_hash").alias("hash"))).alias("first")
-    kept = written(groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_kept")), "kept")
+    own, turn, id_, kept_ = (fresh(c, docs.columns) for c in ("_hash", "_turn", "_id", "_kept"))
+    rows = docs.withColumn(own, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    groups = simhash.simhash_groups(rows, distance=2, carried=(own,))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", F.col(own).alias("hash"))).alias("first")
+    kept = written(groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias(id_), F.col("first.hash").alias(kept_)), "kept")
     # Ids of kept documents grow with the corpus: a merge join at every size, never a broadcast.
-    rows = rows.join(kept.hint("merge"), rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")))
-    order = Window.partitionBy("doc_id", "_hash").orderBy(*docs.columns)
-    return rows.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").select(*docs.columns)
+    rows = rows.join(kept.hint("merge"), rows["doc_id"].eqNullSafe(F.col(id_)) & (F.col(own) == F.col(kept_)))
+    order = Window.partitionBy("doc_id", own).orderBy(*docs.columns)
+    return rows.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the passages removed that an earlier one has (strings of 100 bytes)."""
-    done = suffix_dedup.suffix_dedup(docs, length=100)
-    text = F.when(F.col("text").isNotNull(), F.col("dedup.kept"))
-    done = done.withColumn("text", text)
-    return done.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """All documents with the passages removed that an earlier one has (strings of 100 bytes).
+
+    A null text stays null; texts under 100 bytes stay whole; rows that repeat
+    an id and its text get the same result; extra columns pass through; an
+    empty table stays empty.
+    """
+    with_extra = docs.withColumnRenamed("dedup", extra := fresh("_dedup", docs.columns)) if "dedup" in docs.columns else docs
+    done = suffix_dedup.suffix_dedup(with_extra, length=100)
+    done = done.withColumn("text", F.when(F.col("text").isNotNull(), F.col("dedup.kept")))
+    done = done.withColumn("n_chars", F.length("text").cast("bigint"))
+    if "dedup" in docs.columns:
+        done = done.drop("dedup").withColumnRenamed(extra, "dedup")
+    return done.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix of sources takes it (none to three).
 
-    Rows equal in id, source and size share their copies out in order of their text.
+    Rows equal in id, source and size share their copies out in order of their
+    text.  Null and wordless texts have size 0 and are never taken; a null
+    source is one of its own; extra columns pass through; an empty table stays
+    empty.
     """
-    key = ["doc_id", "source", "size"]
+    size, copies, turn = (fresh(c, docs.columns) for c in ("_size", "_copies", "_turn"))
     mixed = mixing.mixed(docs, weights=(5.0, 2.0, 1.0), limit=3.0, seed=42, keep_source=True)
-    mixed = written(mixed.select(*key, "copies"), "copies")
-    rows = docs.withColumn("size", word_count(F.col("text")))
-    if mixed.groupBy(*key).count().where("count > 1").limit(1).count():
-        rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*key).orderBy("text")))
-        mixed = mixed.withColumn("_turn", F.row_number().over(Window.partitionBy(*key).orderBy("copies")))
-        key = [*key, "_turn"]
-    copies = mixed.where("copies > 0").select(*(F.col(c).alias(f"_{c}") for c in key), "copies")
-    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key))
-    repeat = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return rows.join(copies.hint("merge"), same).select(*docs.columns, repeat.alias("_copy")).select(*docs.columns)
+    mixed = written(mixed.select("doc_id", "source", F.col("size").alias(size), F.col("copies").alias(copies)), "copies")
+    rows, key = docs.withColumn(size, word_count(F.col("text"))), ["doc_id", "source", size]
+    if not mixed.groupBy(*key).count().where("count > 1").isEmpty():
+        rows = rows.withColumn(turn, F.row_number().over(Window.partitionBy(*key).orderBy("text")))
+        mixed = mixed.withColumn(turn, F.row_number().over(Window.partitionBy(*key).orderBy(copies)))
+        key = [*key, turn]
+    taken = mixed.where(F.col(copies) > 0).select(*(F.col(c).alias(f"{c}__taken") for c in key), copies)
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}__taken")) for c in key))
+    repeat = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(fresh("_copy", docs.columns))
+    return rows.join(taken.hint("merge"), same).select(*docs.columns, repeat).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, best-fit packed into sequences of 2048 tokens."""
+    """Pieces of all documents, best-fit packed into sequences of 2048 tokens.
+
+    Null and empty texts are an end id each; repeated rows and null ids are
+    packed like others; extra columns are ignored; an empty table gives none.
+    """
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
