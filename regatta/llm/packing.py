@@ -22,7 +22,7 @@ from regatta.llm.storage import written
 
 #: A run of white space and what follows it: the vocabulary's pattern always ends a token before white space.
 SEGMENT = re.compile(r"\s*\S+|\s+")
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 class ByteBPE:

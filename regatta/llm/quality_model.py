@@ -19,7 +19,7 @@ from regatta.llm.labelled import CUT, Adam, Bags, held_out, in_pieces, sample_wi
 TOKEN = re.compile(r"\S+")
 BUCKETS = 1 << 16
 WINDOW = 64
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Runs of digits, and of letters; a run of letters keeps no more than its case.
 RUN = re.compile(r"\d+|[^\W\d_]+")
 

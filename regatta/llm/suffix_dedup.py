@@ -46,7 +46,7 @@ PIECE, SHARD = 1 << 19, 1 << 19
 #: Pieces whose anchors are gathered before they are sent on, and bytes of snippets in one batch.
 GATHERED, SENT = 16, 1 << 21
 #: Snippets of one key that one shard takes; a key with more of them is divided again.
-GROUP = 15_000
+GROUP = 4_000
 #: An anchor is hot with more rows than this and than one in ``HOT`` of all, so that there are at most ``HOT`` hot ones.
 MANY, HOT = 100_000, 10_000
 

@@ -22,7 +22,7 @@ WINDOW = 128
 LEAST = 24
 #: Factor on averages before the softmax.
 GAIN = 64
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def subwords(word: str) -> list[int]:
