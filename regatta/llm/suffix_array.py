@@ -169,7 +169,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     A suffix that is a prefix of another comes first.  An empty text gives an
     empty array.
     """
-    text = np.asarray(text, np.int64)
+    text = np.asarray(text)
     n = len(text)
     if n < 2:
         return np.arange(n)
@@ -179,7 +179,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     counts = np.bincount(text, minlength=alphabet)
     tails = np.cumsum(counts) - 1
     heads = tails - counts + 1
-    narrow = text.astype(np.uint16 if alphabet < 1 << 16 else np.uint32)
+    narrow = text.astype(np.uint16 if alphabet < 1 << 16 else np.uint32, copy=False)
     if len(lms) > 1:
         rough = _induced(narrow, small, heads, tails, lms)
         is_lms = np.zeros(n, bool)

@@ -46,7 +46,7 @@ PIECE, SHARD = 1 << 19, 1 << 19
 #: Pieces whose anchors are gathered before they are sent on, and bytes of snippets in one batch.
 GATHERED, SENT = 16, 1 << 21
 #: Snippets of one key that one shard takes; a key with more of them is divided again.
-GROUP = 4_000
+GROUP = 15_000
 #: An anchor is hot with more rows than this and than one in ``HOT`` of all, so that there are at most ``HOT`` hot ones.
 MANY, HOT = 100_000, 10_000
 
@@ -283,14 +283,14 @@ def repeated_strings(bits: list[bytes], key: np.ndarray, tie: np.ndarray, low: n
     the earliest (document, place) of them are reported.
     """
     sizes = np.array([len(b) for b in bits])
-    text = np.zeros(int(sizes.sum()) + len(bits), np.int64)
+    text = np.zeros(int(sizes.sum()) + len(bits), np.uint16)
     starts = np.cumsum(np.r_[0, sizes[:-1] + 1])
     body = np.ones(len(text), bool)
     body[starts + sizes] = False
-    text[body] = np.frombuffer(b"".join(bits), np.uint8).astype(np.int64) + 1
+    text[body] = np.frombuffer(b"".join(bits), np.uint8).astype(np.uint16) + 1
     order = suffix_array(text)
-    snippet = np.repeat(np.arange(len(bits)), sizes + 1)
-    left = np.repeat(starts + sizes, sizes + 1) - np.arange(len(text))
+    snippet = np.repeat(np.arange(len(bits), dtype=np.int32), sizes + 1)
+    left = np.repeat((starts + sizes).astype(np.int32), sizes + 1) - np.arange(len(text), dtype=np.int32)
     common = permuted_lcp(text, order, length)[order]
     whole = left[order] >= length
     order, common = order[whole], common[whole]  # a suffix between two that agree in a whole string is whole itself
