@@ -43,15 +43,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     text are taken in order of all their columns.  Extra columns pass through;
     an empty table stays empty.
     """
-    own, turn, id_, kept_ = (fresh(c, docs.columns) for c in ("_hash", "_turn", "_id", "_kept"))
+    own, id_, none, row = (fresh(c, docs.columns) for c in ("_hash", "_id", "_none", "_row"))
     rows = docs.withColumn(own, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     groups = simhash.simhash_groups(rows, distance=2, carried=(own,))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", F.col(own).alias("hash"))).alias("first")
-    kept = written(groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias(id_), F.col("first.hash").alias(kept_)), "kept")
+    # Keys without nulls: the same partitioning serves the grouping and the join, so texts are shuffled once.
+    key = lambda id_col: (F.coalesce(id_col, F.lit(0)).alias(id_), F.col(id_col).isNull().alias(none))
+    kept = written(groups.groupBy("root").agg(first).select(*key("first.doc_id"), F.col("first.hash").alias(own)), "kept")
+    # Rows of one id and text are combined before the shuffle, however many there are.
+    rows = rows.groupBy(*key("doc_id"), own).agg(F.min(F.struct(*docs.columns)).alias(row))
     # Ids of kept documents grow with the corpus: a merge join at every size, never a broadcast.
-    rows = rows.join(kept.hint("merge"), rows["doc_id"].eqNullSafe(F.col(id_)) & (F.col(own) == F.col(kept_)))
-    order = Window.partitionBy("doc_id", own).orderBy(*docs.columns)
-    return rows.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).select(*docs.columns)
+    return rows.join(kept.hint("merge"), [id_, none, own]).select(f"{row}.*")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
