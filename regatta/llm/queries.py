@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from regatta.llm import host_rules
+from regatta.llm import filter_audit, hard_negatives, host_rules
 from regatta.llm.html_extract import extract
+from regatta.llm.license_scan import license_scan
 from regatta.llm.mixing import mixed
 from regatta.llm.packing import packed
 from regatta.llm.quality_model import quality
@@ -64,6 +66,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents")).drop("finds")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    relabelled = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.hard_negatives(relabelled, anchor=F.col("vec_id") % 100 == 0, positives=5, negatives=10, lower=30, upper=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,7 +93,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_html_extraction,
         op10_quality,
+        op11_filter_audit,
+        op12_license_scan,
+        op13_hard_negatives,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_host_rules": host_rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_host_rules": host_rules.SQL, "op11_filter_audit": filter_audit.SQL, "op13_hard_negatives": hard_negatives.SQL}
