@@ -6,10 +6,14 @@ import re
 from html import unescape
 from typing import NamedTuple
 
-#: Tags that do not end a block of text.
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
-) | frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mspace semantics object svg".split())
+#: Tags that begin and end blocks of text; all others, unknown ones too, stand inside a block.
+BLOCK = frozenset(
+    """address article aside audio blockquote body button canvas caption center col colgroup dd details dialog dir div dl dt fieldset figcaption
+    figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main map menu nav ol optgroup option p pre
+    script search section select style summary table tbody td template textarea tfoot th thead title tr ul video""".split()
+)
+#: Elements of a drawing that tell about it and are never shown as text.
+UNSHOWN = frozenset("title desc metadata".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
 RAW = frozenset("script style".split())
@@ -37,14 +41,22 @@ class Block(NamedTuple):
 def blocks(html: str) -> list[Block]:
     """Non-empty leaf blocks of a page in page order.
 
-    An ancestor is written as its tag and the words of its class, id and role.
-    Tags may be unclosed, crossed or cut off; comments, scripts and styles
-    hold no text; a bare ``<`` is text.
+    An ancestor is written as its tag and the words of its class, id and role;
+    only tags of ``BLOCK`` end a block or are ancestors.  Tags may be unclosed,
+    crossed or cut off; comments, scripts, styles and titles of drawings hold
+    no text; a bare ``<`` is text.  As in a browser, a script or style ends at
+    its end tag only (a stroke at the end of its start tag means nothing), and
+    where a comment, script or style is never closed the rest of the page
+    belongs to it.
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # tag, tag with names
     pieces: list[tuple[str, bool]] = []
-    link = False
+    link, drawings = False, 0
+
+    def past(tag: str, at: int) -> int | None:
+        over = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
+        return over.end() if over else None
 
     def flush() -> None:
         if pieces:
@@ -74,11 +86,15 @@ def blocks(html: str) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
-        if tag in INLINE:
+        if tag not in BLOCK or (drawings and tag in UNSHOWN):
             if tag == "br":
                 pieces.append((" ", False))
             elif tag == "a":
                 link = not ending
+            elif tag == "svg":
+                drawings = max(0, drawings - 1) if ending else drawings + (not rest.endswith("/"))
+            elif drawings and tag in UNSHOWN and not ending and not rest.endswith("/"):
+                at = past(tag, at) or at
             continue
         flush()
         if ending:
@@ -89,9 +105,7 @@ def blocks(html: str) -> list[Block]:
                     break
             continue
         if tag in RAW:
-            if not rest.endswith("/"):
-                over = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
-                at = over.end() if over else len(html)
+            at = past(tag, at) or len(html)
             continue
         close(CLOSES.get(tag, ()))
         if tag not in VOID:
