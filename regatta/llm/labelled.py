@@ -54,8 +54,9 @@ def sample_windows(
     """Windows of labelled documents that are not held out, at most ``per_class[label]`` documents of a label.
 
     Labels that repeat an id take their largest value; null ids and labels are
-    left out.  Only ids of the sample are broadcast (its size is the bound),
-    and only the windows reach the driver: ``per_class`` x ``most`` x
+    left out.  Of rows that repeat an id one is read, the one with the least
+    hash of its text.  Only ids of the sample are broadcast (its size is the
+    bound), and only the windows reach the driver: ``per_class`` x ``most`` x
     ``width`` words or pieces of long words at most.
     """
     rated = labels.select("doc_id", label.alias("label")).where("doc_id is not null and label is not null")
@@ -64,7 +65,10 @@ def sample_windows(
     for value, bound in per_class.items():
         part = rated.where(F.col("label") == value).orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(bound)
         chosen = part if chosen is None else chosen.union(part)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One row an id, chosen before the shuffle, so an id with any number of rows costs no more than another.
+    texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    texts = texts.select("doc_id", "text", "label")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regatta.llm.components import components
+from regatta.llm.lookup import looked_up
 from regatta.llm.storage import removed, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -217,12 +218,13 @@ def simhash_groups(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", t
     copies cost one row.
     """
     found = written(fingerprints(docs, id_col, text_col, carried), "fingerprints")
-    classes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n__rows"))
     roots = components(linked(classes.select("fp"), distance))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "n__rows", F.coalesce("root", "fp").alias("root"))
     named = written(named, "classes")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(ids, "root").select("fp", "component_id", "root")
-    return found.join(of_fp, "fp").select(
+    # A component may hold a third of all classes, and a class a third of all rows.
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n__classes"))
+    of_fp = looked_up(named, ids, "root", "n__classes", named.count()).select("fp", "component_id", "root", "n__rows")
+    return looked_up(found, of_fp, "fp", "n__rows", found.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "root", *carried
     )

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regatta.llm.components import components
+from regatta.llm.lookup import looked_up
 from regatta.llm.simhash import forest
 from regatta.llm.storage import removed, written
 
@@ -257,12 +258,15 @@ def vector_links(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     roots = components(found.where("a <> b").select("a", "b"))
     counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     named = packed.select(*key, "least", "node", "copies").join(counts, "node", "left").join(roots, "node", "left")
-    named = written(named.select(*key, "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root")), "classes")
+    links_of = (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    named = written(named.select(*key, "least", "copies", links_of, F.coalesce("root", "node").alias("root")), "classes")
     removed(packed)
     removed(found)
-    ids = named.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = named.join(ids, "root").select(*key, "n", "component")
-    met = linkable.select("vec_id", *key).join(of_class, key).select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
+    # A component may hold a third of all classes, and a class a third of all vectors.
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n__classes"))
+    of_class = looked_up(named, ids, "root", "n__classes", named.count()).select(*key, "copies", "n_links", "component_id")
+    keyed = written(linkable.select("vec_id", *key), "keys")
+    met = looked_up(keyed, of_class, key, "copies", keyed.count()).select("vec_id", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = met.union(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
