@@ -40,8 +40,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     The same rule holds for every row: null and empty texts are one group, and
     rows that repeat an id are told apart by their texts.  Rows equal in id and
-    text are taken in order of all their columns.  Extra columns pass through;
-    an empty table stays empty.
+    text are taken in order of their other columns, written as JSON.  Extra
+    columns of any type pass through; an empty table stays empty.
     """
     own, id_, none, row = (fresh(c, docs.columns) for c in ("_hash", "_id", "_none", "_row"))
     rows = docs.withColumn(own, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
@@ -51,7 +51,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     key = lambda id_col: (F.coalesce(id_col, F.lit(0)).alias(id_), F.col(id_col).isNull().alias(none))
     kept = written(groups.groupBy("root").agg(first).select(*key("first.doc_id"), F.col("first.hash").alias(own)), "kept")
     # Rows of one id and text are combined before the shuffle, however many there are.
-    rows = rows.groupBy(*key("doc_id"), own).agg(F.min(F.struct(*docs.columns)).alias(row))
+    others = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text"))))
+    rows = rows.groupBy(*key("doc_id"), own).agg(F.min_by(F.struct(*docs.columns), others).alias(row))
     # Ids of kept documents grow with the corpus: a merge join at every size, never a broadcast.
     return rows.join(kept.hint("merge"), [id_, none, own]).select(f"{row}.*")
 
