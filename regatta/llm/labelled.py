@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -50,14 +52,14 @@ def windows_of(words: list[str], width: int, most: int, seed: int) -> list[list[
 
 def sample_windows(
     docs: DataFrame, labels: DataFrame, label: Column, split: re.Pattern, lower: bool, per_class: dict[int, int], width: int = 64, most: int = 8
-) -> pd.DataFrame:
-    """Windows of labelled documents that are not held out, at most ``per_class[label]`` documents of a label.
+) -> DataFrame:
+    """Windows (doc_id, label, words) of labelled documents that are not held out, at most ``per_class[label]`` documents of a label.
 
     Labels that repeat an id take their largest value; null ids and labels are
     left out.  Of rows that repeat an id one is read, the one with the least
     hash of its text.  Only ids of the sample are broadcast (its size is the
-    bound), and only the windows reach the driver: ``per_class`` x ``most`` x
-    ``width`` words or pieces of long words at most.
+    bound); there are ``per_class`` x ``most`` x ``width`` words or pieces of
+    long words at most.
     """
     rated = labels.select("doc_id", label.alias("label")).where("doc_id is not null and label is not null")
     rated = rated.groupBy("doc_id").agg(F.max("label").alias("label")).where(~held_out(F.col("doc_id")))
@@ -79,8 +81,25 @@ def sample_windows(
                 rows += [(doc_id, int(value), " ".join(w)) for w in windows_of(words, width, most, seed)]
             yield pd.DataFrame(rows, columns=["doc_id", "label", "words"])
 
-    found = texts.mapInPandas(cut, "doc_id bigint, label int, words string").toPandas()
-    return found.drop_duplicates().sort_values(["doc_id", "words"], ignore_index=True)
+    return texts.mapInPandas(cut, "doc_id bigint, label int, words string")
+
+
+def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
+    """What ``fit`` makes of a bounded sample of windows, in one task, so that the driver holds no training data.
+
+    The windows are handed over without repeats and in one order, whatever
+    their partitions.  A task that is lost is run again and gives the same.
+    """
+
+    def whole(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        found = pd.concat(frames) if frames else pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "label": pd.Series(dtype="int32"), "words": pd.Series(dtype="object")})
+        return found.drop_duplicates().sort_values(["doc_id", "words"], ignore_index=True)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"model": [pickle.dumps(fit(whole(list(frames))))]})
+
+    row = sample.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else fit(whole([]))
 
 
 class Bags:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regatta.llm.columns import fresh
-from regatta.llm.labelled import CUT, Adam, Bags, held_out, in_pieces, sample_windows
+from regatta.llm.labelled import CUT, Adam, Bags, fitted, held_out, in_pieces, sample_windows
 
 TOKEN = re.compile(r"\S+")
 BUCKETS = 1 << 16
@@ -156,7 +156,7 @@ def trained(docs: DataFrame, labels: DataFrame, per_grade: int = 1500, windows:
     """Fit on at most ``per_grade`` documents of each grade that are not held out, ``windows`` windows of each at most."""
     grade = graded(F.col("quality"), F.col("toxic")).cast("int")
     sample = sample_windows(docs, labels, grade, TOKEN, False, {k: per_grade for k in range(3)}, WINDOW, most=windows)
-    return fit(sample["words"].tolist(), sample["label"].to_numpy().astype(np.int64), 3)
+    return fitted(sample, lambda windows: fit(windows["words"].tolist(), windows["label"].to_numpy().astype(np.int64), 3))
 
 
 def quality_scores(docs: DataFrame, model: Model, least_grade: int = 1, least_tail: float = 0.5) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regatta.llm.labelled import CUT, WORD, Adam, Bags, held_out, in_pieces, sample_windows
+from regatta.llm.labelled import CUT, WORD, Adam, Bags, fitted, held_out, in_pieces, sample_windows
 
 #: Hash buckets of subwords; a word is one subword, and so are its character n-grams with word ends.
 BUCKETS, GRAMS = 1 << 17, (3, 4, 5)
@@ -173,13 +173,18 @@ def trained(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1200, clean_do
 
     Of each document ``windows`` windows are read at most, chosen by a seed.
     The sample may hold a larger share of toxic documents than the labels do;
-    the bias is corrected to the labels' share.
+    the bias is corrected to the labels' share.  One task learns from the sample.
     """
     sample = sample_windows(docs, labels, F.col("toxic").cast("int"), WORD, True, {1: toxic_docs, 0: clean_docs}, WINDOW, most=windows)
-    documents = sample["doc_id"].rank(method="dense").fillna(0).to_numpy().astype(np.int64)
-    model = fit(sample["words"].tolist(), documents, sample["label"].to_numpy().astype(np.int64))
+
+    def learn(windows: pd.DataFrame) -> tuple[Model, float]:
+        documents = windows["doc_id"].rank(method="dense").fillna(0).to_numpy().astype(np.int64)
+        model = fit(windows["words"].tolist(), documents, windows["label"].to_numpy().astype(np.int64))
+        return model, float(windows.drop_duplicates("doc_id")["label"].mean()) if len(windows) else 0.0
+
+    model, sampled = fitted(sample, learn)
     rated = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    share, sampled = rated.agg(F.avg("toxic")).first()[0], sample.drop_duplicates("doc_id")["label"].mean()
+    share = rated.agg(F.avg("toxic")).first()[0]
     if share and 0 < share < 1 and 0 < sampled < 1:
         logit = lambda x: float(np.log(x / (1 - x)))
         return Model(model.weights, model.bias + logit(share) - logit(sampled))

@@ -53,10 +53,11 @@ def test_a_labelled_id_on_many_rows_is_read_once(spark):
     docs = spark.range(3000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
     docs = docs.union(spark.createDataFrame([(3, "a b c"), (3, "a b c"), (4, None), (None, "x")], DOCS)).repartition(3)
     labels = spark.createDataFrame([(1, 1), (3, 0), (4, 1), (4, 0), (None, 1), (8, 1)], "doc_id bigint, toxic int")
-    got = labelled.sample_windows(docs, labels, F.col("toxic"), re.compile(r"\S+"), False, {0: 5, 1: 5}, width=64, most=3)
+    same = lambda windows: windows
+    got = labelled.fitted(labelled.sample_windows(docs, labels, F.col("toxic"), re.compile(r"\S+"), False, {0: 5, 1: 5}, width=64, most=3), same)
     held = [i for i in (1, 3, 4) if spark.range(1).select(labelled.held_out(F.lit(i))).first()[0]]
     assert sorted(got["doc_id"]) == [i for i in (1, 3, 4) if i not in held]
-    again = labelled.sample_windows(docs.repartition(5), labels, F.col("toxic"), re.compile(r"\S+"), False, {0: 5, 1: 5}, width=64, most=3)
+    again = labelled.fitted(labelled.sample_windows(docs.repartition(5), labels, F.col("toxic"), re.compile(r"\S+"), False, {0: 5, 1: 5}, width=64, most=3), same)
     assert again.equals(got)
 
 

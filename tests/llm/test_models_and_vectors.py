@@ -18,8 +18,8 @@ from regatta.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import same_rows
 
 
-def test_ten_queries():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+def test_all_numbered_queries():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def labelled_docs(n=400):
