@@ -123,6 +123,28 @@ def gaps(pairs: DataFrame, states: DataFrame) -> DataFrame:
     return pairs.join(good, ["entity_id", "requirement_id"], "left_anti")
 
 
+def open_requirements(entities: DataFrame, requirements: DataFrame, closed: DataFrame, *facts: str) -> DataFrame:
+    """What applies to each entity but the pairs of ``closed`` (entity_id, requirement_id), numbered in order of remediation.
+
+    Returns entity_id, requirement_id, the columns ``facts`` of the requirement
+    and ``priority`` (from 1: tier, then penalty with nulls last, then id).
+    Requirements are sorted once for each scope that entities have, not for
+    each entity; an entity carries the places of what is closed for it, leaves
+    these out and counts on from there.  So the pairs are made by the last
+    join and never shuffled, however many there are.
+    """
+    own, asked = _own(entities), _asked(requirements)
+    of_scope = _matching(own, asked, True, True).join(asked.select("requirement_id", "tier", "penalty", *ASKED, *(f for f in facts if f not in ("tier", "penalty"))), ASKED)
+    order = Window.partitionBy(*OWN).orderBy(tier_rank(F.col("tier")), F.col("penalty").desc_nulls_last(), "requirement_id")
+    listed = of_scope.select(*OWN, "requirement_id", *facts, F.row_number().over(order).alias("_place"))
+    placed = closed.join(own.select("entity_id", *OWN), "entity_id").join(listed.select(*OWN, "requirement_id", "_place"), [*OWN, "requirement_id"])
+    gone = placed.groupBy("entity_id").agg(F.collect_list("_place").alias("_gone"))
+    each = own.select("entity_id", *OWN).join(gone, "entity_id", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    left = each.join(listed, OWN).where(~F.array_contains("_gone", F.col("_place")))
+    before = F.size(F.filter("_gone", lambda x: x < F.col("_place")))
+    return left.select("entity_id", "requirement_id", *facts, (F.col("_place") - before).cast("bigint").alias("priority"))
+
+
 def named_gaps(found: DataFrame, requirements: DataFrame, regulations: DataFrame) -> DataFrame:
     """Gaps with their requirement's tier and priority, and their regulation's name (null where it has none)."""
     facts = requirements.select("requirement_id", "tier", "regulation_id")

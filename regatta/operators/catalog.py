@@ -80,12 +80,14 @@ def latest(rows: DataFrame, at: list[str], n: int, per: str | None = None) -> Da
 
 def regulation_statistics(requirements: DataFrame) -> DataFrame:
     """Requirements of each regulation by tier (known ones), type and method, in one pass over them (grouping sets)."""
-    requirements.createOrReplaceTempView("statistics_input")
-    return requirements.sparkSession.sql(
-        """select regulation_id, case when grouping(tier) = 0 then 'tier' when grouping(type) = 0 then 'type' when grouping(method) = 0 then 'method' else 'total' end as field,
-             coalesce(tier, type, method, 'total') as value, count(*) as n
-           from statistics_input group by grouping sets ((regulation_id, tier), (regulation_id, type), (regulation_id, method), (regulation_id))"""
-    ).where("field <> 'tier' or value in ('basic', 'standard', 'advanced')")
+    fields = ("tier", "type", "method")
+    sets = [[F.col("regulation_id"), F.col(f)] for f in fields] + [[F.col("regulation_id")]]
+    counted = requirements.groupingSets(sets, "regulation_id", *fields).agg(F.count("*").alias("n"), *(F.grouping(f).alias(f"_{f}") for f in fields))
+    field = F.lit("total")
+    for f in reversed(fields):
+        field = F.when(F.col(f"_{f}") == 0, f).otherwise(field)
+    rows = counted.select("regulation_id", field.alias("field"), F.coalesce(*fields, F.lit("total")).alias("value"), "n")
+    return rows.where("field <> 'tier' or value in ('basic', 'standard', 'advanced')")
 
 
 # How a text that only reads starts, words that none holds outside of quotes, and quotes and comments (Python and Java alike).
@@ -110,9 +112,21 @@ def reads_only(sql: Column) -> Column:
 
 
 def ad_hoc(spark: SparkSession, tables: dict[str, DataFrame], sql: str, args: dict[str, Any] | None = None, writer: bool = False) -> DataFrame:
-    """Run a query over named tables with named parameters; text that may write needs a ``writer``."""
+    """Run a query over named tables with named parameters; text that may write needs a ``writer``.
+
+    The tables are known to this query only: views of the same names in the
+    session are neither seen nor changed afterwards.
+    """
     if not writer and not is_read_only(sql):
         raise PermissionError("writing statements need the writer role")
+    # A view is resolved when the query is, so it can go at once, and one of the user's can come back.
+    had = {name: spark.table(name) for name in tables if any(v.name == name.lower() and v.isTemporary for v in spark.catalog.listTables())}
     for name, table in tables.items():
         table.createOrReplaceTempView(name)
-    return spark.sql(sql, args=args or {})
+    try:
+        return spark.sql(sql, args=args or {})
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+        for name, view in had.items():
+            view.createOrReplaceTempView(name)

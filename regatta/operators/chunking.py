@@ -1,44 +1,25 @@
-"""Chunks of documents by structure, paragraphs, sentences, fixed size or ever finer separators.
-
-Contents follow the rules of the pipeline to the letter, also where these are
-odd: structural pieces below the least size are dropped, and a sentence above
-the largest size is cut off if it starts a chunk and kept whole if it does
-not.  Places are estimates for all but the fixed and structural chunks (parts
-are joined by separators of one length); texts should not be cut by them.
+"""Chunks of documents: spans of a text that end at the best place within reach.
+
+A strategy is a list of levels, each a kind of place where a text may be cut,
+the best first.  One rule packs them all: from where a chunk starts it reaches
+as far as the limit allows, to the last place of the best level that has one
+within reach, and to the limit itself where no level has one.  A chunk is the
+text between two cuts without the white space at its ends, so that its place
+is exact (``text[start:end] == content``) and separators inside stay as they
+are.  No chunk exceeds the limit, and only white space, headings' small parts
+(structural strategy) and overlaps keep the chunks from adding up to the text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Words that start a part of a regulation.
-PARTS = "(?:CHAPTER|ARTICLE|SECTION|PART)"
-BREAKS = (re.compile(rf"\n(?={PARTS}\s+\d)", re.I), re.compile(r"\n(?=\d+\.\d+\.?\d*\s+[A-Z])"), re.compile(r"\n{2,}(?=[A-Z][a-z])"))
-PART_NUMBER = re.compile(rf"{PARTS}\s+(\d+(?:\.\d+)*)", re.I)
-PARAGRAPHS, SENTENCES = re.compile(r"\n{2,}"), re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
-#: Separators of the recursive strategy, the coarsest first.
-FINER = (PARAGRAPHS, re.compile(rf"\n(?={PARTS}\s)"), re.compile(r"\n(?=\d+\.\s)"), re.compile(r"\n"), re.compile(r"(?<=[.!?])\s+"), re.compile(r"\s+"))
-DETACHED_STOP = re.compile(r"\s[.!?]")
-
-
-@dataclass(frozen=True)
-class Chunk:
-    """A piece of a text; ``overlap`` is how much of it the piece before has too."""
-
-    content: str
-    start: int
-    end: int
-    section: str | None = None
-    overlap: int = 0
-
-    def moved(self, by: int) -> Chunk:
-        return replace(self, start=self.start + by, end=self.end + by)
-
 
 @dataclass(frozen=True)
 class Limits:
@@ -48,108 +29,103 @@ class Limits:
     overlap: int = 200
     least: int = 100
 
+    def __post_init__(self) -> None:
+        if self.most < 1 or self.overlap < 0:
+            raise ValueError("a chunk has at least one character and no negative overlap")
 
-def fixed(text: str, limits: Limits) -> Iterator[Chunk]:
-    """Windows of the largest size that end behind a detached stop or before a space; each goes back by the overlap."""
-    at = 0
-    while at < len(text):
-        end = min(at + limits.most, len(text))
-        if end < len(text):
-            stop = max((m.end() for m in DETACHED_STOP.finditer(text, at, end)), default=0)
-            space = text.rfind(" ", at, end)
-            end = stop or (space if space > at else end)
-        if content := text[at:end].strip():
-            yield Chunk(content, at, end, overlap=limits.overlap if at else 0)
-        at = max(at + 1, end - limits.overlap) if end < len(text) else len(text)
-
-
-def recursive(text: str, limits: Limits) -> Iterator[Chunk]:
-    """Pieces between the coarsest separators, joined while they fit; what is too long is divided by finer ones."""
-    if len(text) <= limits.most:
-        yield Chunk(text.strip(), 0, len(text))
-        return
-    for separator in FINER:
-        parts = separator.split(text)
-        if len(parts) < 2:
-            continue
-        found = list(_gathered(parts, limits))
-        if found:
-            yield from found
-            return
-    yield from fixed(text, limits)
-
-
-def _gathered(parts: list[str], limits: Limits) -> Iterator[Chunk]:
-    held, start, at = "", 0, 0
-    for part in parts:
-        if len(held) + len(part) + 1 <= limits.most:
-            held = f"{held}\n{part}" if held else part
-        else:
-            if held:
-                yield Chunk(held.strip(), start, start + len(held))
-                start = at
-            held = part
-            if len(part) > limits.most:
-                yield from (c.moved(start) for c in recursive(part, limits))
-                held, start = "", at + len(part)
-        at += len(part) + 1
-    if held.strip():
-        yield Chunk(held.strip(), start, start + len(held))
-
-
-def structural(text: str, limits: Limits) -> Iterator[Chunk]:
-    """Pieces between the starts of parts; small ones are dropped, large ones divided."""
-    edges = sorted({0, len(text), *(m.start() for b in BREAKS for m in b.finditer(text))})
-    for start, end in zip(edges, edges[1:]):
-        content = text[start:end].strip()
-        if len(content) > limits.most:
-            yield from (c.moved(start) for c in recursive(content, limits))
-        elif len(content) >= limits.least:
-            number = PART_NUMBER.match(content)
-            yield Chunk(content, start, end, number and number[1])
-
-
-def semantic(text: str, limits: Limits) -> Iterator[Chunk]:
-    """Paragraphs, joined while they fit."""
-    held, start = "", 0
-    for part in filter(None, map(str.strip, PARAGRAPHS.split(text))):
-        if len(held) + len(part) + 2 <= limits.most:
-            held = f"{held}\n\n{part}" if held else part
-        elif held:
-            yield Chunk(held, start, start + len(held))
-            held, start = part, start + len(held) + 2
-        else:
-            yield from (c.moved(start) for c in recursive(part, limits))
-            start += len(part) + 2
-    if held:
-        yield Chunk(held, start, start + len(held))
-
-
-def sentence(text: str, limits: Limits) -> Iterator[Chunk]:
-    """Sentences, joined while they fit."""
-    held, start, at = "", 0, 0
-    for part in filter(None, map(str.strip, SENTENCES.split(text))):
-        if len(held) + len(part) + 1 <= limits.most:
-            held = f"{held} {part}" if held else part
-        elif held:
-            yield Chunk(held, start, at)
-            held, start = part, at
-        else:
-            held = part[: limits.most]
-        at += len(part) + 1
-    if held:
-        yield Chunk(held, start, at)
 
+@dataclass(frozen=True)
+class Chunk:
+    """A piece of a text; ``overlap`` is how much of it the piece before has too."""
 
-STRATEGIES = {"structural": structural, "semantic": semantic, "sentence": sentence, "fixed": fixed, "recursive": recursive}
+    content: str
+    start: int
+    end: int
+    section: str | None = None
+    overlap: int = 0
 
 
-def merged(chunks: list[Chunk], most: int) -> list[Chunk]:
-    """Neighbouring chunks joined by an empty line while they fit; the first one's section stays."""
+def _behind(pattern: str, flags: int = 0) -> re.Pattern:
+    """A level of places behind what the pattern matches."""
+    return re.compile(pattern, flags)
+
+
+# Levels: a text may be cut at the end of every match.
+PARAGRAPH = _behind(r"\n\s*\n")
+LINE = _behind(r"\n")
+SENTENCE = _behind(r"[.!?]+\s+")
+CAPITAL_SENTENCE = _behind(r"[.!?]+\s+(?=[A-Z])")
+WORD = _behind(r"\s+")
+#: Before a line that begins with the name of a part and a number, or with a dotted number and a capital.
+HEADING = _behind(r"(?:\A|\n)(?=(?:(?i:chapter|article|section|part)\s+(\d[\d.]*)|\d+(?:\.\d+)+\s+[A-Z]))")
+
+LEVELS = {
+    "semantic": (PARAGRAPH, SENTENCE, WORD),
+    "sentence": (CAPITAL_SENTENCE, SENTENCE, WORD),
+    "fixed": (SENTENCE, WORD),
+    "recursive": (PARAGRAPH, HEADING, LINE, SENTENCE, WORD),
+}
+STRATEGIES = ("structural", *LEVELS)
+
+
+def packed(text: str, levels: tuple[re.Pattern, ...], most: int, overlap: int = 0) -> Iterator[tuple[int, int]]:
+    """Spans from cut to cut, each as long as the limit allows; every span but the first starts ``overlap`` before the last cut."""
+    places = [[m.end() for m in level.finditer(text)] for level in levels]
+    at, cut = 0, 0
+    while cut < len(text):
+        reach = at + most
+        if reach >= len(text):
+            cut = len(text)
+        else:
+            # The best level that has a place behind the last cut and within reach.
+            last = (ends[i - 1] for ends in places if (i := bisect_right(ends, reach)))
+            cut = next((p for p in last if p > cut), reach)
+        yield at, cut
+        at = cut - min(overlap, most - 1)
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    piece = text[start:end]
+    return start + len(piece) - len(piece.lstrip()), start + len(piece.rstrip())
+
+
+def _pieces(text: str, spans: Iterator[tuple[int, int]], by: int = 0, overlap: int = 0) -> Iterator[Chunk]:
+    """The spans that hold more than white space."""
+    previous = 0
+    for start, end in spans:
+        a, b = _trimmed(text, start, end)
+        if a < b:
+            yield Chunk(text[a:b], by + a, by + b, overlap=max(0, previous - a) if overlap else 0)
+            previous = b
+
+
+def _sections(text: str, limits: Limits) -> Iterator[Chunk]:
+    """What stands between headings: dropped below the least size, divided above the largest."""
+    heads = [(m.end(), m[1] and m[1].rstrip(".")) for m in HEADING.finditer(text)]
+    starts = heads if heads and heads[0][0] == 0 else [(0, None), *heads]
+    for (start, number), (end, _) in zip(starts, [*starts[1:], (len(text), None)]):
+        a, b = _trimmed(text, start, end)
+        if b - a > limits.most:
+            yield from _pieces(text[a:b], packed(text[a:b], LEVELS["recursive"], limits.most), by=a)
+        elif b - a >= limits.least:
+            yield Chunk(text[a:b], a, b, number)
+
+
+def cut(text: str, strategy: str, limits: Limits = Limits()) -> list[Chunk]:
+    """Chunks of one text in order; a blank text has none."""
+    if strategy == "structural":
+        return list(_sections(text, limits))
+    overlap = limits.overlap if strategy == "fixed" else 0
+    return list(_pieces(text, packed(text, LEVELS[strategy], limits.most, overlap), overlap=overlap))
+
+
+def merged(text: str, chunks: list[Chunk], most: int) -> list[Chunk]:
+    """Neighbours joined, with the text between them, while they fit; the first one's section stays."""
     out: list[Chunk] = []
     for c in chunks:
-        if out and len(out[-1].content) + len(c.content) + 2 <= most:
-            out[-1] = Chunk(f"{out[-1].content}\n\n{c.content}", out[-1].start, c.end, out[-1].section)
+        if out and c.end - out[-1].start <= most:
+            first = out[-1]
+            out[-1] = Chunk(text[first.start : c.end], first.start, c.end, first.section, first.overlap)
         else:
             out.append(c)
     return out
@@ -163,14 +139,15 @@ SCHEMA = (
 
 def chunks(docs: DataFrame, strategy: str = "recursive", limits: Limits = Limits(), merge: bool = False) -> DataFrame:
     """One row per chunk of every document (``doc_id``, ``text``), numbered from 0; null and blank texts have none."""
-    cut = STRATEGIES[strategy]
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no such strategy: {strategy}")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                own = list(cut(text, limits)) if text and text.strip() else []
-                own = merged(own, limits.most) if merge else own
+                own = cut(text, strategy, limits) if text else []
+                own = merged(text, own, limits.most) if merge else own
                 rows += [(doc_id, i, len(own), c.content, c.start, c.end, c.section, len(c.content) // 4, c.overlap) for i, c in enumerate(own)]
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in SCHEMA.split(", ")])
 

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regatta.functions.citations import citations
 from regatta.functions.text import (
     change_severity,
-    citations,
     cleaned,
     detected_jurisdiction,
     detected_type,
@@ -98,57 +98,67 @@ def _matrix(frame: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.n
     return found
 
 
-def _nearest(shared, top_k: int, threshold: float):
-    """A function over batches of vectors that emits the ``top_k`` best of its task for each query of a block."""
+#: Components of the vectors of a block of either side at most, rows of a block at most, and vectors compared at a time.
+CELLS, ROWS, SLICE = 1 << 22, 1 << 15, 256
+#: Vectors for which a block of their own is worth while.
+WORTH = 512
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = _matrix(shared.value)
-        best = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        for frame in frames:
-            for at in range(0, len(frame), SLICE):
-                for size, (ids, v, norms) in _matrix(frame.iloc[at : at + SLICE]).items():
-                    if size not in block:
-                        continue
-                    query_ids, q, lengths = block[size]
-                    scale = np.outer(norms, lengths)
-                    with np.errstate(all="ignore"):
-                        rough = np.where(scale > 0, (v @ q.T) / scale, 0.0)
-                        i, j = np.nonzero((rough >= threshold - 1e-9) & (ids[:, None] != query_ids[None, :]))
-                        # Sums in one order, so that equal vectors have equal scores.
-                        dot = np.zeros(len(i))
-                        for d in range(size):
-                            dot += v[i, d] * q[j, d]
-                        score = np.where(scale[i, j] > 0, dot / (norms[i] * lengths[j]), 0.0)
-                    met = score >= threshold
-                    rows = pd.DataFrame({"query_id": query_ids[j[met]], "vec_id": ids[i[met]], "score": score[met]})
-                    best = pd.concat([best, rows]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-                    best = best[best.groupby("query_id").cumcount() < top_k]
-        yield best
 
-    return run
+def _columns(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return _matrix(pd.DataFrame({"id": table["id"].to_pylist(), "v": table["v"].to_pylist()}))
+
 
+def _nearest(top_k: int, threshold: float):
+    """A function of a block of queries and a block of vectors that emits the ``top_k`` best of each query."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-#: Queries in a block, and vectors compared with it at a time.
-BLOCK, SLICE = 2000, 256
+    def run(asked: pa.Table, given: pa.Table) -> pa.Table:
+        best = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        block = _columns(asked)
+        for size, (ids, vectors, all_norms) in _columns(given).items():
+            if size not in block:
+                continue
+            query_ids, q, lengths = block[size]
+            for at in range(0, len(ids), SLICE):
+                own, v, norms = ids[at : at + SLICE], vectors[at : at + SLICE], all_norms[at : at + SLICE]
+                scale = np.outer(norms, lengths)
+                with np.errstate(all="ignore"):
+                    rough = np.where(scale > 0, (v @ q.T) / scale, 0.0)
+                    i, j = np.nonzero((rough >= threshold - 1e-9) & (own[:, None] != query_ids[None, :]))
+                    # Sums in one order, so that equal vectors have equal scores.
+                    dot = np.zeros(len(i))
+                    for d in range(size):
+                        dot += v[i, d] * q[j, d]
+                    score = np.where(scale[i, j] > 0, dot / (norms[i] * lengths[j]), 0.0)
+                met = score >= threshold
+                rows = pd.DataFrame({"query_id": query_ids[j[met]], "vec_id": own[i[met]], "score": score[met]})
+                best = pd.concat([best, rows]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+                best = best[best.groupby("query_id").cumcount() < top_k]
+        return pa.Table.from_pandas(best, schema=schema, preserve_index=False)
+
+    return run
 
 
-def similar(vectors: DataFrame, queries: DataFrame, top_k: int = 10, threshold: float = 0.5, block: int = BLOCK) -> DataFrame:
+def similar(vectors: DataFrame, queries: DataFrame, top_k: int = 10, threshold: float = 0.5, block: int = ROWS) -> DataFrame:
     """Nearest vectors of each query by cosine, best first, ties by id.
 
-    There may be any number of queries: blocks of about ``block`` are broadcast
-    in turn and compared with every partition of the vectors; each task keeps
-    its ``top_k`` of a query, which are then merged.
+    There may be any number of queries.  Both sides are dealt to blocks of at
+    most about ``block`` rows and ``CELLS`` components, every block of queries meets every block of vectors in one
+    group of a shuffle, and each group keeps its ``top_k`` of a query, which
+    are ranked over all groups.  No vector passes through the driver.
     """
-    v = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    blocks = max(1, -(-queries.count() // block))
-    mine = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    q = checkpointed(queries.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), mine.alias("_block")))
+    chosen = lambda rows: rows.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+    v, q = checkpointed(chosen(vectors)), checkpointed(chosen(queries))
+    n, width = v.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    most = max(1, min(block, CELLS // max(1, width)))
+    row_blocks = max(1, -(-n // most), min(2 * v.sparkSession.sparkContext.defaultParallelism, n // WORTH))
+    query_blocks = max(1, -(-q.count() // most))
+
+    def dealt(rows: DataFrame, own: str, blocks: int, other: str, copies: int):
+        numbered = rows.withColumn(own, F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
+        return numbered.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).groupBy("query_block", "row_block")
+
+    asked, given = dealt(q, "query_block", query_blocks, "row_block", row_blocks), dealt(v, "row_block", row_blocks, "query_block", query_blocks)
+    found = asked.cogroup(given).applyInArrow(_nearest(top_k, threshold), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = None
-    for k in range(blocks):
-        shared = v.sparkSession.sparkContext.broadcast(q.where(F.col("_block") == k).select("id", "v").toPandas())
-        found = v.mapInPandas(_nearest(shared, top_k, threshold), "query_id bigint, vec_id bigint, score double")
-        found = checkpointed(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k))
-        shared.unpersist()
-        out = found if out is None else out.union(found)
-    return out
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

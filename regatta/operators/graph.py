@@ -54,12 +54,84 @@ def core(edges: DataFrame) -> DataFrame:
     return now
 
 
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(node, colour): the largest node that each node of the edges can be reached from, itself included.
+
+    Colours run along the edges round by round; in a round only nodes whose
+    colour has changed in the one before send it on.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    now = checkpointed(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("fresh")))
+    while True:
+        sent = now.where("fresh").join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.max("colour").alias("sent"))
+        met = now.join(sent, F.col("node") == F.col("dst"), "left")
+        grown = F.coalesce(F.col("sent") > F.col("colour"), F.lit(False))
+        old, now = now, checkpointed(met.select("node", F.when(grown, F.col("sent")).otherwise(F.col("colour")).alias("colour"), grown.alias("fresh")))
+        discarded(old)
+        if now.where("fresh").isEmpty():
+            return now.drop("fresh")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the nodes on cycles, by the largest node that reaches them and that they reach.
+
+    Forwards, every node takes the colour of the largest node that reaches it;
+    backwards, a colour's own node takes all of its colour that reach it, which
+    is one component.  Components leave the graph and so do nodes without a
+    way in or out; what is left is coloured anew until nothing is.  Each round
+    touches each edge once, so long cycles cost as many rounds as they have
+    nodes, and no pairs of nodes are made.  Nodes on no cycle are not returned.
+    """
+    rest, out = core(edges), None
+    while not rest.isEmpty():
+        colours = _coloured(rest)
+        ends = lambda c, name: colours.select(F.col("node").alias(c), F.col("colour").alias(name))
+        inside = rest.join(ends("src", "from"), "src").join(ends("dst", "to"), "dst").where(F.col("from") == F.col("to"))
+        backwards = checkpointed(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("from").alias("colour")))
+        frontier = checkpointed(colours.where("node = colour").select("node", F.col("colour").alias("component")))
+        tables, found = [frontier], frontier
+        while not frontier.isEmpty():
+            step = frontier.join(backwards, frontier.node == backwards.src).select(F.col("dst").alias("node"), "component").distinct()
+            frontier = checkpointed(step.join(found, ["node", "component"], "left_anti"))
+            tables.append(frontier)
+            found = found.union(frontier)
+        kept = checkpointed(found)
+        out = kept if out is None else out.union(kept)
+        gone = kept.select("node")
+        left = rest.join(gone, rest.src == gone.node, "left_anti").join(gone, F.col("dst") == gone.node, "left_anti")
+        old, rest = rest, core(left)
+        for table in (*tables, colours, backwards, old):
+            discarded(table)
+    if out is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    # A single node is a component of its own only if an edge leads from it to itself.
+    alone = out.groupBy("component").agg(F.count("*").alias("n")).where("n = 1").select("component")
+    loops = edges.where("src = dst").select(F.col("src").alias("component")).distinct()
+    return out.join(alone.join(loops, "component", "left_anti"), "component", "left_anti").select("node", "component")
+
+
 def cycles(edges: DataFrame, roots: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
-    """Roots (default: all nodes) that reach themselves, with the length of the shortest cycle through each."""
-    if roots is None:
-        edges = core(edges)
-        roots = edges.select(F.col("src").alias("root")).distinct()
-    return reachable(edges, roots, max_depth).where("root = node").select("root", F.col("depth").alias("cycle_length"))
+    """Roots (default: all nodes) that reach themselves, with the length of the shortest cycle through each.
+
+    For all nodes, a component with as many edges as nodes is one plain cycle,
+    whose length is the number of its nodes; only in other components is there
+    a search from each node, which never leaves its component.
+    """
+    length = lambda found: found.where("root = node").select("root", F.col("depth").alias("cycle_length"))
+    if roots is not None:
+        return length(reachable(edges, roots, max_depth))
+    strong = checkpointed(strong_components(edges))
+    ends = lambda c: strong.select(F.col("node").alias(c), F.col("component").alias(f"component_{c}"))
+    inside = edges.select("src", "dst").distinct().join(ends("src"), "src").join(ends("dst"), "dst").where("component_src = component_dst")
+    inside = checkpointed(inside.select("src", "dst", F.col("component_src").alias("component")))
+    sizes = strong.groupBy("component").agg(F.count("*").alias("nodes")).join(inside.groupBy("component").agg(F.count("*").alias("edges")), "component")
+    plain = sizes.where("nodes = edges").select("component", F.col("nodes").cast("int").alias("cycle_length"))
+    others = sizes.where("nodes <> edges").select("component")
+    around = strong.join(plain, "component").select(F.col("node").alias("root"), "cycle_length")
+    if max_depth is not None:
+        around = around.where(F.col("cycle_length") <= max_depth)
+    searched = inside.join(others, "component", "left_semi").select("src", "dst")
+    return around.union(length(reachable(searched, searched.select(F.col("src").alias("root")).distinct(), max_depth)))
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, target: int, max_depth: int = 10) -> DataFrame:

@@ -27,18 +27,46 @@ def statistics(requirements: DataFrame) -> DataFrame:
     return requirements.groupBy(F.col("regulation_id").alias("id")).agg(*counts)
 
 
-def generated(requirements: DataFrame, size: int = 1000) -> DataFrame:
-    """Nested documents of a regulation, about ``size`` requirements in order of id in each ``chunk``, with the regulation's statistics."""
+def generated(
+    requirements: DataFrame, size: int = 1000, regulations: DataFrame | None = None, sources: DataFrame | None = None, links: DataFrame | None = None
+) -> DataFrame:
+    """Nested documents of a regulation, about ``size`` requirements in order of id in each ``chunk``, with the regulation's statistics.
+
+    ``regulations`` (regulation_id, name, jurisdiction, effective_date) and
+    ``sources`` (regulation_id, url, hash) add what is known of a regulation;
+    one that is not among them goes by its id.  ``links`` (src, dst, type) are
+    the references of each requirement, in order of type and target.  A
+    requirement's ``confidence`` and ``parsing_notes`` are its metadata where
+    it has such columns.
+    """
+    column = lambda c, kind: (F.col(c) if c in requirements.columns else F.lit(None)).cast(kind).alias(c)
+    rows = requirements.select("*", *(column(c, kind) for c, kind in (("confidence", "double"), ("parsing_notes", "string")) if c not in requirements.columns))
+    reference = "array<struct<type:string,target:bigint>>"
+    if links is None:
+        rows = rows.withColumn("references", F.array().cast(reference))
+    else:
+        of = links.groupBy(F.col("src").alias("requirement_id")).agg(F.array_sort(F.collect_list(F.struct("type", F.col("dst").alias("target")))).alias("references"))
+        rows = rows.join(of, "requirement_id", "left").withColumn("references", F.coalesce("references", F.array().cast(reference)))
     item = F.struct(
         F.col("requirement_id").alias("id"), F.col("natural_language").alias("text"), F.col("tier"), F.col("method").alias("verification_method"),
         F.struct(F.col("jurisdictions"), F.col("sectors")).alias("scope"), F.struct(F.col("penalty").alias("penalty_monetary_max")).alias("enforcement"),
-        F.col("effective_date").cast("string").alias("effective_date"),
+        F.col("effective_date").cast("string").alias("effective_date"), F.col("references"), F.struct("confidence", "parsing_notes").alias("metadata"),
     )
     stats = statistics(requirements).select(F.col("id").alias("_id"), F.struct("total", *TIERS).alias("statistics"))
-    rows = requirements.join(stats, requirements["regulation_id"].eqNullSafe(F.col("_id")))
+    if regulations is not None:
+        known = regulations.select(F.col("regulation_id").alias("_id"), "name", "jurisdiction", F.col("effective_date").cast("string").alias("in_force"))
+        stats = stats.join(known, "_id", "left")
+    if sources is not None:
+        stats = stats.join(sources.select(F.col("regulation_id").alias("_id"), F.struct("url", "hash").alias("source")), "_id", "left")
+    rows = rows.join(stats, rows["regulation_id"].eqNullSafe(F.col("_id")))
     chunk = F.pmod(F.xxhash64("requirement_id", "natural_language"), F.ceil(F.col("statistics.total") / size)).cast("int").alias("chunk")
-    docs = rows.groupBy(F.col("regulation_id").alias("id"), chunk).agg(F.array_sort(F.collect_list(item)).alias("requirements"), F.first("statistics").alias("statistics"))
-    return docs.select("id", "chunk", F.lit(SCHEMA_VERSION).alias("schema_version"), "requirements", "statistics")
+    about = [c for c in ("name", "jurisdiction", "in_force", "source") if c in stats.columns]
+    docs = rows.groupBy(F.col("regulation_id").alias("id"), chunk).agg(
+        F.array_sort(F.collect_list(item)).alias("requirements"), F.first("statistics").alias("statistics"), *(F.first(c).alias(c) for c in about)
+    )
+    named = [F.coalesce("name", "id").alias("name")] if "name" in about else []
+    told = [F.col(c).alias("effective_date" if c == "in_force" else c) for c in about if c != "name"]
+    return docs.select("id", "chunk", F.lit(SCHEMA_VERSION).alias("schema_version"), "requirements", "statistics", *named, *told)
 
 
 def encoded(docs: DataFrame) -> DataFrame:

@@ -80,9 +80,16 @@ def recency_weighted(scores: DataFrame, key: str, at: str, score: str, tie: str,
     return rows.groupBy(key).agg(F.round(mean, 6).alias("recent_score"), F.count("*").alias("n"))
 
 
+#: Least score, in ten-thousandths, of each tier but the last (fixed values).
+ZK_TIERS = ((9500, 1), (8500, 2), (7000, 3), (5000, 4))
+
+
 def zk_tier(score: Column) -> Column:
     """Tier 1 to 5 of a score in ten-thousandths."""
-    return F.when(score >= 9500, 1).when(score >= 8500, 2).when(score >= 7000, 3).when(score >= 5000, 4).otherwise(5)
+    out = None
+    for least, tier in ZK_TIERS:
+        out = F.when(score >= least, tier) if out is None else out.when(score >= least, tier)
+    return out.otherwise(len(ZK_TIERS) + 1)
 
 
 @dataclass(frozen=True)
@@ -162,18 +169,34 @@ def yearly_cost(tier: Column, requirements: Column) -> Column:
     return base + requirements * mapped(tier, {"basic": 50, "standard": 150, "advanced": 400})
 
 
-def percentiles(rows: DataFrame, key: str, value: str, points: tuple[int, ...]) -> DataFrame:
-    """Nearest-rank percentiles of each key (the value at place floor(n p / 100), from 0), with count and extremes.
+def finalised(assessments: DataFrame, items: DataFrame, weights: Weights = Weights()) -> DataFrame:
+    """What approvals make final: completed assessments with their scores; the overall one is the simple one, rounded to four digits.
 
-    Rows are reduced to counts of distinct values before they are ranked, so
-    the ranking holds a key's different values and not its rows.
+    ``items``: assessment_id, status, tier, risk_impact.  Only items of
+    completed assessments are scored; an assessment without any that applies
+    has the overall score 0.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(key).orderBy(value)
-    ranked = counts.withColumns({"_end": F.sum("_c").over(upto), "_n": F.sum("_c").over(Window.partitionBy(key))})
-    asked = ranked.withColumn("p", F.explode(F.array(*map(F.lit, points))))
-    place = F.floor(F.col("_n") * F.col("p") / 100)
-    inside = (F.col("_end") > place) & (F.col("_end") - F.col("_c") <= place)
-    return asked.groupBy(key, "p").agg(
-        F.max(F.when(inside, F.col(value))).alias("percentile"), F.first("_n").alias("n"), F.min(value).alias("least"), F.max(value).alias("most")
+    done = assessments.where("status = 'completed'")
+    own = items.join(done.select("assessment_id"), "assessment_id", "left_semi")
+    met = done.join(item_scores(own, "assessment_id", weights=weights), "assessment_id", "left")
+    return met.withColumns({"overall_score": F.round(F.coalesce("simple_score", F.lit(0.0)), 4), "total": F.coalesce("total", F.lit(0).cast("bigint"))})
+
+
+def last_assessments(final: DataFrame) -> DataFrame:
+    """Each entity's last final assessment, by time and id: entity_id, last_assessment_id, last_assessment_at, compliance_score."""
+    last = F.struct("completed_at", "assessment_id")
+    return final.groupBy("entity_id").agg(
+        F.max_by("assessment_id", last).alias("last_assessment_id"), F.max("completed_at").alias("last_assessment_at"), F.max_by("overall_score", last).alias("compliance_score")
     )
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """The rows with their ``place`` from 1 in the order of ``key``, counted by ranges, so that no task sorts them all."""
+    from regatta.operators.scan import chunked
+
+    placed = chunked(rows, F.lit("").alias("_key"), [F.col(key)])
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    starts = sizes.select("_part", before)  # a row a range
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return placed.join(F.broadcast(starts), "_part").withColumn("place", inside + F.col("_before")).select(*rows.columns, "place")

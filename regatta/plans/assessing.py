@@ -90,12 +90,12 @@ def a06_scores_by_regulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a06_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overall, by tier and by regulation in one pass over the items (grouping sets)."""
-    _rated(spark, sf_dir).where("status <> 'not_applicable'").createOrReplaceTempView("rated_items")
-    return spark.sql(
-        """select case when grouping(tier) = 0 then 'tier' when grouping(regulation_id) = 0 then 'regulation' else 'all' end as level,
-             coalesce(tier, regulation_id, 'all') as key, count(*) as total, count_if(status = 'compliant') as compliant
-           from rated_items group by grouping sets ((tier), (regulation_id), ())"""
+    rows = _rated(spark, sf_dir).where("status <> 'not_applicable'")
+    counted = rows.groupingSets([[F.col("tier")], [F.col("regulation_id")], []], "tier", "regulation_id").agg(
+        F.count("*").alias("total"), F.count_if(F.col("status") == "compliant").alias("compliant"), F.grouping("tier").alias("_t"), F.grouping("regulation_id").alias("_r")
     )
+    level = F.when(F.col("_t") == 0, "tier").when(F.col("_r") == 0, "regulation").otherwise("all")
+    return counted.select(level.alias("level"), F.coalesce("tier", "regulation_id", F.lit("all")).alias("key"), "total", "compliant")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from regatta.plans import assessing, graphs, records, requirements, rules, tables, texts, watching
+from regatta.plans import assessing, completions, graphs, records, requirements, rules, streams, tables, texts, watching
 from regatta.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "assessing", "graphs", "records", "requirements", "rules", "tables", "texts", "watching"]
+__all__ = ["ORACLE_SQL", "QUERIES", "assessing", "completions", "graphs", "records", "requirements", "rules", "streams", "tables", "texts", "watching"]

@@ -12,7 +12,12 @@ def quoted(text: str) -> str:
     return "(" + " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in text.split("\n")) + ")"
 
 
-LEGAL = " || ".join(f"({x})::varchar" if i % 2 else quoted(x) for i, x in enumerate(re.split("[{}]", LEGAL_TEXT)))
+def as_sql(template: str) -> str:
+    """A template as an expression: literal pieces, and whole numbers as expressions in braces."""
+    return " || ".join(f"({x})::varchar" if i % 2 else quoted(x) for i, x in enumerate(re.split("[{}]", template)))
+
+
+LEGAL = as_sql(LEGAL_TEXT)
 
 DOMAIN = f"""
 jurisdictions as (select n_nationkey, n_name as code, r_name as parent from nation join region on n_regionkey = r_regionkey),

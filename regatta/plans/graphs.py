@@ -46,10 +46,12 @@ def g04_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.conflict_pairs(domain.conflicts(spark, sf_dir))
 
 
-ENTITY_CONFLICTS = """held as (select e.entity_id, r.requirement_id, r.tier from entities e
-    join (select * from requirements where requirement_id in (select src from conflicts union select dst from conflicts)) r
-      on (list_has_any(r.jurisdictions, e.jurisdictions) or list_contains(r.jurisdictions, 'ALL'))
-      and (list_has_any(r.sectors, e.sectors) or list_contains(r.sectors, 'ALL'))),
+ENTITY_CONFLICTS = """ends as (select src as requirement_id from conflicts union select dst from conflicts),
+  codes as (select requirement_id, tier, unnest(jurisdictions) as code, sectors from requirements where requirement_id in (select requirement_id from ends)),
+  areas as (select requirement_id, tier, code, unnest(sectors) as sector from codes),
+  places as (select entity_id, unnest(list_append(jurisdictions, 'ALL')) as code, list_append(sectors, 'ALL') as sectors from entities),
+  fields as (select entity_id, code, unnest(sectors) as sector from places),
+  held as (select distinct entity_id, requirement_id, tier from fields join areas using (code, sector)),
   met as (select x.entity_id, c.a, c.b,
       case when 'advanced' in (x.tier, y.tier) then 'high' when 'standard' in (x.tier, y.tier) then 'medium' else 'low' end as severity
     from (select distinct least(src, dst) as a, greatest(src, dst) as b from conflicts) c join held x on x.requirement_id = c.a
@@ -92,12 +94,16 @@ def g06_compliance_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, sf_dir: str, e: DataFrame) -> DataFrame:
-    """Entity -> jurisdiction -> regulation -> requirement."""
+    """Entity -> jurisdiction -> regulation -> requirement.
+
+    An entity meets the requirements of its own jurisdictions; the sectors of
+    both travel along and decide in place, so no second table of pairs is made.
+    """
     r = domain.requirements(spark, sf_dir)
-    scope = r.select("requirement_id", "regulation_id", F.explode("jurisdictions").alias("jurisdiction")).distinct()
-    own = e.select("entity_id", F.explode("jurisdictions").alias("jurisdiction"))
-    pairs = ap.applicable(e, r)
-    return own.join(scope, "jurisdiction").join(pairs, ["entity_id", "requirement_id"]).select("entity_id", "requirement_id", "regulation_id", "jurisdiction")
+    scope = r.select("requirement_id", "regulation_id", F.explode(F.array_distinct("jurisdictions")).alias("jurisdiction"), F.col("sectors").alias("of_sectors"))
+    own = e.select("entity_id", F.explode(F.array_distinct("jurisdictions")).alias("jurisdiction"), "sectors")
+    fits = F.arrays_overlap("of_sectors", "sectors") | F.array_contains("of_sectors", "ALL")
+    return own.join(scope, "jurisdiction").where(fits).select("entity_id", "requirement_id", "regulation_id", "jurisdiction")
 
 
 @query(
@@ -123,9 +129,11 @@ def g07_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def g08_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    need = domain.requirements(spark, sf_dir)
-    pairs = ap.applicable(domain.entities(spark, sf_dir), need)
-    return graph.impact(pairs, domain.depends_on(spark, sf_dir), domain.conflicts(spark, sf_dir), need, _grown(spark, sf_dir))
+    need, roots = domain.requirements(spark, sf_dir), _grown(spark, sf_dir)
+    # Only the requirements that are asked about are paired with entities.
+    asked = need.join(roots, need.requirement_id == roots.root, "left_semi")
+    pairs = ap.applicable(domain.entities(spark, sf_dir), asked)
+    return graph.impact(pairs, domain.depends_on(spark, sf_dir), domain.conflicts(spark, sf_dir), need, roots)
 
 
 @query(
@@ -169,9 +177,7 @@ def g07_shortest_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def g08_impact_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    need = domain.requirements(spark, sf_dir)
-    pairs = ap.applicable(domain.entities(spark, sf_dir), need)
-    return graph.impact(pairs, domain.depends_on(spark, sf_dir), domain.conflicts(spark, sf_dir), need, _grown(spark, sf_dir))
+    return g08_impact(spark, sf_dir)
 
 
 FIRSTS = """lists as (select r.requirement_id,

@@ -65,7 +65,8 @@ def a03_score_by_jurisdiction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def j04_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ap.gaps(_pairs(spark, sf_dir), domain.states(spark, sf_dir))
+    closed = domain.states(spark, sf_dir).where("status = 'compliant'").select("entity_id", "requirement_id")
+    return ap.open_requirements(domain.entities(spark, sf_dir), domain.requirements(spark, sf_dir), closed).drop("priority")
 
 
 @query(
@@ -91,8 +92,8 @@ def j05_named_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def w03_ranked_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    open_ = _joined(spark, sf_dir).where("status is null or status in ('non_compliant', 'partial', 'pending')").drop("status")
-    return ap.ranked_gaps(open_, domain.requirements(spark, sf_dir))
+    closed = domain.states(spark, sf_dir).where("status not in ('non_compliant', 'partial', 'pending')").select("entity_id", "requirement_id")
+    return ap.open_requirements(domain.entities(spark, sf_dir), domain.requirements(spark, sf_dir), closed, "tier", "penalty", "regulation_id")
 
 
 @query(

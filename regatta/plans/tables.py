@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regatta.operators import catalog, graph, ingestion, mutations, rml, scoring
+from regatta.operators import catalog, graph, ingestion, mutations, rml, selection
 from regatta.operators.storage import shared_dir
 from regatta.plans.domain_sql import oracle
 from regatta.plans.registry import query
@@ -117,7 +117,7 @@ def a13_count_by_tier_in_jurisdiction(spark: SparkSession, sf_dir: str) -> DataF
 )
 def a28_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentiles of the scores of each type of event."""
-    return scoring.percentiles(domain.events(spark, sf_dir), "event_type", "score", (50, 95, 99))
+    return selection.percentiles(domain.events(spark, sf_dir), "event_type", "score", (50, 95, 99))
 
 
 @query(

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from regatta.functions import pages as pg
 from regatta.functions import text as tx
+from regatta.functions.citations import citations
 from regatta.operators import chunking, rml
 from regatta.operators import documents as dc
-from regatta.plans.domain_sql import oracle
+from regatta.plans.domain_sql import as_sql, oracle
 from regatta.plans.registry import query
 from regatta.sources import domain
 from regatta.sources.domain import table
@@ -67,34 +68,47 @@ def _replaced(text: str, *steps: tuple[str, str]) -> str:
     return text
 
 
-CLEANED_SQL = _replaced(
-    "text", (r"\r\n?", "chr(10)"), (r"[ \t]+", "' '"), (r"\n{3,}", "chr(10) || chr(10)"), (rf"(?m)^\s*{tx.PAGE_NUMBER}\s*$", "''"),
-    (r"\s+([.,;:!?])", r"'\1'"), (r"([.,;:!?])([^\s\d])", r"'\1 \2'"), (r"^\s+|\s+$", "''"),
+#: What cleaning makes of the texts of the rules, worked out by hand.
+CLEANED = (
+    domain.LEGAL_TEXT.replace(" .Pursuant", ". Pursuant").replace("U.S.C.", "U. S. C.").replace("  They", " They")
+    .replace("\n\n\n\nPage {k % 30} of 30\n", "\n\n").replace("\n-  {k % 4} -", "")
 )
 
 
-@query(oracle(f"select doc_id, {CLEANED_SQL} as text from legal_texts"))
+@query(oracle(f"select k as doc_id, {as_sql(CLEANED)} as text from (select p_partkey as k from part)"))
 def n06_cleaned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain.legal_texts(spark, sf_dir).select("doc_id", tx.cleaned(F.col("text")).alias("text"))
 
 
-@query(None)
-def n08_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _citations(table(spark, sf_dir, "documents"))
+#: The citations of the texts of the rules, worked out by hand: type, raw text, identifier and section as templates.
+CITED = (
+    ("us_code", "{k % 50 + 1} U.S.C. § {1000 + k}", "{k % 50 + 1}", "{1000 + k}"),
+    ("cfr", "{k % 45 + 1} CFR {100 + k % 60}.{k % 9}", "{k % 45 + 1}", "{100 + k % 60}.{k % 9}"),
+    ("eu_regulation", "Regulation (EU) 2016/{k}", "2016/{k}", None),
+    ("eu_directive", "Directive 2014/{k % 90 + 1}/EU", "2014/{k % 90 + 1}/EU", None),
+    ("uk_si", "SI 2019/{k}", "2019/{k}", None),
+    ("section", "§ {1000 + k}", "{1000 + k}", None),
+    ("section", "SECTION 1.{k % 7}", "1.{k % 7}", None),
+    ("section", "Section 4.{k % 8}(a)(1)", "4.{k % 8}(a)(1)", None),
+)
+
+
+def _cited_sql(family: str, *templates: str | None) -> str:
+    columns = ", ".join(f"{as_sql(t) if t else 'null'} as {name}" for t, name in zip(templates, ("raw", "identifier", "section"), strict=True))
+    return f"select p_partkey as doc_id, '{family}' as type, {columns} from (select p_partkey, p_partkey as k from part)"
 
 
 def _citations(docs: DataFrame) -> DataFrame:
-    found = docs.select("doc_id", F.explode(tx.citations(F.col("text"))).alias("c"))
+    found = docs.select("doc_id", F.explode(citations(F.col("text"))).alias("c"))
     return found.select("doc_id", "c.type", "c.raw", "c.identifier", "c.section")
 
 
-def _citation_sql(c: tx.Citation) -> str:
-    group = lambda g: f"regexp_extract_all(text, '(?i){c.pattern}', {g})"
-    section = f"unnest({group(2)})" if c.sectioned else "null"
-    return f"select doc_id, '{c.family}' as type, unnest({group(0)}) as raw, unnest({group(1)}) as identifier, {section} as section from legal_texts"
+@query(None)
+def n08_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _citations(table(spark, sf_dir, "documents"))
 
 
-@query(oracle(" union all ".join(map(_citation_sql, tx.CITATIONS))))
+@query(oracle(" union all ".join(_cited_sql(*c) for c in CITED)))
 def n08_citations_of_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _citations(domain.legal_texts(spark, sf_dir))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regatta.functions.numbers import ratio, ratio_sql
+from regatta.operators.scan import with_previous
 from regatta.operators.storage import shared_dir
 from regatta.plans.domain_sql import oracle
 from regatta.plans.registry import query
@@ -36,7 +37,7 @@ MESSAGES = """messages as (select event_id, case when event_id % 20 = 0 then '{"
     else '{"event_id":' || event_id || ',"event_type":"' || event_type || '","entity_id":' || entity_id || '}' end as value from compliance_events)"""
 
 
-def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of which one in twenty is cut short and one lacks fields."""
     whole, k = F.to_json(F.struct("event_id", "event_type", "entity_id")), F.col("event_id")
     value = F.when(k % 20 == 0, '{"event_id":').when(k % 20 == 1, F.to_json(F.struct("event_id"))).otherwise(whole)
@@ -50,12 +51,12 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def t02_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.quarantined(_messages(spark, sf_dir), "event_id bigint, event_type string, entity_id bigint", ("event_id", "event_type", "entity_id"))[1]
+    return monitor.quarantined(messages(spark, sf_dir), "event_id bigint, event_type string, entity_id bigint", ("event_id", "event_type", "entity_id"))[1]
 
 
 @query(oracle("select event_id, event_type, entity_id from compliance_events where event_id % 20 >= 2"))
 def t02_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.quarantined(_messages(spark, sf_dir), "event_id bigint, event_type string, entity_id bigint", ("event_id", "event_type", "entity_id"))[0]
+    return monitor.quarantined(messages(spark, sf_dir), "event_id bigint, event_type string, entity_id bigint", ("event_id", "event_type", "entity_id"))[0]
 
 
 @query(
@@ -188,8 +189,8 @@ def t08_entity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def w12_score_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("score").over(Window.partitionBy("entity_id").orderBy("ts", "event_id"))
-    rows = domain.events(spark, sf_dir).where("event_type = 'score.calculated'").select("event_id", "entity_id", "score", before.alias("previous"))
+    scores = domain.events(spark, sf_dir).where("event_type = 'score.calculated'").select("event_id", "entity_id", "ts", "score")
+    rows = with_previous(scores, ["entity_id"], ["ts", "event_id"], {"previous": "score"}).drop("ts", "_turn")
     return rows.withColumn("alert", F.when(F.col("previous") - F.col("score") > 1000, "score_drop").otherwise("none"))
 
 
@@ -233,9 +234,8 @@ def o04_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def w07_audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.concat_ws(":", F.col("event_id").cast("string"), "event_type"), 256)
-    rows = domain.events(spark, sf_dir).withColumn("data_hash", digest)
-    before = F.lag("data_hash").over(Window.partitionBy("entity_id").orderBy("ts", "event_id"))
-    return rows.select("event_id", "entity_id", "data_hash", before.alias("previous_hash"))
+    rows = domain.events(spark, sf_dir).select("event_id", "entity_id", "ts", digest.alias("data_hash"))
+    return with_previous(rows, ["entity_id"], ["ts", "event_id"], {"previous_hash": "data_hash"}).drop("ts", "_turn")
 
 
 @query(
@@ -260,8 +260,8 @@ def w09_latest_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def w10_first_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = domain.events(spark, sf_dir).select("event_id", "ts", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    order = Window.partitionBy("k").orderBy("ts", "event_id")
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("event_id", "k")
+    # The first of a key is a minimum, combined before the shuffle.
+    return rows.groupBy("k").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select("event_id", "k")
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from regatta.functions.pages import file_format
+from regatta.operators.storage import checkpointed
 
 
 @dataclass(frozen=True)
@@ -39,9 +40,10 @@ def kafka_producer(servers: str) -> Sink:
 
 
 def published(messages: DataFrame, sink: Sink) -> DataFrame:
-    """Publish a batch and count what was sent to each topic."""
-    sink.write(messages)
-    return messages.groupBy("topic").agg(F.count("*").alias("sent"))
+    """Publish a batch and count what was sent to each topic; the messages are computed once."""
+    kept = checkpointed(messages)
+    sink.write(kept)
+    return kept.groupBy("topic").agg(F.count("*").alias("sent"))
 
 
 def consumer_options(servers: str, topics: list[str], group: str, from_beginning: bool = False, max_messages: int | None = None) -> dict[str, str]:

@@ -15,11 +15,16 @@ REMEMBERED = 30 * 24 * 3600
 class _LastHash(StatefulProcessor):
     """State of a key: its last hash, which the state store drops when it was not written for ``REMEMBERED`` seconds."""
 
+    def __init__(self, at: str | None):
+        self.at = at
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "content_hash string", REMEMBERED * 1000)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         known = self.last.get()[0] if self.last.exists() else None
+        if self.at:
+            rows = sorted(rows, key=lambda r: (r[self.at] is not None, r[self.at], r.content_hash) if r[self.at] else (False, 0, r.content_hash))
         for row in rows:
             if row.content_hash != known:
                 yield Row(key=key[0], change_type="NEW" if known is None else "MODIFIED", content_hash=row.content_hash)
@@ -31,16 +36,17 @@ class _LastHash(StatefulProcessor):
         pass
 
 
-def detected_changes(docs: DataFrame) -> DataFrame:
+def detected_changes(docs: DataFrame, at: str | None = None) -> DataFrame:
     """NEW or MODIFIED for each document version of a stream (key, content_hash); unchanged ones are dropped.
 
-    Rows of a key are read one by one, in the order in which a batch holds
-    them, and only its last hash is kept.  The state expires by itself, so keys
-    that are gone do not stay for ever.  Null hashes are no versions.
+    Rows of a key in a batch take their turn by the column ``at`` (nulls first,
+    ties by hash), or as they come without one, and only the key's last hash
+    is kept.  The state expires by itself, so keys
+    that are gone do not stay for ever.  Null hashes are no versions.  Start it
+    with RocksDB as the state store (``monitor.drained`` does so).
     """
-    docs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     versions = docs.where("content_hash is not null")
-    return versions.groupBy("key").transformWithState(_LastHash(), "key string, change_type string, content_hash string", "append", "ProcessingTime")
+    return versions.groupBy("key").transformWithState(_LastHash(at), "key string, change_type string, content_hash string", "append", "ProcessingTime")
 
 
 def update_checks(known: DataFrame, fetched: DataFrame, key: str = "key") -> DataFrame:

@@ -6,17 +6,16 @@ minutes for late rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+import json
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from regatta.operators.scan import in_turn, with_previous
 from regatta.operators.scoring import zk_tier
 from regatta.sources.domain import mapped
+from regatta.streaming.session import PROVIDER, ROCKSDB, settings
 
 LATE = "10 minutes"
 #: Topic of each event type; others go to the default topic.
@@ -85,39 +84,14 @@ def cooled(times: list[float], minutes: float = 60) -> list[bool]:
     return out
 
 
-def _in_turn(rows: DataFrame, keys: list[str], step: Callable[[Any, float], tuple[Any, bool]], flag: str) -> DataFrame:
-    """The rows with a boolean ``flag`` that ``step`` gives from a key's state and the row's time in seconds, in order of time and event.
-
-    Sorted partitions are read batch by batch and one state is carried on, so
-    that a key may have any number of rows.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
-        for batch in batches:
-            flags = []
-            for key, us in zip(batch.column("_key").to_pylist(), batch.column("_us").to_pylist(), strict=True):
-                if key != now:
-                    now, state = key, None
-                state, said = step(state, float("-inf") if us is None else us / 1e6)
-                flags.append(said)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(flags, pa.bool_())], names=[*columns, flag])
-
-    columns = rows.columns
-    keyed = rows.withColumns({"_key": F.to_json(F.struct(*keys)), "_us": F.unix_micros(F.col("ts").cast("timestamp"))})
-    turns = keyed.repartition("_key").sortWithinPartitions("_key", F.asc_nulls_last("ts"), "event_id")
-    return turns.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(flag, T.BooleanType())]))
-
-
 #: Severity of the rules.
 RULES = {"violation": "critical", "score_drop": "high", "tier_downgrade": "high"}
 
 
 def rule_hits(events: DataFrame, drop: int = 1000) -> DataFrame:
-    """Events that meet a rule: violations, scores that fall by more than ``drop``, and scores of a lower tier than the one before."""
+    """Events that meet a rule: violations, scores that fall by more than ``drop``, and scores of a lower tier than the one before; a null score meets none."""
     scores = events.where("event_type = 'score.calculated'")
-    before = F.lag("score").over(Window.partitionBy("entity_id").orderBy("ts", "event_id"))
-    scored = scores.withColumn("_before", before).where("_before is not null")
+    scored = with_previous(scores, ["entity_id"], ["ts", "event_id"], {"_before": "score"}).where("_before is not null and score is not null")
     hit = lambda rows, rule: rows.select("event_id", "entity_id", "ts", F.lit(rule).alias("rule"))
     found = hit(events.where("event_type = 'violation.detected'"), "violation")
     found = found.union(hit(scored.where(F.col("score") - F.col("_before") < -drop), "score_drop"))
@@ -131,7 +105,7 @@ def alerts(events: DataFrame, drop: int = 1000, minutes: float = 60) -> DataFram
         fires = last is None or t - last >= minutes * 60
         return (t if fires else last), fires
 
-    fired = _in_turn(rule_hits(events, drop), ["entity_id", "rule"], fire, "_fires").where("_fires").drop("_fires")
+    fired = in_turn(rule_hits(events, drop), ["entity_id", "rule"], fire, "_fires").where("_fires").drop("_fires")
     return fired.withColumn("severity", mapped(F.col("rule"), RULES))
 
 
@@ -159,7 +133,7 @@ def limited(events: DataFrame, per_window: int = 100, seconds: int = 60) -> Data
         opened, used = state if state is not None and t - state[0] < seconds else (t, 0)
         return (opened, used + 1), used + 1 <= per_window
 
-    return _in_turn(events.select("event_id", "entity_id", F.col("ts").cast("timestamp").alias("ts")), ["entity_id"], admit, "allowed")
+    return in_turn(events.select("event_id", "entity_id", F.col("ts").cast("timestamp").alias("ts")), ["entity_id"], admit, "allowed")
 
 
 STATUSES, LEVELS = ("open", "acknowledged", "resolved", "suppressed"), ("low", "medium", "high", "critical")
@@ -209,37 +183,43 @@ def system_metrics(events: DataFrame, entities: DataFrame, as_of: Column) -> Dat
     return row.crossJoin(entities.agg(F.count("*").alias("total_entities")))  # one row each
 
 
-def drained(stream: DataFrame, path: str, checkpoint: str, empty_batches: bool = True) -> None:
-    """Run a stream over all that its source has now, into Parquet files.
+def drained(stream: DataFrame, path: str, checkpoint: str, empty_batches: bool = True, name: str | None = None) -> None:
+    """Run a stream over all that its source has now, into Parquet files; state is kept in RocksDB.
 
     Batches without rows close windows; a stream whose state expires by the
     clock would ask for them for ever and must run without.
     """
-    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(key)
-    conf.set(key, str(empty_batches).lower())
-    try:
-        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        conf.set(key, before)
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    query = (query.queryName(name) if name else query).outputMode("append").trigger(availableNow=True)
+    with settings(stream.sparkSession, {"spark.sql.streaming.noDataMicroBatches.enabled": str(empty_batches).lower(), PROVIDER: ROCKSDB}):
+        query.start().awaitTermination()
+
+
+def progress_of(sources: list) -> dict[str, float]:
+    """Rows of a batch, rate, and lag (newest offset less the one read, where a source tells both) over the sources of a stream."""
+    rows, rate, lag = 0, 0.0, 0
+    for source in sources:
+        get = source.get if isinstance(source, dict) else lambda k, s=source: getattr(s, k)
+        rows += get("numInputRows")
+        rate += get("processedRowsPerSecond") or 0.0
+        lag += _offsets(get("latestOffset")) - _offsets(get("endOffset")) if get("latestOffset") else 0
+    return {"rows": rows, "rows_per_second": rate, "lag": lag}
+
+
+def _offsets(told: object) -> int:
+    """Sum of the offsets of all partitions of all topics; 0 for sources that do not count."""
+    if isinstance(told, str):
+        try:
+            told = json.loads(told)
+        except ValueError:
+            return 0
+    if not isinstance(told, dict):
+        return 0
+    return sum(n for topic in told.values() if isinstance(topic, dict) for n in topic.values() if isinstance(n, int))
 
 
 def progress(query: StreamingQuery) -> dict[str, object]:
-    """Name, rows of the last batch, rate and lag (newest offset less the one read, where the source tells both) of a running stream."""
+    """Name, state, and the last batch's rows, rate and lag of a running stream."""
     last = query.lastProgress
-    sources = [] if last is None else last["sources"]
-    offsets = lambda s, k: sum(v for t in (s.get(k) or {}).values() for v in t.values()) if isinstance(s.get(k), dict) else 0
-    return {
-        "name": query.name, "active": query.isActive, "rows": sum(s["numInputRows"] for s in sources),
-        "rows_per_second": sum(s.get("processedRowsPerSecond") or 0.0 for s in sources), "lag": sum(offsets(s, "latestOffset") - offsets(s, "endOffset") for s in sources),
-        "failed": query.exception() is not None,
-    }
-
-
-def unsubscribed(spark: SparkSession, name: str) -> bool:
-    """Stop the running stream of a name; false if there is none."""
-    found = [q for q in spark.streams.active if q.name == name]
-    for q in found:
-        q.stop()
-    return bool(found)
+    found = progress_of([] if last is None else last["sources"])
+    return {"name": query.name, "active": query.isActive, **found, "failed": query.exception() is not None}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from regatta.functions import text as tx
 from regatta.operators import applicability as ap
 from regatta.operators import documents as dc
-from regatta.operators import graph, mutations, scoring
+from regatta.operators import catalog, graph, mutations, scoring
 from regatta.sources import domain
 from regatta.streaming import changes, monitor
 
@@ -107,3 +107,38 @@ def test_change_stream_reports_new_then_modified(spark, tmp_path):
         monitor.drained(changes.detected_changes(stream), str(out), str(tmp_path / "state"), empty_batches=False)
         got = sorted((r.key, r.change_type) for r in spark.read.parquet(str(out)).collect())
         assert got == [("a", "NEW"), ("b", "NEW")] if i == 0 else [("a", "NEW"), ("b", "MODIFIED"), ("b", "NEW")]
+
+
+def test_versions_of_one_batch_are_told_apart_by_their_time(spark, tmp_path):
+    schema = "key string, content_hash string, at timestamp"
+    day = lambda d: dt.datetime(2024, 1, d)
+    rows = [("a", "3", day(3)), ("a", "1", day(1)), ("a", "2", day(2)), ("b", "1", day(1)), ("a", "3", day(4)), ("a", "0", None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    monitor.drained(changes.detected_changes(stream, at="at"), str(tmp_path / "out"), str(tmp_path / "state"), empty_batches=False)
+    got = sorted((r.key, r.content_hash, r.change_type) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", "0", "NEW"), ("a", "1", "MODIFIED"), ("a", "2", "MODIFIED"), ("a", "3", "MODIFIED"), ("b", "1", "NEW")]
+
+
+def test_open_requirements_are_ranked_without_a_shuffle_of_pairs(spark):
+    entities = spark.createDataFrame([(1, ["A"], ["x"]), (2, ["A", "B"], ["x", "y"]), (3, ["A"], ["x"]), (4, None, ["x"])], "entity_id int, jurisdictions array<string>, sectors array<string>")
+    need = spark.createDataFrame(
+        [(10, "basic", 5.0, ["A"], ["x"]), (11, "advanced", 1.0, ["A"], ["ALL"]), (12, "advanced", 9.0, ["B"], ["y"]), (13, "standard", None, ["ALL"], ["x"]),
+         (14, None, 7.0, ["A"], ["x"]), (15, "basic", 5.0, None, ["x"])],
+        "requirement_id int, tier string, penalty double, jurisdictions array<string>, sectors array<string>",
+    )
+    closed = spark.createDataFrame([(1, 11), (1, 14), (2, 12), (2, 99), (9, 10)], "entity_id int, requirement_id int")
+    found = ap.open_requirements(entities, need, closed, "tier")
+    expected = {(1, 13, "standard", 1), (1, 10, "basic", 2), (2, 11, "advanced", 1), (2, 13, "standard", 2), (2, 14, None, 3), (2, 10, "basic", 4)}
+    expected |= {(3, 11, "advanced", 1), (3, 13, "standard", 2), (3, 14, None, 3), (3, 10, "basic", 4), (4, 13, "standard", 1)}
+    assert {tuple(r) for r in found.collect()} == expected and found.count() == len(expected)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "Exchange" not in above and "Window" not in above
+
+
+def test_ad_hoc_tables_leave_the_session_as_it_was(spark):
+    spark.range(3).createOrReplaceTempView("mine")
+    found = catalog.ad_hoc(spark, {"mine": spark.range(10), "other": spark.range(2)}, "select count(*) as n from mine, other where mine.id = other.id and mine.id < :most", {"most": 5})
+    assert spark.table("mine").count() == 3 and not spark.catalog.tableExists("other") and found.first().n == 2
+    spark.catalog.dropTempView("mine")

@@ -1,4 +1,4 @@
-"""Every query with oracle SQL returns what DuckDB returns; the others run."""
+"""Every query with oracle SQL returns what DuckDB returns; the others return rows where the tables give cause."""
 
 from __future__ import annotations
 
@@ -13,9 +13,17 @@ def test_matches_oracle(spark, duck, small, name):
     same_rows(QUERIES[name](spark, small), duck.sql(ORACLE_SQL[name]))
 
 
+#: Queries on the invented documents, which cite no law and have neither headings nor obligations; their twins on rules' texts find some.
+NOTHING_THERE = {"n08_citations", "n09_sections", "n15_extracted_requirements"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, small, name):
-    assert QUERIES[name](spark, small).count() >= 0
+    rows = QUERIES[name](spark, small)
+    keys = [c for c in ("doc_id", "page_id", "event_id", "requirement_id", "root", "query_id") if c in rows.columns]
+    found = rows.collect()
+    assert (len(found) == 0) == (name in NOTHING_THERE)
+    assert all(r[c] is not None for r in found for c in keys)
 
 
 def test_entry(spark):

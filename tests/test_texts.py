@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from regatta.functions import pages as pg
 from regatta.functions import text as tx
+from regatta.functions.citations import found_in
 from regatta.operators import catalog, chunking, rml
 from regatta.operators import documents as dc
 from regatta.operators.chunking import Limits
@@ -62,24 +65,115 @@ def test_sections_hold_the_text_up_to_the_next_heading():
     assert got == [("1", "A", 2, 7, 20, "x\ny"), ("2", "B", 4, 25, 37, "z")]
 
 
-def test_chunks_keep_their_limits():
+PARAGRAPHS = "First one. It goes on.\n\nSecond.\n \nThird paragraph is long, so long. It ends."
+
+
+@pytest.mark.parametrize(
+    ("strategy", "text", "limits", "expected"),
+    [
+        ("semantic", PARAGRAPHS, Limits(36), ["First one. It goes on.\n\nSecond.", "Third paragraph is long, so long.", "It ends."]),
+        ("semantic", PARAGRAPHS, Limits(30), ["First one. It goes on.", "Second.", "Third paragraph is long, so", "long. It ends."]),
+        ("sentence", "One two. Three four. Five.", Limits(14), ["One two.", "Three four.", "Five."]),
+        ("sentence", "One two. three. Four five. Six", Limits(20), ["One two. three.", "Four five. Six"]),
+        ("recursive", "a b\nc d\n\ne f g h i", Limits(9), ["a b\nc d", "e f g h i"]),
+        ("recursive", "a b\nc d\n\ne f g h i", Limits(5), ["a b", "c d", "e f", "g h i"]),
+        ("recursive", "Intro text\nSECTION 1 One\nmore\nSECTION 2 Two", Limits(21), ["Intro text", "SECTION 1 One\nmore", "SECTION 2 Two"]),
+        ("fixed", "One. Two three four five", Limits(12, 4), ["One.", "ne. Two", "Two three", "ree four", "our five"]),
+        ("structural", "Preface, which stays\nSECTION 1 First part of it\n1.2 Small\nPART 3 Third", Limits(50, 0, 11), ["Preface, which stays", "SECTION 1 First part of it", "PART 3 Third"]),
+        ("structural", "SECTION 1. Head\nA line of it\nanother", Limits(20, 0, 5), ["SECTION 1. Head", "A line of it\nanother"]),
+    ],
+)
+def test_chunks_end_at_the_best_place_within_reach(strategy, text, limits, expected):
+    own = chunking.cut(text, strategy, limits)
+    assert [c.content for c in own] == expected
+    assert all(text[c.start : c.end] == c.content and len(c.content) <= limits.most for c in own)
+
+
+def packed_by_hand(text, levels, most):
+    """For each character in turn: is it the end of the chunk that holds the one before?"""
+    edges = [{m.end() for m in level.finditer(text)} for level in levels]
+    spans, at = [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > most:
+            best = [[e for e in range(at + 1, at + most + 1) if e in level] for level in edges]
+            end = next((x[-1] for x in best if x), at + most)
+        spans.append((at, end))
+        at = end
+    return spans
+
+
+def test_packing_equals_a_search_by_hand():
+    rng = random.Random(1)
+    for _ in range(200):
+        text = "".join(rng.choices(["a", "Bc", " ", ". ", "\n", "\n\n", "\nSECTION 1 ", "! "], k=rng.randrange(1, 60)))
+        for name, levels in chunking.LEVELS.items():
+            for most in (1, 7, 25):
+                spans = packed_by_hand(text, levels, most)
+                assert list(chunking.packed(text, levels, most)) == spans
+                if name != "fixed":
+                    assert [c.content for c in chunking.cut(text, name, Limits(most))] == [text[a:b].strip() for a, b in spans if text[a:b].strip()]
+
+
+def test_chunks_keep_their_limits(spark):
     limits = Limits(500, 50, 20)
     words, stops = "Word " * 500, "Content. " * 200
-    for name, cut in chunking.STRATEGIES.items():
-        assert [c.content for c in cut("Short text content.", limits)] in ([["Short text content."], []] if name == "structural" else [["Short text content."]])
+    for name in chunking.STRATEGIES:
+        assert [c.content for c in chunking.cut("Short text content.", name, limits)] == ([] if name == "structural" else ["Short text content."])
         for text in (words, stops, "x" * 1300, "A b.\n\n" * 300):
-            own = list(cut(text, limits))
-            assert own and all(0 <= c.start < c.end and c.content for c in own), name
-            assert name == "sentence" or all(len(c.content) <= 500 for c in own), name
-    fixed = list(chunking.fixed("x" * 1200, limits))
+            own = chunking.cut(text, name, limits)
+            assert own and all(text[c.start : c.end] == c.content and len(c.content) <= 500 for c in own), name
+            # Nothing but white space stands between two chunks.
+            assert all(not text[a.end : b.start].strip() for a, b in zip(own, own[1:])) and not text[own[-1].end :].strip(), name
+        assert chunking.cut(" \n ", name, limits) == []
+    fixed = chunking.cut("x" * 1200, "fixed", limits)
     assert [(c.start, c.end, c.overlap) for c in fixed] == [(0, 500, 0), (450, 950, 50), (900, 1200, 50)]
-    assert [c.content for c in chunking.sentence("One two. Three four. Five.", Limits(14))] == ["One two.", "Three four.", "Five."]
-    # A paragraph that is too long is divided only where it starts a chunk; behind others it stays whole.
-    assert [c.content for c in chunking.semantic("a\n\nb\n\nc c c c", Limits(6))] == ["a\n\nb", "c c c c"]
-    assert [c.content for c in chunking.semantic("c c c c\n\na", Limits(6))] == ["c\nc\nc", "c", "a"]
-    parts = list(chunking.structural("SECTION 1 First part of it\nSECTION 2 Second part of it", Limits(500, 50, 5)))
-    assert [c.section for c in parts] == ["1", "2"]
-    assert [c.content for c in chunking.merged(parts, 500)] == ["\n\n".join(c.content for c in parts)]
+    text = "SECTION 1 First part of it\nSECTION 2. Second part of it"
+    parts = chunking.cut(text, "structural", Limits(500, 50, 5))
+    assert [c.section for c in parts] == ["1", "2"] and [c.content for c in chunking.merged(text, parts, 500)] == [text]
+    assert chunking.merged(text, parts, 30) == parts
+    docs = spark.createDataFrame([(1, "One two. Three four."), (2, None), (3, " ")], "doc_id bigint, text string")
+    got = [tuple(r) for r in chunking.chunks(docs, "sentence", Limits(12)).collect()]
+    assert got == [(1, 0, 2, "One two.", 0, 8, None, 2, 0), (1, 1, 2, "Three four.", 9, 20, None, 2, 0)]
+    with pytest.raises(ValueError, match="no such strategy"):
+        chunking.chunks(docs, "magic")
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("Pursuant to 42 U.S.C. § 1234, the", [("us_code", "42 U.S.C. § 1234", "42", "1234"), ("section", "§ 1234", "1234", None)]),
+        ("42USC1395w-4(b)(2)", [("us_code", "42USC1395w-4(b)(2)", "42", "1395w-4(b)(2)")]),
+        ("Under 45 CFR 164.502, and 45 c.f.r. 160", [("cfr", "45 CFR 164.502", "45", "164.502"), ("cfr", "45 c.f.r. 160", "45", "160")]),
+        ("Regulation (EU) 2016/679 and regulation (EC) No 45/2001", [("eu_regulation", "Regulation (EU) 2016/679", "2016/679", None), ("eu_regulation", "regulation (EC) No 45/2001", "45/2001", None)]),
+        ("Directive 2014/65/EU; Directive 2014/65", [("eu_directive", "Directive 2014/65/EU", "2014/65/EU", None)]),
+        ("S.I. 2019/1234 (PSI 2019/1)", [("uk_si", "S.I. 2019/1234", "2019/1234", None)]),
+        ("Section 1.2.3(a)(ii), Art. 5-6, article 7 and §8", [("section", "Section 1.2.3(a)(ii)", "1.2.3(a)(ii)", None), ("section", "Art. 5-6", "5-6", None), ("section", "article 7", "7", None), ("section", "§8", "8", None)]),
+        ("Sections 4, U.S.C., 42 U.S. C 7, section (a), 12", []),
+        ("", []),
+    ],
+)
+def test_citations(text, expected):
+    assert list(found_in(text)) == expected
+
+
+def test_cleaning(spark):
+    text = "A  b ,c\r\nPage 3 of 9\r\r\n \n\n- 4 -\nPage 5\nPages 5\nPage 5 of it\n-\nx.y 1.5!\x00\x07 end : "
+    assert one(spark, tx.cleaned(F.col("c0")), text) == "A b, c\n\nPages 5\nPage 5 of it\n-\nx. y 1.5! end:"
+    assert one(spark, tx.cleaned(F.col("c0")), None) is None and one(spark, tx.cleaned(F.col("c0")), "") == ""
+    assert one(spark, tx.unified_lines(F.col("c0")), "a\t b\r\n\r\n\n\nc\rd") == "a b\n\nc\nd"
+
+
+def test_normalized_texts(spark):
+    signs = "\u201cﬁve\u201d \u2018x\u2019 \u2013 \u2026\u00ad\u200b §4 ¶2 Ａ"
+    assert one(spark, rml.normalized(F.col("c0")), signs) == "\"five\" 'x' - ... Section 4 Paragraph 2 A"
+    assert one(spark, rml.normalized(F.col("c0")), None) is None
+
+
+def test_entity_hashes(spark):
+    expected = int(hashlib.sha256(b"ENT-1").hexdigest(), 16) % rml.FIELD_ORDER
+    assert one(spark, rml.entity_hash(F.col("c0")), "ENT-1") == str(expected) and one(spark, rml.entity_hash(F.col("c0")), None) is None
+    assert 0 <= expected < rml.FIELD_ORDER
 
 
 def test_dates_of_effect(spark):
