@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import multiprocessing
 import pickle
 import re
 import zlib
@@ -84,11 +85,38 @@ def sample_windows(
     return texts.mapInPandas(cut, "doc_id bigint, label int, words string")
 
 
+def _apart(fit: Callable[[pd.DataFrame], Any], windows: pd.DataFrame) -> bytes:
+    """The pickled result of ``fit``, made in a child of this process, whose memory goes back to the system when it ends."""
+    context = multiprocessing.get_context("fork")
+    result, told = context.Pipe(duplex=False)
+
+    def child() -> None:
+        try:
+            said = True, fit(windows)
+        except Exception as problem:
+            said = False, repr(problem)
+        told.send_bytes(pickle.dumps(said))
+
+    process = context.Process(target=child)
+    process.start()
+    told.close()
+    try:
+        done, value = pickle.loads(result.recv_bytes())
+    except EOFError:
+        done, value = False, "the process that learns has ended"
+    process.join()
+    if not done:
+        raise RuntimeError(value)
+    return pickle.dumps(value)
+
+
 def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
     """What ``fit`` makes of a bounded sample of windows, in one task, so that the driver holds no training data.
 
     The windows are handed over without repeats and in one order, whatever
-    their partitions.  A task that is lost is run again and gives the same.
+    their partitions.  The task learns in a process of its own, as workers
+    are used again and would keep the memory.  A task that is lost is run
+    again and gives the same.
     """
 
     def whole(frames: list[pd.DataFrame]) -> pd.DataFrame:
@@ -96,7 +124,7 @@ def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
         return found.drop_duplicates().sort_values(["doc_id", "words"], ignore_index=True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"model": [pickle.dumps(fit(whole(list(frames))))]})
+        yield pd.DataFrame({"model": [_apart(fit, whole(list(frames)))]})
 
     row = sample.repartition(1).mapInPandas(run, "model binary").first()
     return pickle.loads(row["model"]) if row else fit(whole([]))

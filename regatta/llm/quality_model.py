@@ -6,7 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -142,7 +142,7 @@ class Scorer:
         return (total + repeats * self.weights[AGAIN]) / len(units)
 
 
-@cache
+@lru_cache(maxsize=1)
 def _scorer(weights: bytes) -> Scorer:
     return Scorer(np.frombuffer(weights, np.float32))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -163,7 +163,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-@cache
+@lru_cache(maxsize=1)
 def _scorer(weights: bytes, bias: float) -> Scorer:
     return Scorer(Model(np.frombuffer(weights, np.float32), bias))
 
