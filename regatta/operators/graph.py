@@ -135,23 +135,33 @@ def cycles(edges: DataFrame, roots: DataFrame | None = None, max_depth: int | No
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, target: int, max_depth: int = 10) -> DataFrame:
-    """Length of the shortest undirected path from each source to ``target`` and the path itself.
+    """Length of the shortest undirected path from each source (``root``) to ``target`` and the path itself."""
+    return paths_between(edges, sources.select("root", F.lit(target).cast("bigint").alias("target")), max_depth).select("root", "hops", "path")
 
-    Breadth-first: of several paths to a node in one round the smallest is kept.
+
+def paths_between(edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(root, target, hops, path): the shortest undirected path of each pair, where there is one within ``max_depth`` steps.
+
+    Breadth-first, all pairs together: of several paths to a node in one round
+    the smallest is kept, and a pair that has met stops.
     """
     both = undirected(edges)
-    frontier = sources.select(F.col("root"), F.col("root").alias("node"), F.array("root").alias("path"))
-    seen = frontier
+    key = ["root", "target"]
+    frontier = pairs.select(*key, F.col("root").alias("node"), F.array("root").alias("path"))
+    seen, tables = frontier, []
     for _ in range(max_depth):
-        step = frontier.where(F.col("node") != target).join(both, frontier.node == both.src)
-        step = step.select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("root", "node").agg(F.min("path").alias("path")).join(seen, ["root", "node"], "left_anti")
+        step = frontier.where(F.col("node") != F.col("target")).join(both, frontier.node == both.src)
+        step = step.select(*key, F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        step = step.groupBy(*key, "node").agg(F.min("path").alias("path")).join(seen, [*key, "node"], "left_anti")
         frontier = checkpointed(step)
+        tables.append(frontier)
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
-    hit = seen.where(F.col("node") == target)
-    return hit.select("root", (F.size("path") - 1).alias("hops"), "path")
+    hit = checkpointed(seen.where(F.col("node") == F.col("target")).select(*key, (F.size("path") - 1).alias("hops"), "path"))
+    for table in tables:
+        discarded(table)
+    return hit
 
 
 def conflict_pairs(conflicts: DataFrame) -> DataFrame:
@@ -185,10 +195,19 @@ def severity_counts(found: DataFrame) -> DataFrame:
 
 def common_ancestors(edges: DataFrame, roots: DataFrame, n_roots: int, max_depth: int = 5) -> DataFrame:
     """Nodes that every root reaches in 0 to ``max_depth`` steps."""
-    own = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    all_ = own.union(reachable(edges, roots, max_depth).select("root", "node", "depth"))
-    counted = all_.groupBy("node").agg(F.countDistinct("root").alias("roots"), F.max("depth").alias("farthest"))
-    return counted.where(F.col("roots") == n_roots).select("node", F.col("farthest").cast("bigint").alias("farthest"))
+    found = shared_ancestors(edges, roots.select("root", F.lit(0).alias("of")), max_depth)
+    return found.where(F.col("roots") == n_roots).select("node", "farthest")
+
+
+def shared_ancestors(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
+    """(of, node, roots, farthest): nodes that all ``root``s of a group ``of`` reach in 0 to ``max_depth`` steps."""
+    steps = reachable(edges, roots.select("root").distinct(), max_depth).select("root", "node", "depth")
+    own = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
+    # A root that a cycle leads back to is there twice; the nearer place counts.
+    nearest = own.union(steps).groupBy("root", "node").agg(F.min("depth").alias("depth"))
+    sizes = roots.groupBy("of").agg(F.countDistinct("root").alias("n"))
+    counted = roots.distinct().join(nearest, "root").groupBy("of", "node").agg(F.count("*").alias("roots"), F.max("depth").cast("bigint").alias("farthest"))
+    return counted.join(sizes, "of").where(F.col("roots") == F.col("n")).select("of", "node", "roots", "farthest")
 
 
 def impact(pairs: DataFrame, edges: DataFrame, conflicts: DataFrame, requirements: DataFrame, roots: DataFrame) -> DataFrame:

@@ -147,3 +147,49 @@ def g12_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     within = graph.reachable(edges, edges.select(F.col("src").alias("root")).distinct(), None)
     own = domain.entities(spark, sf_dir).select("entity_id", F.explode("jurisdictions").alias("root"))
     return own.join(within, "root").groupBy(F.col("node").alias("area"), "depth").agg(F.countDistinct("entity_id").alias("entities"))
+
+
+GROUPS = "grown as (select requirement_id as root, regulation_id from requirements where requirement_id % 50 = 0)"
+
+
+def _walks(edges: str, depth: int) -> str:
+    return f"""walk(root, node, depth) as (select root, root, 0 from grown union
+      select w.root, e.dst, w.depth + 1 from walk w join {edges} e on w.node = e.src where w.depth < {depth})"""
+
+
+def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domain.requirements(spark, sf_dir).where("requirement_id % 50 = 0").select(F.col("requirement_id").alias("root"), "regulation_id")
+
+
+@query(
+    oracle(
+        """select p.root, p.target, min(w.depth)::int as hops from (select root, regulation_id, min(root) over (partition by regulation_id) as target from grown) p
+           join walk w on w.root = p.root and w.node = p.target where p.root <> p.target group by 1, 2""",
+        GROUPS,
+        "both_ways as (select src, dst from depends_on union select dst, src from depends_on)",
+        _walks("both_ways", 6),
+    )
+)
+def g07_paths_in_regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest path of up to six steps from each requirement divisible by 50 to the first such one of its regulation."""
+    grown = _grown(spark, sf_dir)
+    first = grown.groupBy("regulation_id").agg(F.min("root").alias("target"))
+    pairs = grown.join(first, "regulation_id").where("root <> target").select("root", "target")
+    return graph.paths_between(domain.depends_on(spark, sf_dir), pairs, 6).select("root", "target", F.col("hops").cast("int").alias("hops"))
+
+
+@query(
+    oracle(
+        """select regulation_id, node, max(depth)::bigint as farthest from (select g.regulation_id, any_value(g.size) as size, w.root, w.node, min(w.depth) as depth
+             from sized g join walk w on w.root = g.root group by g.regulation_id, w.root, w.node)
+           group by regulation_id, node having count(*) = any_value(size)""",
+        GROUPS,
+        "sized as (select *, count(*) over (partition by regulation_id) as size from grown)",
+        _walks("depends_on", 5),
+    )
+)
+def g09_shared_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all requirements divisible by 50 of a regulation depend on, within five steps."""
+    roots = _grown(spark, sf_dir).withColumnRenamed("regulation_id", "of")
+    found = graph.shared_ancestors(domain.depends_on(spark, sf_dir), roots, 5)
+    return found.select(F.col("of").alias("regulation_id"), "node", "farthest")

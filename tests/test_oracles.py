@@ -13,8 +13,9 @@ def test_matches_oracle(spark, duck, small, name):
     same_rows(QUERIES[name](spark, small), duck.sql(ORACLE_SQL[name]))
 
 
-#: Queries on the invented documents, which cite no law and have neither headings nor obligations; their twins on rules' texts find some.
-NOTHING_THERE = {"n08_citations", "n09_sections", "n15_extracted_requirements"}
+#: Queries on the invented documents, which cite no law and have neither headings nor obligations (their twins on rules' texts find
+#: some), and on cycles, of which the smallest table has none.
+NOTHING_THERE = {"g03_cycles_whole", "n08_citations", "n09_sections", "n15_extracted_requirements"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
