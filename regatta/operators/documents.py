@@ -155,7 +155,8 @@ def similar(vectors: DataFrame, queries: DataFrame, top_k: int = 10, threshold:
     query_blocks = max(1, -(-q.count() // most))
 
     def dealt(rows: DataFrame, own: str, blocks: int, other: str, copies: int):
-        numbered = rows.withColumn(own, F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
+        # Both sides' keys have one type: by their hashes blocks meet, and those of an int and a bigint differ.
+        numbered = rows.withColumn(own, F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))
         return numbered.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).groupBy("query_block", "row_block")
 
     asked, given = dealt(q, "query_block", query_blocks, "row_block", row_blocks), dealt(v, "row_block", row_blocks, "query_block", query_blocks)
