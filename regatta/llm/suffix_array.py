@@ -5,7 +5,8 @@ induce nothing into each other are handled in one step, whatever the size of
 the alphabet; a bucket that induces into itself is handled in rounds, one per
 repetition of its character.  Suffixes come in exactly the order of a scan one
 by one.  The leftmost smaller substrings are named by rank, and the reduced
-text is sorted by the same function again until all names differ.
+text, less names that stand once and decide nothing, is sorted by the same
+function again until all names differ.
 """
 
 from __future__ import annotations
@@ -60,10 +61,9 @@ def _clear(chars: np.ndarray, targets: np.ndarray, end: int) -> int:
 
 
 def _placed(sources: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which sources have a suffix before them of the type in ``keep``, and these suffixes."""
+    """Which sources have a suffix before them of the type in ``keep``, and these suffixes; ``keep`` ends with False, for the source 0."""
     before = sources - 1
-    has = before >= 0
-    has[has] = keep[before[has]]
+    has = keep[before]
     return has, before[has]
 
 
@@ -71,7 +71,9 @@ def _induced(text: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.n
     """Order of all suffixes induced from an order of the leftmost smaller ones."""
     n, alphabet = len(text), len(heads)
     order = np.full(n, -1, np.int64)
+    small = np.append(small, False)
     large = ~small
+    large[n] = False
     # Larger suffixes, buckets upwards: each suffix places the one before it at the head of that one's bucket.
     at = heads.copy()
     seeds = lms[np.argsort(text[lms], kind="stable")]
@@ -163,6 +165,24 @@ def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.n
     return names, int(rank[-1]) + 1
 
 
+def _ranked(names: np.ndarray, distinct: int) -> np.ndarray:
+    """Suffix array of a reduced text of ``distinct`` names.
+
+    No comparison goes beyond a name that stands only once, so of a run of such
+    names the first alone can decide one; the others are left out of the text
+    that is sorted by inducing, and take the places of their names.
+    """
+    single = np.bincount(names, minlength=distinct)[names] == 1
+    if single.all():
+        return np.argsort(names)
+    kept = np.flatnonzero(~single | np.r_[False, ~single[:-1]])
+    own = np.zeros(distinct, np.int64)
+    own[names[kept]] = 1
+    among = kept[suffix_array((np.cumsum(own) - 1)[names[kept]])]
+    order = np.concatenate([np.flatnonzero(single), among[~single[among]]])
+    return order[np.argsort(names[order], kind="stable")]
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Start positions of all suffixes of an array of small non-negative integers, in order.
 
@@ -185,8 +205,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         names, distinct = _names(text, lms, rough[is_lms[rough]])
-        ranks = suffix_array(names) if distinct < len(lms) else np.argsort(names)
-        lms = lms[ranks]
+        lms = lms[_ranked(names, distinct)]
     return _induced(narrow, small, heads, tails, lms)
 
 

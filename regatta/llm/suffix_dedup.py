@@ -16,7 +16,8 @@ strings that it can represent lie within a neighbourhood.
    shard is divided again, which lets its strings share more bytes, until
    each shard is small or a division holds one string only.
 3. Each shard builds a suffix array by induced sorting and finds equal strings
-   by permuted common prefixes of at least ``length``.
+   by permuted common prefixes of at least ``length``.  The bytes that all
+   strings of a snippet share stand in it as one symbol, equal for equal bytes.
 4. The removed spans go back to the documents.
 """
 
@@ -41,7 +42,7 @@ from regatta.llm.suffix_array import permuted_lcp, suffix_array
 GRAM = 32
 #: Divisions of an anchor's strings by the anchor's place in them, and parts that a division is cut into when its key is large.
 DIVISIONS, FINER = 2, 4
-#: Bytes hashed at a time, and bytes of one suffix array.
+#: Bytes hashed at a time, and bytes of the snippets of one suffix array, which has about half as many symbols.
 PIECE, SHARD = 1 << 19, 1 << 19
 #: Pieces whose anchors are gathered before they are sent on, and bytes of snippets in one batch.
 GATHERED, SENT = 16, 1 << 21
@@ -249,55 +250,67 @@ def _snippets(length: int, again: bool):
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of a document's snippets."""
+    """The bytes of a document's snippets, and where in them those stand that all their strings share."""
     for batch in batches:
-        rows, key, place, bits, size = [], [], [], [], 0
+        rows, key, place, bits, start, shares, size = [], [], [], [], [], [], 0
 
         def sent() -> pa.RecordBatch:
             one = pa.array(np.array(rows, np.int64))
             return pa.RecordBatch.from_arrays(
                 [pa.array(key, pa.int64()), batch.column("k").take(one), batch.column("tie").take(one), pa.array(place, pa.int64()),
-                 pa.array(bits, pa.binary())],
-                names=["shared", "k", "tie", "low", "bits"],
+                 pa.array(bits, pa.binary()), pa.array(start, pa.int16()), pa.array(shares, pa.int16())],
+                names=["shared", "k", "tie", "low", "bits", "start", "shares"],
             )
 
         for row, (text, snippets) in enumerate(zip(batch.column("bytes"), batch.column("snippets"), strict=True)):
             data, values = text.as_py(), snippets.values
-            for shared, low, high in zip(*(values.field(c).to_pylist() for c in ("shared", "low", "high")), strict=True):
+            for shared, low, high, at, n in zip(*(values.field(c).to_pylist() for c in ("shared", "low", "high", "start", "shares")), strict=True):
                 key.append(shared)
                 place.append(low)
                 bits.append(data[low:high])
+                start.append(at)
+                shares.append(n)
                 rows.append(row)
                 size += high - low
                 if size >= SENT:
                     yield sent()
-                    rows, key, place, bits, size = [], [], [], [], 0
+                    rows, key, place, bits, start, shares, size = [], [], [], [], [], [], 0
         yield sent()
 
 
-def repeated_strings(bits: list[bytes], key: np.ndarray, tie: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_strings(
+    bits: list[bytes], key: np.ndarray, tie: np.ndarray, low: np.ndarray, start: np.ndarray, shares: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Snippets (indices) and places of strings of ``length`` bytes that an earlier snippet also has.
 
-    Snippets are joined with separators, sorted by one suffix array; strings
-    that start a common prefix of at least ``length`` are equal, and all but
-    the earliest (document, place) of them are reported.
+    All strings of a snippet hold its ``shares`` bytes from ``start`` on; these
+    become one symbol, the same for the same bytes, so strings are equal if
+    their symbols are.  Snippets are joined with separators, sorted by one
+    suffix array; strings that start a common prefix of all their symbols are
+    equal, and all but the earliest (document, place) of them are reported.
     """
-    sizes = np.array([len(b) for b in bits])
-    text = np.zeros(int(sizes.sum()) + len(bits), np.uint16)
+    names: dict[bytes, int] = {}
+    start, shares = start.astype(np.int64), shares.astype(np.int64)
+    inner = list(zip(bits, start.tolist(), (start + shares).tolist(), strict=True))
+    shared = np.array([names.setdefault(b[i:j], len(names)) for b, i, j in inner])
+    sizes = np.array([len(b) for b in bits]) - shares + 1
+    need = length - shares + 1  # symbols of a string
+    text = np.zeros(int(sizes.sum()) + len(bits), np.uint32)
     starts = np.cumsum(np.r_[0, sizes[:-1] + 1])
     body = np.ones(len(text), bool)
     body[starts + sizes] = False
-    text[body] = np.frombuffer(b"".join(bits), np.uint8).astype(np.uint16) + 1
+    text[body] = np.frombuffer(b"".join(b[: i + 1] + b[j:] for b, i, j in inner), np.uint8).astype(np.uint32) + 1
+    text[starts + start] = shared + 257
     order = suffix_array(text)
     snippet = np.repeat(np.arange(len(bits), dtype=np.int32), sizes + 1)
     left = np.repeat((starts + sizes).astype(np.int32), sizes + 1) - np.arange(len(text), dtype=np.int32)
-    common = permuted_lcp(text, order, length)[order]
-    whole = left[order] >= length
+    common = permuted_lcp(text, order, int(need.max()))[order]
+    whole = left[order] >= need[snippet[order]]
     order, common = order[whole], common[whole]  # a suffix between two that agree in a whole string is whole itself
     if not len(order):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    group = np.cumsum(np.r_[True, common[1:] < length])
     of = snippet[order]
+    group = np.cumsum(np.r_[True, common[1:] < need[of[1:]]])
     place = low[of] + order - starts[of]
     turn = np.lexsort((place, tie[of], key[of], group))
     group, of, place = group[turn], of[turn], place[turn]
@@ -320,8 +333,8 @@ def _shards(length: int):
     """Cut a sorted partition into shards of whole groups and mark the repeated strings of each."""
 
     def solved(frame: pd.DataFrame) -> pd.DataFrame:
-        key, tie, low = (frame[c].to_numpy() for c in ("k", "tie", "low"))
-        of, place = repeated_strings(frame["bits"].tolist(), key, tie, low, length)
+        key, tie, low, start, shares = (frame[c].to_numpy() for c in ("k", "tie", "low", "start", "shares"))
+        of, place = repeated_strings(frame["bits"].tolist(), key, tie, low, start, shares, length)
         if not len(of):
             return pd.DataFrame({"k": key[:0], "tie": tie[:0], "low": low[:0], "high": low[:0]})
         of, lo, hi = _runs(of, place, length)
@@ -395,9 +408,11 @@ def _divided(keyed: DataFrame, places: DataFrame, length: int) -> tuple[list[Dat
         sizes = written(snippets.groupBy("shared").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
         met = snippets.join(sizes, "shared")
         small = _firsts(met.where(f"n <= {GROUP}"), ["shared"], "content", order).where("repeat or mixed")
-        open_ = written(small.select(*order, "high", "shared", "repeat"), "open")
+        shares = (F.lit(length + 1) - F.col("b") + F.col("a")).cast("smallint")
+        start = (F.col("inside") - F.col("a")).cast("smallint")
+        open_ = written(small.select(*order, "high", "shared", start.alias("start"), shares.alias("shares"), "repeat"), "open")
         spans.append(open_.where("repeat").select(*order, "high"))
-        opened.append(open_.where("not repeat").select(*order, "high", "shared"))
+        opened.append(open_.where("not repeat").drop("repeat"))
         if not sizes.where(f"n > {GROUP}").isEmpty():
             large = met.where(f"n > {GROUP}")
             same = _repeats(large.where("b - a = 1"), ["shared", "content"], order)
@@ -427,9 +442,9 @@ def removed_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
     places = seen.where("not repeat").groupBy("k", "tie").agg(F.array_sort(F.collect_set("place")).alias("asked"))
     whole, opened = _divided(keyed, places, length)
     marks += whole
-    wanted = reduce(DataFrame.union, opened).groupBy("k", "tie").agg(F.collect_set(F.struct("shared", "low", "high")).alias("snippets"))
+    wanted = reduce(DataFrame.union, opened).groupBy("k", "tie").agg(F.collect_set(F.struct("shared", "low", "high", "start", "shares")).alias("snippets"))
     bits = keyed.join(wanted, ["k", "tie"]).select("bytes", "snippets", "k", "tie")
-    bits = bits.mapInArrow(_fetched, f"shared bigint, {ID_COLS}, low bigint, bits binary")
+    bits = bits.mapInArrow(_fetched, f"shared bigint, {ID_COLS}, low bigint, bits binary, start smallint, shares smallint")
     shards = bits.repartition("shared").sortWithinPartitions("shared", "k", "tie", "low")
     marks.append(shards.mapInPandas(_shards(length), f"{ID_COLS}, low bigint, high bigint"))
     spans = written(reduce(DataFrame.union, marks), "spans")
