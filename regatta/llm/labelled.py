@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regatta.llm.worker import let_go
+
 WORD = re.compile(r"\w+")
 
 
@@ -74,6 +76,7 @@ def sample_windows(
     texts = texts.select("doc_id", "text", "label")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()  # what an earlier step has left in this worker
         for frame in frames:
             rows = []
             for doc_id, text, value in frame.itertuples(index=False):
@@ -124,7 +127,9 @@ def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
         return found.drop_duplicates().sort_values(["doc_id", "words"], ignore_index=True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         yield pd.DataFrame({"model": [_apart(fit, whole(list(frames)))]})
+        let_go()
 
     row = sample.repartition(1).mapInPandas(run, "model binary").first()
     return pickle.loads(row["model"]) if row else fit(whole([]))
@@ -135,8 +140,9 @@ class Bags:
 
     def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
         self.shape = shape
-        self.by_row, self.by_col = np.argsort(rows, kind="stable"), np.argsort(cols, kind="stable")
-        self.rows, self.cols, self.values = rows, cols, values.astype(np.float32)
+        narrow = lambda x: x.astype(np.int32)
+        self.by_row, self.by_col = narrow(np.argsort(rows, kind="stable")), narrow(np.argsort(cols, kind="stable"))
+        self.rows, self.cols, self.values = narrow(rows), narrow(cols), values.astype(np.float32)
 
     def _sum(self, order: np.ndarray, key: np.ndarray, other: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, dense.shape[1]), np.float32)

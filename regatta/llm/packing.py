@@ -7,7 +7,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -19,6 +18,7 @@ from tokenizers import Tokenizer
 
 from regatta.llm.ranking import ranked
 from regatta.llm.storage import written
+from regatta.llm.worker import kept
 
 #: A run of white space and what follows it: the vocabulary's pattern always ends a token before white space.
 SEGMENT = re.compile(r"\s*\S+|\s+")
@@ -70,9 +70,8 @@ class ByteBPE:
         return b"".join(map(known.__getitem__, segments))
 
 
-@cache
 def _encoder(tokenizer_path: str) -> ByteBPE:
-    return ByteBPE(tokenizer_path)
+    return kept(("packing", tokenizer_path), lambda: ByteBPE(tokenizer_path))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from regatta.llm.columns import fresh
 from regatta.llm.storage import removed, written
 from regatta.llm.suffix_array import permuted_lcp, suffix_array
+from regatta.llm.worker import let_go, trimmed
 
 GRAM = 32
 #: Divisions of an anchor's strings by the anchor's place in them, and parts that a division is cut into when its key is large.
@@ -172,10 +173,12 @@ def _find_anchors(length: int):
         )
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()  # what an earlier step has left in this worker
         for batch in batches:
             groups = _pieces(batch.column("bytes"), length)
             while found := [_anchors(group, length) for group in islice(groups, GATHERED)]:
                 yield first_seen(batch, found)
+        trimmed()
 
     return find
 
@@ -363,6 +366,7 @@ def _shards(length: int):
                 waiting, size, frame = [], 0, frame.iloc[end:]
         if waiting:
             yield solved(pd.concat(waiting, ignore_index=True))
+        trimmed()
 
     return run
 

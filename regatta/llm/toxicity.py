@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regatta.llm.labelled import CUT, WORD, Adam, Bags, fitted, held_out, in_pieces, sample_windows
+from regatta.llm.worker import kept
 
 #: Hash buckets of subwords; a word is one subword, and so are its character n-grams with word ends.
 BUCKETS, GRAMS = 1 << 17, (3, 4, 5)
@@ -48,10 +48,10 @@ class Model:
 class _Batch:
     """Some windows, the words in them and the words' frequent subwords, as sparse averages."""
 
-    def __init__(self, at: np.ndarray, texts: list[list[str]], parts: dict[str, np.ndarray], column: np.ndarray):
+    def __init__(self, at: np.ndarray, texts: list[np.ndarray], parts: list[np.ndarray], column: np.ndarray):
         self.at = at
-        ids: dict[str, int] = {}
-        cells = [(r, ids.setdefault(w, len(ids))) for r, i in enumerate(at) for w in texts[i]]
+        ids: dict[int, int] = {}
+        cells = [(r, ids.setdefault(w, len(ids))) for r, i in enumerate(at) for w in texts[i].tolist()]
         rows, words = np.array(cells, np.int64).reshape(-1, 2).T
         share = 1.0 / np.maximum(np.bincount(rows, minlength=len(at)), LEAST)
         self.windows = Bags(rows, words, share[rows], (len(at), len(ids)))
@@ -86,16 +86,18 @@ def fit(
     if not len(words) or toxic.min() == toxic.max():
         rate = (float(toxic.sum()) + 0.5) / (len(words) + 1) if len(words) else 0.05
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(rate / (1 - rate))))
-    texts = [w.split() for w in words]
-    of_doc: dict[int, set[str]] = {}
+    known: dict[str, int] = {}  # each word is held once, texts are its numbers
+    texts = [np.array([known.setdefault(w, len(known)) for w in text.split()], np.int32) for text in words]
+    of_doc: dict[int, set[int]] = {}
     for doc, text in zip(documents.tolist(), texts, strict=True):
-        of_doc.setdefault(doc, set()).update(text)
-    parts = {w: np.array(subwords(w)) for w in set().union(*of_doc.values())}
+        of_doc.setdefault(doc, set()).update(text.tolist())
+    parts = [np.array(subwords(w), np.int32) for w in known]
     kind = dict(zip(documents.tolist(), toxic.tolist(), strict=True))
     spread = np.zeros((2, BUCKETS))
     for doc, own in of_doc.items():
         if own:
             spread[kind[doc], np.unique(np.concatenate([parts[w] for w in own]))] += 1
+    of_doc.clear()
     kept = np.flatnonzero(_telling(spread, np.bincount(list(kind.values()), minlength=2), least_z))
     column = np.full(BUCKETS, -1)
     column[kept] = np.arange(len(kept))
@@ -163,9 +165,8 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-@lru_cache(maxsize=1)
 def _scorer(weights: bytes, bias: float) -> Scorer:
-    return Scorer(Model(np.frombuffer(weights, np.float32), bias))
+    return kept(("toxicity", weights, bias), lambda: Scorer(Model(np.frombuffer(weights, np.float32), bias)))
 
 
 def trained(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1200, clean_docs: int = 2800, windows: int = 3) -> Model:
