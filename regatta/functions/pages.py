@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regatta.functions.text import stripped, unified_lines
+from regatta.functions.text import stripped, text_by_text, unified_lines
 
 #: What stands for a tag in plain text (fixed values); other tags leave nothing.
 STANDS_FOR = {"br": "\n", "p": "\n\n", "li": "\n\u2022 "} | {f"h{i}": "\n\n" for i in range(1, 7)} | {f"/h{i}": "\n" for i in range(1, 7)}
@@ -24,10 +24,9 @@ STANDS_FOR = {"br": "\n", "p": "\n\n", "li": "\n\u2022 "} | {f"h{i}": "\n\n" for
 GENERAL, EUROPEAN = ("script", "style"), ("script", "style", "nav", "footer")
 
 
-@F.pandas_udf(T.StringType())
-def unescaped(texts: pd.Series) -> pd.Series:
+def unescaped(text: Column) -> Column:
     """Character references decoded (no built-in function does this)."""
-    return texts.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
+    return text_by_text(html.unescape)(text)
 
 
 def plain_text(page: Column, without: tuple[str, ...] = GENERAL) -> Column:

@@ -19,6 +19,7 @@ from regatta.functions.text import (
     effective_date,
     sentence_count,
     stripped,
+    text_by_text,
     word_count,
 )
 from regatta.operators.rml import normalized
@@ -36,18 +37,14 @@ def repeated_lines(docs: DataFrame, least_lines: int = 20, more_than: int = 3) -
 def without_headers(docs: DataFrame, least_lines: int = 20, more_than: int = 3) -> DataFrame:
     """Documents with repeated lines taken out, lines in order; within the row, without a shuffle, in one pass over its lines."""
 
-    @F.pandas_udf("string")
-    def kept(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            lines = [] if text is None else text.split("\n")
-            if len(lines) < least_lines:
-                return text
-            often = Counter(s for s in map(str.strip, lines) if 10 < len(s) < 200)
-            return "\n".join(x for x in lines if often[x.strip()] <= more_than)
+    def kept(text: str) -> str:
+        lines = text.split("\n")
+        if len(lines) < least_lines:
+            return text
+        often = Counter(s for s in map(str.strip, lines) if 10 < len(s) < 200)
+        return "\n".join(x for x in lines if often[x.strip()] <= more_than)
 
-        return texts.map(one)
-
-    return docs.withColumn("text", kept("text"))
+    return docs.withColumn("text", text_by_text(kept)(F.col("text")))
 
 
 def preprocessed(docs: DataFrame) -> DataFrame:
