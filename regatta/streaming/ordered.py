@@ -5,6 +5,9 @@ earlier rows.  ``InOrder`` keeps rows in a list state until the watermark has
 passed them, when nothing earlier can come any more, and then hands them on in
 order of time and id.  So a stream gives what a batch over the same rows
 gives, however they arrived within the watermark's delay.
+
+Every call to a state is a message to the JVM and its answer, so the state of
+a key is read once for all rows that are handed on together, and kept once.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ class InOrder(StatefulProcessor):
 
     Rows start with ``us`` (event time in microseconds) and ``event_id``;
     ``columns`` is the schema of what is kept of them.  ``opened`` makes
-    the states of a subclass, and ``settled`` may drop them or set a timer.
+    the states of a subclass, ``loaded`` reads what a key has in them,
+    ``step`` changes that, and ``settled`` keeps or drops it and may set a timer.
     """
 
     columns = "us bigint, event_id bigint"
@@ -36,17 +40,23 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.names = [c.split()[0] for c in self.columns.split(", ")]
+        self.row = Row(*self.names)
         self.pending = handle.getListState("pending", self.columns)
         self.opened(handle)
 
     def opened(self, handle: StatefulProcessorHandle) -> None:
         raise NotImplementedError
 
-    def step(self, key, row: Row) -> Iterator[Row]:
+    def loaded(self) -> dict:
+        """What the states hold of the key."""
+        raise NotImplementedError
+
+    def step(self, key, row: Row, state: dict) -> Iterator[Row]:
         raise NotImplementedError
 
-    def settled(self, passed: int) -> None:
+    def settled(self, state: dict, passed: int) -> None:
         """Called when all rows up to ``passed`` (microseconds) have had their step."""
+        raise NotImplementedError
 
     def wake(self, us: int) -> None:
         """Set a timer for when the watermark reaches a time."""
@@ -63,16 +73,17 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(map(tuple, self.pending.get()), key=lambda r: r[:2]) if self.pending.exists() else []
+        rows = sorted(self.pending.get(), key=lambda r: r[:2])
         ready = [r for r in rows if r[0] <= passed]
         if len(ready) < len(rows):
             self.pending.put(rows[len(ready) :])
             self.wake(rows[len(ready)][0])
         elif rows:
             self.pending.clear()
+        state = self.loaded()
         for values in ready:
-            yield from self.step(key, Row(**dict(zip(self.names, values))))
-        self.settled(passed)
+            yield from self.step(key, self.row(*values), state)
+        self.settled(state, passed)
 
     def close(self) -> None:
         pass
@@ -87,20 +98,25 @@ class RateLimit(InOrder):
     def opened(self, handle: StatefulProcessorHandle) -> None:
         self.window = handle.getValueState("window", "opened bigint, used bigint")
 
-    def step(self, key, row: Row) -> Iterator[Row]:
-        opened, used = self.window.get() if self.window.exists() else (row.us, 0)
-        if row.us - opened >= self.length:
-            opened, used = row.us, 0
-        self.window.update((opened, used + 1))
-        yield Row(event_id=row.event_id, entity_id=key[0], us=row.us, allowed=used < self.per_window)
+    def loaded(self) -> dict:
+        opened, used = self.window.get() or (None, 0)
+        return {"opened": opened, "used": used}
+
+    def step(self, key, row: Row, state: dict) -> Iterator[Row]:
+        if state["opened"] is None or row.us - state["opened"] >= self.length:
+            state |= {"opened": row.us, "used": 0}
+        state["used"] += 1
+        yield Row(event_id=row.event_id, entity_id=key[0], us=row.us, allowed=state["used"] <= self.per_window)
 
-    def settled(self, passed: int) -> None:
-        if self.window.exists():
-            end = self.window.get()[0] + self.length
-            if end <= passed:
-                self.window.clear()
-            else:
-                self.wake(end)
+    def settled(self, state: dict, passed: int) -> None:
+        if state["opened"] is None:
+            return
+        end = state["opened"] + self.length
+        if end <= passed:
+            self.window.clear()
+        else:
+            self.window.update((state["opened"], state["used"]))
+            self.wake(end)
 
 
 class AlertRules(InOrder):
@@ -115,34 +131,44 @@ class AlertRules(InOrder):
         self.score = handle.getValueState("score", "score bigint")
         self.last = handle.getMapState("last", "rule string", "us bigint")
 
-    def hits(self, row: Row) -> Iterator[str]:
+    def loaded(self) -> dict:
+        last = {rule[0]: us[0] for rule, us in self.last.iterator()}
+        score = (self.score.get() or (None,))[0]
+        return {"score": score, "last": last, "kept": (score, dict(last))}
+
+    def hits(self, row: Row, state: dict) -> Iterator[str]:
         """Rules that an event meets, and the score it leaves behind."""
         if row.event_type == "violation.detected":
             yield "violation"
         if row.event_type == "score.calculated":
-            before, now = self.score.get()[0] if self.score.exists() else None, row.score
-            self.score.update((now,))
+            before, now = state["score"], row.score
+            state["score"] = now
             if before is not None and now is not None:
                 if now - before < -self.drop:
                     yield "score_drop"
                 if tier_of(now) > tier_of(before):
                     yield "tier_downgrade"
 
-    def step(self, key, row: Row) -> Iterator[Row]:
-        for rule in self.hits(row):
-            before = self.last.getValue((rule,))[0] if self.last.containsKey((rule,)) else None
+    def step(self, key, row: Row, state: dict) -> Iterator[Row]:
+        for rule in self.hits(row, state):
+            before = state["last"].get(rule)
             if before is None or row.us - before >= self.mute:
-                self.last.updateValue((rule,), (row.us,))
+                state["last"][rule] = row.us
                 yield Row(event_id=row.event_id, entity_id=key[0], us=row.us, rule=rule, severity=RULES[rule])
 
-    def settled(self, passed: int) -> None:
+    def settled(self, state: dict, passed: int) -> None:
         """Alerts that mute nothing any more are forgotten; the last score stays, the next one is compared with it."""
-        ends = [(rule[0], us[0] + self.mute) for rule, us in self.last.iterator()] if self.last.exists() else []
-        for rule, end in ends:
-            if end <= passed:
-                self.last.removeKey((rule,))
-        if later := [end for _, end in ends if end > passed]:
-            self.wake(min(later))
+        score, last = state["kept"]
+        if state["score"] != score:
+            self.score.update((state["score"],))
+        mutes = {rule: us for rule, us in state["last"].items() if us + self.mute > passed}
+        for rule, us in mutes.items():
+            if last.get(rule) != us:
+                self.last.updateValue((rule,), (us,))
+        for rule in last.keys() - mutes.keys():
+            self.last.removeKey((rule,))
+        if mutes:
+            self.wake(min(mutes.values()) + self.mute)
 
 
 def tier_of(score: int) -> int:
