@@ -63,3 +63,28 @@ def test_blocks_that_cannot_win_are_not_read(spark, tmp_path, monkeypatch):
 def test_an_empty_index(spark, tmp_path):
     index = SearchIndex(spark, str(tmp_path / "index")).build(spark.createDataFrame([], "id bigint, text string"), "id", "text")
     assert index.search("red", 3).count() == 0
+
+
+def test_texts_are_read_once(spark, docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(text):
+        read.add(1)
+        return text
+
+    SearchIndex(spark, str(tmp_path / "index"), buckets=4).build(docs.withColumn("text", noted("text")), "id", "text")
+    assert read.value == docs.count()
+
+
+def test_lists_that_run_over_batches_are_whole(spark, docs, tmp_path):
+    from regatta.streaming.session import settings
+
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "3"}):
+        index = SearchIndex(spark, str(tmp_path / "index"), buckets=4).build(docs, "id", "text")
+    lists = index.lists_of(["red", "the"])
+    assert lists.count() == lists.select("word", "block").distinct().count() < lists.selectExpr("explode(entries)").count() / 10
+    assert lists.where("held <> size(entries)").count() == 0
+    assert [(r.key, round(r.score, 9)) for r in index.search("red the", 9).orderBy("rank").collect()] == by_hand(docs, "red the", 9)
