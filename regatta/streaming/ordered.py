@@ -8,12 +8,17 @@ gives, however they arrived within the watermark's delay.
 
 Every call to a state is a message to the JVM and its answer, so the state of
 a key is read once for all rows that are handed on together, and kept once.
+Every value in a state, and every column of a row that comes from the JVM, is
+converted on its own, so a row comes as one JSON text (``Texts``) and up to
+``PACKED`` rows are one text in the list state.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import islice
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -24,6 +29,14 @@ from regatta.streaming.monitor import LATE, RULES
 
 #: Rows that are handed to the state store at a time.
 APPENDED = 10_000
+#: Rows that are one value of the list state.
+PACKED = 100
+
+
+def packed(rows: list[tuple]) -> list[tuple[int, int, str]]:
+    """Rows in order as values of the list state: time and id of the first of at most ``PACKED`` rows, and all of them."""
+    parts = (rows[i : i + PACKED] for i in range(0, len(rows), PACKED))
+    return [(*part[0][:2], json.dumps(part, separators=(",", ":"))) for part in parts]
 
 
 class InOrder(StatefulProcessor):
@@ -40,8 +53,8 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.names = [c.split()[0] for c in self.columns.split(", ")]
-        self.row = Row(*self.names)
-        self.pending = handle.getListState("pending", self.columns)
+        self.row, self.values = Row(*self.names), itemgetter(*self.names)
+        self.pending = handle.getListState("pending", "us bigint, event_id bigint, rows string")
         self.opened(handle)
 
     def opened(self, handle: StatefulProcessorHandle) -> None:
@@ -64,19 +77,19 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         first = None
-        while part := [tuple(r[c] for c in self.names) for r in islice(rows, APPENDED)]:
-            self.pending.appendList(part)
-            first = min([r[0] for r in part] + ([first] if first is not None else []))
+        while part := sorted(map(self.values, islice(rows, APPENDED)), key=lambda r: r[:2]):
+            self.pending.appendList(packed(part))
+            first = part[0][0] if first is None else min(first, part[0][0])
         if first is not None:
             self.wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.pending.get(), key=lambda r: r[:2])
+        rows = sorted((r for *_, text in self.pending.get() for r in json.loads(text)), key=lambda r: r[:2])
         ready = [r for r in rows if r[0] <= passed]
         if len(ready) < len(rows):
-            self.pending.put(rows[len(ready) :])
+            self.pending.put(packed(rows[len(ready) :]))
             self.wake(rows[len(ready)][0])
         elif rows:
             self.pending.clear()
@@ -89,6 +102,29 @@ class InOrder(StatefulProcessor):
         pass
 
 
+class Texts(StatefulProcessor):
+    """A processor in order whose rows come as JSON texts in the last column."""
+
+    def __init__(self, taken: InOrder):
+        self.taken = taken
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.taken.init(handle)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        return self.taken.handleInputRows(key, (json.loads(text) for *_, text in rows), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        return self.taken.handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+    def close(self) -> None:
+        self.taken.close()
+
+
+#: What a step gives of a row; made by place, as names for every row cost more than the row.
+ANSWERED, ALERTED = Row("event_id", "entity_id", "us", "allowed"), Row("event_id", "entity_id", "us", "rule", "severity")
+
+
 class RateLimit(InOrder):
     """A fixed window of requests that opens with its first one; a timer closes it and empties its state."""
 
@@ -106,7 +142,7 @@ class RateLimit(InOrder):
         if state["opened"] is None or row.us - state["opened"] >= self.length:
             state |= {"opened": row.us, "used": 0}
         state["used"] += 1
-        yield Row(event_id=row.event_id, entity_id=key[0], us=row.us, allowed=state["used"] <= self.per_window)
+        yield ANSWERED(row.event_id, key[0], row.us, state["used"] <= self.per_window)
 
     def settled(self, state: dict, passed: int) -> None:
         if state["opened"] is None:
@@ -154,7 +190,7 @@ class AlertRules(InOrder):
             before = state["last"].get(rule)
             if before is None or row.us - before >= self.mute:
                 state["last"][rule] = row.us
-                yield Row(event_id=row.event_id, entity_id=key[0], us=row.us, rule=rule, severity=RULES[rule])
+                yield ALERTED(row.event_id, key[0], row.us, rule, RULES[rule])
 
     def settled(self, state: dict, passed: int) -> None:
         """Alerts that mute nothing any more are forgotten; the last score stays, the next one is compared with it."""
@@ -176,11 +212,13 @@ def tier_of(score: int) -> int:
     return next((tier for least, tier in ZK_TIERS if score >= least), len(ZK_TIERS) + 1)
 
 
-def _timed(events: DataFrame, *more: str) -> DataFrame:
-    """Rows with event time, watermark and microseconds; rows without time, id or entity have no place in an order and are left out."""
+def _in_order(events: DataFrame, processor: InOrder, out: str) -> DataFrame:
+    """What a processor makes of each entity's events; rows without time, id or entity have no place in an order and are left out."""
     known = events.where("ts is not null and event_id is not null and entity_id is not null")
-    timed = known.select("event_id", "entity_id", F.col("ts").cast("timestamp").alias("ts"), *more).withWatermark("ts", LATE)
-    return timed.withColumn("us", F.unix_micros("ts"))
+    timed = known.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE).withColumn("us", F.unix_micros("ts"))
+    columns = [c.split()[0] for c in processor.columns.split(", ")]
+    texts = timed.select("entity_id", "ts", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("row"))
+    return texts.groupBy("entity_id").transformWithState(Texts(processor), out, "append", "EventTime")
 
 
 def limited(events: DataFrame, per_window: int = 100, seconds: int = 60) -> DataFrame:
@@ -189,14 +227,12 @@ def limited(events: DataFrame, per_window: int = 100, seconds: int = 60) -> Data
     A request is answered when the watermark has passed it.  Start it with
     RocksDB as the state store (``session.settings``), as ``monitor.drained`` does.
     """
-    out = "event_id bigint, entity_id bigint, us bigint, allowed boolean"
-    rows = _timed(events).groupBy("entity_id").transformWithState(RateLimit(per_window, seconds), out, "append", "EventTime")
+    rows = _in_order(events, RateLimit(per_window, seconds), "event_id bigint, entity_id bigint, us bigint, allowed boolean")
     return rows.select("event_id", "entity_id", F.timestamp_micros("us").alias("ts"), "allowed")
 
 
 def alerts(events: DataFrame, drop: int = 1000, minutes: float = 60) -> DataFrame:
     """``monitor.alerts`` on a stream of events in any order within the watermark's delay."""
-    out = "event_id bigint, entity_id bigint, us bigint, rule string, severity string"
-    watched = _timed(events.where("event_type in ('violation.detected', 'score.calculated')"), "event_type", F.col("score").cast("bigint").alias("score"))
-    rows = watched.groupBy("entity_id").transformWithState(AlertRules(drop, minutes), out, "append", "EventTime")
+    watched = events.where("event_type in ('violation.detected', 'score.calculated')").withColumn("score", F.col("score").cast("bigint"))
+    rows = _in_order(watched, AlertRules(drop, minutes), "event_id bigint, entity_id bigint, us bigint, rule string, severity string")
     return rows.select("event_id", "entity_id", F.timestamp_micros("us").alias("ts"), "rule", "severity")
